@@ -76,3 +76,64 @@ def query(key: str):
 @query("a01_adoption_rate")
 def _(t: Tables):
     return adoption.adoption_rate(t.uw, t.cust, W99)
+
+
+@query("a02_dau")
+def _(t: Tables):
+    return adoption.dau(t.ue, W24)
+
+
+@query("a03_mau")
+def _(t: Tables):
+    return adoption.mau(t.ue, W24)
+
+
+@query("a04_stickiness")
+def _(t: Tables):
+    return adoption.stickiness(t.ue, W24)
+
+
+@query("a05_first_use_lag")
+def _(t: Tables):
+    return adoption.first_use_lag(t.ue, W24)
+
+
+@query("a06_time_to_first_use")
+def _(t: Tables):
+    return adoption.time_to_first_use(t.ue, W24)
+
+
+@query("a07_power_users")
+def _(t: Tables):
+    return adoption.power_users(t.ue, W24, min_days=5)
+
+
+@query("a07_power_users_10d")
+def _(t: Tables):
+    """A07 with the reference's first threshold (10 days)."""
+    return adoption.power_users(t.ue, W24, min_days=10)
+
+
+@query("a08_activation_rate")
+def _(t: Tables):
+    return adoption.activation_rate(t.ue, t.cust, W24, days=7)
+
+
+@query("a09_weekly_active")
+def _(t: Tables):
+    return adoption.weekly_active(t.ue, W24)
+
+
+@query("a10_adoption_by_plan")
+def _(t: Tables):
+    return adoption.adoption_by(t.uw, t.cust, "plan", W99)
+
+
+@query("a11_adoption_by_company_size")
+def _(t: Tables):
+    return adoption.adoption_by(t.uw, t.cust, "company_size", W99)
+
+
+@query("a12_feature_co_usage")
+def _(t: Tables):
+    return adoption.feature_co_usage(t.uw, W99)
