@@ -73,4 +73,4 @@ def month_diff(start: Column, end: Column) -> Column:
     Matches MySQL ``TIMESTAMPDIFF(MONTH, start, end)``: 01-31 to 02-29 is 0.
     ``months_between`` rounds month ends differently and is not used.
     """
-    return F.timestampdiff("MONTH", start.cast("timestamp_ntz"), end.cast("timestamp_ntz")).cast("int")
+    return F.timestamp_diff("MONTH", start.cast("timestamp_ntz"), end.cast("timestamp_ntz")).cast("int")

@@ -13,12 +13,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.operators import adoption
+from keelson.operators import adoption, cohorts, health, kpis
 from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
 
 W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
+# part types standing in for the "new" features on the order-based usage
+NEW_FEATURES_UO = ("ECONOMY", "SMALL", "LARGE", "PROMO")
 
 
 class Tables:
@@ -137,3 +139,137 @@ def _(t: Tables):
 @query("a12_feature_co_usage")
 def _(t: Tables):
     return adoption.feature_co_usage(t.uw, W99)
+
+
+# ------------------------------------------------------------- health
+
+def _scores_v2(t: Tables):
+    return health.health_scores(t.cust, t.uo, t.subs, t.tix, features=NEW_FEATURES_UO, **health.V2)
+
+
+@query("h01_feature_score")
+def _(t: Tables):
+    return health.feature_score(t.uo, None)
+
+
+@query("h01_feature_score_windowed")
+def _(t: Tables):
+    return health.feature_score(t.uo, W99)
+
+
+@query("h02_login_score")
+def _(t: Tables):
+    return health.login_score(t.uo, None)
+
+
+@query("h03_support_score")
+def _(t: Tables):
+    return health.support_score(t.tix)
+
+
+@query("h04_payment_score")
+def _(t: Tables):
+    return health.payment_score(t.subs, "subscription_cancel")
+
+
+@query("h04_payment_score_churn")
+def _(t: Tables):
+    return health.payment_score(t.subs, "churn")
+
+
+@query("h05_new_feature_score")
+def _(t: Tables):
+    return health.new_feature_score(t.uo, NEW_FEATURES_UO)
+
+
+@query("h06_health_raw")
+def _(t: Tables):
+    return health.health_raw(t.cust, t.uo, t.subs, t.tix, features=NEW_FEATURES_UO, **health.V2)
+
+
+@query("h07_health_scores")
+def _(t: Tables):
+    """V2 preset (all time, ``subscription_cancel``): the dashboard's table."""
+    return _scores_v2(t)
+
+
+@query("h07_health_scores_v1")
+def _(t: Tables):
+    """V1 preset (``churn`` literal, windowed usage scores)."""
+    return health.health_scores(t.cust, t.uo, t.subs, t.tix, win=W99, churn_type="churn",
+                                features=NEW_FEATURES_UO)
+
+
+@query("k03_tier_distribution")
+def _(t: Tables):
+    return kpis.tier_distribution(_scores_v2(t))
+
+
+@query("k04_churn_risk_top")
+def _(t: Tables):
+    return kpis.churn_risk_top(_scores_v2(t), 100)
+
+
+@query("k09_avg_health")
+def _(t: Tables):
+    return kpis.avg_health(_scores_v2(t))
+
+
+# ------------------------------------------------------------- cohorts
+
+W95 = ("1995-01-01", "1995-06-30")
+
+
+@query("c01_cohorts")
+def _(t: Tables):
+    return cohorts.cohorts(t.cust, W95)
+
+
+@query("c02_cohort_size")
+def _(t: Tables):
+    return cohorts.cohort_size(cohorts.cohorts(t.cust, W95))
+
+
+@query("c03_cohort_activity")
+def _(t: Tables):
+    return cohorts.cohort_activity(cohorts.cohorts(t.cust, W95), t.uo)
+
+
+@query("c04_retention_matrix")
+def _(t: Tables):
+    return cohorts.retention_matrix(t.cust, t.uo, W95)
+
+
+@query("c05_latest_event")
+def _(t: Tables):
+    return cohorts.latest_event(cohorts.cohorts(t.cust, W95), t.subs)
+
+
+@query("c06_mrr_pivot")
+def _(t: Tables):
+    return cohorts.mrr_pivot(cohorts.latest_event(cohorts.cohorts(t.cust, W95), t.subs))
+
+
+@query("c07_nrr")
+def _(t: Tables):
+    return cohorts.nrr(t.cust, t.subs, W95, at=3)
+
+
+@query("c08_early_late")
+def _(t: Tables):
+    return cohorts.early_late(t.cust, "1995-06-01")
+
+
+@query("c09_early_breadth")
+def _(t: Tables):
+    return cohorts.early_breadth(t.uo, t.cust, 30)
+
+
+@query("c10_retained_flag")
+def _(t: Tables):
+    return cohorts.retained_flag(t.uo, t.cust, 60, 90)
+
+
+@query("c11_adoption_retention")
+def _(t: Tables):
+    return cohorts.adoption_retention(t.uo, t.cust, 2)
