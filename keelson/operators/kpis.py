@@ -39,3 +39,86 @@ def churn_risk_top(scores: DataFrame, n: int = 100, tier: str = "At Risk") -> Da
 def avg_health(scores: DataFrame) -> DataFrame:
     """Mean of the (already rounded) scores, 2 dp."""
     return scores.agg(round_to(money_avg(F.col("health_score")), 2).alias("avg_health_score"))
+
+
+# ------------------------------------------------------------ usage KPIs
+
+def overall_adoption(usage: DataFrame, cust: DataFrame) -> DataFrame:
+    """Customers with any usage, all customer rows, and the share."""
+    total = cust.agg(F.count(F.lit(1))).scalar()
+    return (usage.agg(F.count_distinct("customer_id").alias("active_customers"))
+            .select("active_customers", total.alias("total_customers"),
+                    pct(F.col("active_customers"), total).alias("adoption_rate_pct")))
+
+
+def feature_penetration(cust: DataFrame, usage: DataFrame) -> DataFrame:
+    """V01 under its dashboard name."""
+    from keelson.operators.value import usage_by_tier
+    return usage_by_tier(cust, usage, pct_col="penetration_pct")
+
+
+def _breadth(usage: DataFrame) -> DataFrame:
+    """Distinct features per customer (NULL features not counted)."""
+    return usage.groupBy("customer_id").agg(F.count_distinct("feature").alias("features_used"))
+
+
+def revenue_by_breadth(cust: DataFrame, usage: DataFrame, hi: int = 5, mid: int = 3) -> DataFrame:
+    """Customers and average MRR per breadth bucket (>= ``hi`` High,
+    >= ``mid`` Medium, else Low; customers without usage are Low)."""
+    j = cust.join(_breadth(usage), "customer_id", "left")
+    k = F.coalesce(F.col("features_used"), F.lit(0))
+    bucket = (F.when(k >= hi, "High Feature Usage").when(k >= mid, "Medium Feature Usage")
+              .otherwise("Low Feature Usage"))
+    return (j.groupBy(bucket.alias("feature_bucket"))
+            .agg(F.count(F.lit(1)).alias("customers"), round_to(money_avg(F.col("mrr")), 2).alias("avg_mrr")))
+
+
+def multi_feature_adoption(usage: DataFrame, cust: DataFrame, min_features: int = 2) -> DataFrame:
+    """% of all customers using at least ``min_features`` features."""
+    total = cust.agg(F.count(F.lit(1))).scalar()
+    multi = _breadth(usage).filter(F.col("features_used") >= min_features)
+    return multi.agg(pct(F.count_distinct("customer_id"), total).alias("pct_multi_feature_users"))
+
+
+def wau_mau(usage: DataFrame, win=("2024-04-01", "2024-04-30")) -> DataFrame:
+    """Mean weekly actives (Sunday weeks) over actives of the window, 4 dp.
+
+    Weeks cut by the window edges count as whole weeks. The reference names
+    this column ``dau_mau_ratio``; it is a WAU/MAU ratio.
+    """
+    u = in_window(usage, win)
+    mau = u.agg(F.count_distinct("customer_id")).scalar()
+    wau = u.groupBy(yearweek(F.col("session_date")).alias("week")).agg(
+        F.count_distinct("customer_id").alias("wau"))
+    return wau.agg(round_to(safe_div(F.avg("wau"), mau), 4).alias("wau_mau_ratio"))
+
+
+def upgrade_conversion(usage: DataFrame, subs: DataFrame) -> DataFrame:
+    """% of each feature's users with an upgrade event (equals V04's %)."""
+    from keelson.operators.value import upgrade_likelihood
+    return upgrade_likelihood(usage, subs).select(
+        "feature", F.col("upgrade_likelihood_pct").alias("upgrade_conversion_pct"))
+
+
+def breadth_vs_mrr(cust: DataFrame, usage: DataFrame, include_id: bool = False) -> DataFrame:
+    """One row per customer with usage: features used and MRR."""
+    j = _breadth(usage).join(cust.select("customer_id", "mrr"), "customer_id")
+    cols = ["customer_id"] if include_id else []
+    return j.select(*cols, "features_used", round_to(F.col("mrr"), 2).alias("avg_mrr"))
+
+
+def avg_mrr_by_breadth(cust: DataFrame, usage: DataFrame) -> DataFrame:
+    """Average MRR per number of features used (the documented KPI)."""
+    j = _breadth(usage).join(cust.select("customer_id", "mrr"), "customer_id")
+    return (j.groupBy("features_used")
+            .agg(F.count(F.lit(1)).alias("customers"), round_to(money_avg(F.col("mrr")), 2).alias("avg_mrr"))
+            .orderBy("features_used"))
+
+
+def churn_rate(subs: DataFrame, cust: DataFrame, event_type: str = "subscription_cancel") -> DataFrame:
+    """Customers with a ``event_type`` event over all customers, %."""
+    total = cust.agg(F.count(F.lit(1))).scalar()
+    churned = subs.filter(F.col("event_type") == event_type).agg(
+        F.count_distinct("customer_id").alias("churned_customers"))
+    return churned.select("churned_customers", total.alias("total_customers"),
+                          pct(F.col("churned_customers"), total).alias("churn_rate_pct"))

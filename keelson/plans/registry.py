@@ -13,7 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.operators import adoption, cohorts, health, kpis
+from keelson.operators import adoption, cohorts, health, kpis, value
 from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
 
@@ -273,3 +273,92 @@ def _(t: Tables):
 @query("c11_adoption_retention")
 def _(t: Tables):
     return cohorts.adoption_retention(t.uo, t.cust, 2)
+
+
+# ------------------------------------------------------------- feature value
+
+@query("v01_usage_by_tier")
+def _(t: Tables):
+    return value.usage_by_tier(t.cust, t.uw)
+
+
+@query("v02_plan_premium_usage")
+def _(t: Tables):
+    return value.plan_premium_usage(t.cust, t.uw, "starter", ("PROMO", "LARGE"))
+
+
+@query("v03_pre_upgrade_usage")
+def _(t: Tables):
+    return value.pre_event_usage(t.uo, t.subs, "plan_upgrade", 30, "users_before_upgrade")
+
+
+@query("v04_upgrade_likelihood")
+def _(t: Tables):
+    return value.upgrade_likelihood(t.uw, t.subs)
+
+
+@query("v05_pre_cancel_usage")
+def _(t: Tables):
+    return value.pre_event_usage(t.uo, t.subs, "subscription_cancel", 30, "churn_users")
+
+
+@query("v06_feature_abandonment")
+def _(t: Tables):
+    return value.feature_abandonment(t.uo, t.subs, 30)
+
+
+@query("v07_wtp_segments")
+def _(t: Tables):
+    return value.wtp_segments(t.cust, t.uo, hi=50, mid=30)
+
+
+@query("v08_bargain_hunters")
+def _(t: Tables):
+    return value.bargain_hunters(t.cust, t.uo, "starter", 50)
+
+
+# ------------------------------------------------------------- KPIs
+
+@query("k01_overall_adoption")
+def _(t: Tables):
+    return kpis.overall_adoption(t.uw, t.cust)
+
+
+@query("k02_feature_penetration")
+def _(t: Tables):
+    return kpis.feature_penetration(t.cust, t.uw)
+
+
+@query("k05_revenue_by_breadth")
+def _(t: Tables):
+    return kpis.revenue_by_breadth(t.cust, t.uw)
+
+
+@query("k06_multi_feature_adoption")
+def _(t: Tables):
+    return kpis.multi_feature_adoption(t.uw, t.cust, 2)
+
+
+@query("k07_wau_mau")
+def _(t: Tables):
+    return kpis.wau_mau(t.uo, ("1999-04-01", "1999-04-30"))
+
+
+@query("k08_upgrade_conversion")
+def _(t: Tables):
+    return kpis.upgrade_conversion(t.uw, t.subs)
+
+
+@query("k10_breadth_vs_mrr")
+def _(t: Tables):
+    return kpis.breadth_vs_mrr(t.cust, t.uw)
+
+
+@query("k11_avg_mrr_by_breadth")
+def _(t: Tables):
+    return kpis.avg_mrr_by_breadth(t.cust, t.uw)
+
+
+@query("k12_churn_rate")
+def _(t: Tables):
+    return kpis.churn_rate(t.subs, t.cust)
