@@ -13,7 +13,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.operators import adoption, cohorts, health, kpis, value
+from keelson.functions.numeric import round_to
+from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
 
@@ -54,6 +55,12 @@ class Tables:
         return dt.support_tickets(self.spark, self.sf_dir)
 
 
+def _rounded(df: DataFrame, cols, digits: int) -> DataFrame:
+    """Present unrounded double statistics at a fixed precision (exact
+    decimal rounding), so engines that differ in the last bit agree."""
+    return df.withColumns({c: round_to(df[c], digits) for c in cols})
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -362,3 +369,178 @@ def _(t: Tables):
 @query("k12_churn_rate")
 def _(t: Tables):
     return kpis.churn_rate(t.subs, t.cust)
+
+
+# ------------------------------------------------------------- statistics
+
+def _bucketed(t: Tables):
+    return stats.breadth_bucket(stats.breadth(t.uw, t.cust), lo=2, mid=4)
+
+
+@query("t01_breadth")
+def _(t: Tables):
+    return stats.breadth(t.uw, t.cust)
+
+
+@query("t02_breadth_bucket")
+def _(t: Tables):
+    return _bucketed(t).select("customer_id", "feature_count", "usage_bucket", "mrr")
+
+
+@query("t03_mrr_by_bucket")
+def _(t: Tables):
+    return stats.mrr_by_bucket(_bucketed(t))
+
+
+@query("t04_welch_t")
+def _(t: Tables):
+    """Welch statistics (6 dp); the p-value is in ``t04_welch_t_pvalue``."""
+    s = stats.welch_stats(_bucketed(t), "usage_bucket", "High", "Medium", "mrr")
+    return _rounded(s, ["mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof"], 6)
+
+
+@query("t04_welch_t_pvalue")
+def _(t: Tables):
+    return stats.welch_t(_bucketed(t), "usage_bucket", "High", "Medium", "mrr")
+
+
+@query("t05_pearson")
+def _(t: Tables):
+    return _rounded(stats.pearson(_bucketed(t), "feature_count", "mrr"), ["corr"], 10)
+
+
+@query("t06_contingency")
+def _(t: Tables):
+    return stats.contingency(_bucketed(t), "usage_bucket", "mrr")
+
+
+@query("t07_chi_square")
+def _(t: Tables):
+    """Chi-square statistic and dof (6 dp); the p-value is in ``t07_chi_square_pvalue``."""
+    return _rounded(stats.chi_square_stats(_bucketed(t), "usage_bucket", "mrr"), ["chi2"], 6)
+
+
+@query("t07_chi_square_pvalue")
+def _(t: Tables):
+    return stats.chi_square(_bucketed(t), "usage_bucket", "mrr")
+
+
+@query("t08_histogram")
+def _(t: Tables):
+    return _rounded(stats.histogram(_scores_v2(t), "health_score", 50), ["bin_lo", "bin_hi"], 10)
+
+
+@query("t09_tier_counts")
+def _(t: Tables):
+    return stats.tier_counts(_scores_v2(t))
+
+
+@query("t10_tier_means")
+def _(t: Tables):
+    return stats.tier_means(_scores_v2(t))
+
+
+@query("t11_box_stats")
+def _(t: Tables):
+    cols = ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]
+    return _rounded(stats.box_stats(_scores_v2(t), "health_tier", "health_score"), cols, 6)
+
+
+@query("t12_churn_alignment")
+def _(t: Tables):
+    return stats.churn_alignment(_scores_v2(t), t.subs)
+
+
+# ------------------------------------------------------------- dashboard
+
+@query("p01_kpi_cards")
+def _(t: Tables):
+    return dashboard.kpi_cards(t.ue, W24)
+
+
+@query("p02_stickiness_ratio")
+def _(t: Tables):
+    return dashboard.stickiness_ratio(t.ue, W24)
+
+
+@query("p03_weekly_active_iso")
+def _(t: Tables):
+    return dashboard.weekly_active_iso(t.ue, W24)
+
+
+@query("p04_adoption_by_plan")
+def _(t: Tables):
+    return dashboard.adoption_by(t.uw, t.cust, "plan", W99)
+
+
+@query("p05_adoption_by_company_size")
+def _(t: Tables):
+    return dashboard.adoption_by(t.uw, t.cust, "company_size", W99)
+
+
+@query("p06_usage_matrix")
+def _(t: Tables):
+    return dashboard.usage_matrix(t.uw, W99)
+
+
+@query("p07_feature_phi")
+def _(t: Tables):
+    return _rounded(dashboard.feature_phi(t.uw, W99), ["phi"], 10)
+
+
+@query("p08_feature_stickiness")
+def _(t: Tables):
+    return _rounded(dashboard.feature_stickiness(t.ue, W24), ["ratio"], 10)
+
+
+@query("p09_top_feature")
+def _(t: Tables):
+    return dashboard.top_feature(t.ue, W24)
+
+
+# ------------------------------------------------------------- sources and preparation
+
+@query("s01_customers")
+def _(t: Tables):
+    return t.cust
+
+
+@query("s01_feature_usage")
+def _(t: Tables):
+    return t.uo
+
+
+@query("s01_subscription_events")
+def _(t: Tables):
+    return t.subs
+
+
+@query("s01_support_tickets")
+def _(t: Tables):
+    return t.tix
+
+
+@query("s05_in_window")
+def _(t: Tables):
+    return prep.in_window(t.ue, W24)
+
+
+@query("s06_active_sessions")
+def _(t: Tables):
+    return prep.active_sessions(t.ue, W24)
+
+
+@query("s07_with_periods")
+def _(t: Tables):
+    return prep.with_periods(prep.active_sessions(t.ue, W24))
+
+
+@query("s08_select_features")
+def _(t: Tables):
+    return prep.select_features(prep.in_window(t.ue, W24), ["click", "view"])
+
+
+@query("s09_usage_daily")
+def _(t: Tables):
+    """The customer-feature-day rollup every usage metric can run on."""
+    return prep.usage_daily(t.uo)
