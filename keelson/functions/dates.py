@@ -20,7 +20,7 @@ def parse_date(c: Column | str) -> Column:
     Already-typed DATE / TIMESTAMP columns are cast directly by callers.
     """
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(F.substring(F.trim(col.cast("string")), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(F.trim(col.cast("string")), 1, 10), "yyyy-MM-dd")
 
 
 def to_date_any(c: Column | str) -> Column:
