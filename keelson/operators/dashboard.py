@@ -98,7 +98,8 @@ def feature_phi(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFram
     sym = pairs.unionByName(pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "n_ij"))
     ni = singles.select(F.col("feature").alias("f1"), F.col("n_i").alias("n1"))
     nj = singles.select(F.col("feature").alias("f2"), F.col("n_i").alias("n2"))
-    g = grid.join(ni, "f1").join(nj, "f2").join(sym, ["f1", "f2"], "left")
+    g = grid.join(ni, "f1").join(nj, "f2").join(sym, ["f1", "f2"], "left").withColumn("_n", n)
+    n = F.col("_n")
     nij = F.when(F.col("f1") == F.col("f2"), F.col("n1")).otherwise(F.coalesce(F.col("n_ij"), F.lit(0)))
     num = (n * nij - F.col("n1") * F.col("n2")).cast("double")
     den = F.sqrt((F.col("n1") * (n - F.col("n1"))).cast("double") * (F.col("n2") * (n - F.col("n2"))).cast("double"))

@@ -47,8 +47,8 @@ def overall_adoption(usage: DataFrame, cust: DataFrame) -> DataFrame:
     """Customers with any usage, all customer rows, and the share."""
     total = cust.agg(F.count(F.lit(1))).scalar()
     return (usage.agg(F.count_distinct("customer_id").alias("active_customers"))
-            .select("active_customers", total.alias("total_customers"),
-                    pct(F.col("active_customers"), total).alias("adoption_rate_pct")))
+            .withColumn("total_customers", total)
+            .withColumn("adoption_rate_pct", pct(F.col("active_customers"), F.col("total_customers"))))
 
 
 def feature_penetration(cust: DataFrame, usage: DataFrame) -> DataFrame:
@@ -120,5 +120,5 @@ def churn_rate(subs: DataFrame, cust: DataFrame, event_type: str = "subscription
     total = cust.agg(F.count(F.lit(1))).scalar()
     churned = subs.filter(F.col("event_type") == event_type).agg(
         F.count_distinct("customer_id").alias("churned_customers"))
-    return churned.select("churned_customers", total.alias("total_customers"),
-                          pct(F.col("churned_customers"), total).alias("churn_rate_pct"))
+    return (churned.withColumn("total_customers", total)
+            .withColumn("churn_rate_pct", pct(F.col("churned_customers"), F.col("total_customers"))))

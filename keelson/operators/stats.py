@@ -122,26 +122,25 @@ def chi_square_stats(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") ->
     ``chi2 = N * (sum O^2 / (R * C) - 1)`` needs only the non-empty cells.
     For a 2x2 table every cell has the same ``|O - E|``, so the corrected
     statistic is ``max(|O - E| - 0.5, 0)^2 * N * sum(1/R) * sum(1/C)``.
+    Row and column totals are one-row aggregates, each used through a single
+    scalar subquery.
     """
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = contingency(d, a, b)
     rows = cells.groupBy(a).agg(F.sum("observed").alias("R"))
     cols = cells.groupBy(b).agg(F.sum("observed").alias("C"))
-    n_total = rows.agg(F.sum("R")).scalar()
-    rsum = rows.agg(F.count(F.lit(1)).alias("r"), F.sum(1.0 / _d(F.col("R"))).alias("inv_r"))
-    csum = cols.agg(F.count(F.lit(1)).alias("c"), F.sum(1.0 / _d(F.col("C"))).alias("inv_c"))
-    j = cells.join(rows, a).join(cols, b)
+    rtot = rows.agg(F.struct(F.sum("R").alias("n"), F.count(F.lit(1)).alias("r"),
+                             F.sum(1.0 / _d(F.col("R"))).alias("inv")).alias("t")).scalar()
+    ctot = cols.agg(F.struct(F.count(F.lit(1)).alias("c"),
+                             F.sum(1.0 / _d(F.col("C"))).alias("inv")).alias("t")).scalar()
+    j = cells.join(rows, a).join(cols, b).withColumn("_rt", rtot)
     o, r_, c_ = _d(F.col("observed")), _d(F.col("R")), _d(F.col("C"))
-    n = _d(n_total)
     agg = j.agg(F.sum(o * o / (r_ * c_)).alias("q"),
-                F.max(F.abs(o - r_ * c_ / n)).alias("dev"))
-    out = agg.select(
-        n_total.alias("n"),
-        rsum.select("r").scalar().alias("n_rows"),
-        csum.select("c").scalar().alias("n_cols"),
-        "q", "dev",
-        rsum.select("inv_r").scalar().alias("inv_r"),
-        csum.select("inv_c").scalar().alias("inv_c"))
+                F.max(F.abs(o - r_ * c_ / _d(F.col("_rt.n")))).alias("dev"),
+                F.max("_rt").alias("_rt"))
+    out = agg.withColumn("_ct", ctot).select(
+        F.col("_rt.n").alias("n"), F.col("_rt.r").alias("n_rows"), F.col("_ct.c").alias("n_cols"),
+        "q", "dev", F.col("_rt.inv").alias("inv_r"), F.col("_ct.inv").alias("inv_c"))
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
     plain = _d(F.col("n")) * (F.col("q") - 1.0)
     yates_dev = F.greatest(F.col("dev") - 0.5, F.lit(0.0))
@@ -165,21 +164,28 @@ def histogram(df: DataFrame, col: str = "health_score", bins: int = 50) -> DataF
     Bin of x: ``min(floor((x - lo) * (bins / (hi - lo))), bins - 1)``; when
     every value is equal the range is widened by 0.5 on each side. Every bin
     is returned, empty ones with 0 (the bin list is generated from the
-    ``bins`` parameter, not from data).
+    ``bins`` parameter, not from data). Two passes: a one-row min/max
+    aggregate (a scalar subquery) and the binning aggregate.
     """
     x = F.col(col).cast("double")
     rng = df.agg(F.struct(F.min(x).alias("mn"), F.max(x).alias("mx")).alias("r")).scalar()
-    lo = F.when(rng["mn"] == rng["mx"], rng["mn"] - 0.5).otherwise(rng["mn"])
-    hi = F.when(rng["mn"] == rng["mx"], rng["mx"] + 0.5).otherwise(rng["mx"])
-    idx = F.least(F.floor((x - lo) * (F.lit(float(bins)) / (hi - lo))), F.lit(bins - 1)).cast("int")
-    counts = df.filter(x.isNotNull()).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    spark = df.sparkSession
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / F.lit(float(bins))
-    return (all_bins.join(counts, "bin", "left")
+
+    def with_edges(frame: DataFrame) -> DataFrame:
+        same = F.col("_r.mn") == F.col("_r.mx")
+        return frame.withColumn("_r", rng).withColumns({
+            "_lo": F.when(same, F.col("_r.mn") - 0.5).otherwise(F.col("_r.mn")),
+            "_hi": F.when(same, F.col("_r.mx") + 0.5).otherwise(F.col("_r.mx"))})
+
+    data = with_edges(df.select(x.alias("_x")).filter(F.col("_x").isNotNull()))
+    idx = F.least(F.floor((F.col("_x") - F.col("_lo")) * (F.lit(float(bins)) / (F.col("_hi") - F.col("_lo")))),
+                  F.lit(bins - 1)).cast("int")
+    counts = data.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    grid = with_edges(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")))
+    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
+    return (grid.join(counts, "bin", "left")
             .select("bin",
-                    (lo + F.col("bin") * width).alias("bin_lo"),
-                    (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
+                    (F.col("_lo") + F.col("bin") * width).alias("bin_lo"),
+                    (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_hi"),
                     F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count")))
 
 

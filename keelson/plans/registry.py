@@ -8,6 +8,9 @@ a top-k.
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
 from collections.abc import Callable
 from functools import cached_property
 
@@ -17,6 +20,7 @@ from keelson.functions.numeric import round_to
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
+from keelson.sources import io
 
 W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
@@ -54,6 +58,29 @@ class Tables:
     def tix(self) -> DataFrame:
         return dt.support_tickets(self.spark, self.sf_dir)
 
+    def persisted(self, name: str, build) -> DataFrame:
+        """Write ``build()`` once into the shared checkpoint folder and scan it.
+
+        For metrics that take several passes over a derived table: the table
+        is computed once (DROP + CREATE semantics: the path is replaced), the
+        passes read files, and the lineage is cut, so a lost executor
+        recomputes nothing upstream of the written table.
+        """
+        key = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
+        path = f"{shared_dir(self.spark)}/keelson/{name}/{key}"
+        build().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a local default only when it
+    is unset and the session itself is local (tests, a laptop)."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return io.checkpoint_dir(spark, default=os.path.join(tempfile.gettempdir(), "keelson-checkpoints"))
+    return io.checkpoint_dir(spark)
+
 
 def _rounded(df: DataFrame, cols, digits: int) -> DataFrame:
     """Present unrounded double statistics at a fixed precision (exact
@@ -154,6 +181,15 @@ def _scores_v2(t: Tables):
     return health.health_scores(t.cust, t.uo, t.subs, t.tix, features=NEW_FEATURES_UO, **health.V2)
 
 
+def _score_table(t: Tables):
+    """The persisted V2 score table for the validation metrics that take two
+    passes over it (histogram, tier means, box statistics): replaced and
+    written once into the shared checkpoint folder, then scanned. Single-pass
+    consumers (tier counts, risk list, average, churn alignment) read the
+    score computation directly."""
+    return t.persisted("health_scores_v2", lambda: _scores_v2(t))
+
+
 @query("h01_feature_score")
 def _(t: Tables):
     return health.feature_score(t.uo, None)
@@ -377,6 +413,12 @@ def _bucketed(t: Tables):
     return stats.breadth_bucket(stats.breadth(t.uw, t.cust), lo=2, mid=4)
 
 
+def _bucket_table(t: Tables):
+    """T02's table persisted for the chi-square test, which scans it several
+    times (cells, row totals, column totals)."""
+    return t.persisted("breadth_buckets_uw", lambda: _bucketed(t))
+
+
 @query("t01_breadth")
 def _(t: Tables):
     return stats.breadth(t.uw, t.cust)
@@ -417,17 +459,17 @@ def _(t: Tables):
 @query("t07_chi_square")
 def _(t: Tables):
     """Chi-square statistic and dof (6 dp); the p-value is in ``t07_chi_square_pvalue``."""
-    return _rounded(stats.chi_square_stats(_bucketed(t), "usage_bucket", "mrr"), ["chi2"], 6)
+    return _rounded(stats.chi_square_stats(_bucket_table(t), "usage_bucket", "mrr"), ["chi2"], 6)
 
 
 @query("t07_chi_square_pvalue")
 def _(t: Tables):
-    return stats.chi_square(_bucketed(t), "usage_bucket", "mrr")
+    return stats.chi_square(_bucket_table(t), "usage_bucket", "mrr")
 
 
 @query("t08_histogram")
 def _(t: Tables):
-    return _rounded(stats.histogram(_scores_v2(t), "health_score", 50), ["bin_lo", "bin_hi"], 10)
+    return _rounded(stats.histogram(_score_table(t), "health_score", 50), ["bin_lo", "bin_hi"], 10)
 
 
 @query("t09_tier_counts")
@@ -437,13 +479,13 @@ def _(t: Tables):
 
 @query("t10_tier_means")
 def _(t: Tables):
-    return stats.tier_means(_scores_v2(t))
+    return stats.tier_means(_score_table(t))
 
 
 @query("t11_box_stats")
 def _(t: Tables):
     cols = ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"]
-    return _rounded(stats.box_stats(_scores_v2(t), "health_tier", "health_score"), cols, 6)
+    return _rounded(stats.box_stats(_score_table(t), "health_tier", "health_score"), cols, 6)
 
 
 @query("t12_churn_alignment")
