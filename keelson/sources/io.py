@@ -16,7 +16,7 @@ from keelson.functions.dates import parse_date
 from keelson.sources import schema as S
 
 
-def _typed_from_text(df: DataFrame, name: str) -> DataFrame:
+def typed_from_text(df: DataFrame, name: str) -> DataFrame:
     target = S.TABLES[name]
     cols = []
     for field in target.fields:
@@ -54,7 +54,7 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
         for field in target.fields:
             if field.name not in raw.columns:
                 raw = raw.withColumn(field.name, F.lit(None).cast("string"))
-        return _typed_from_text(raw, name)
+        return typed_from_text(raw, name)
     df = spark.read.format(fmt).load(path)
     cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target.fields]
@@ -74,8 +74,10 @@ def write_scores(df: DataFrame, target: str, fmt: str = "parquet", as_table: boo
     """Replace-and-materialise the score table (S03, DROP IF EXISTS + CREATE AS).
 
     ``as_table=True`` saves a catalog table named ``target``; otherwise
-    ``target`` is a path. Overwrite is atomic per job: a failed or restarted
-    job leaves no partial table behind, and a lost executor's tasks are rerun.
+    ``target`` is a path. Tasks lost with an executor are re-run and only
+    committed task output becomes visible; a job that fails as a whole leaves
+    the target replaced or missing (as after DROP without CREATE) and is
+    simply re-run.
     """
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
