@@ -82,9 +82,11 @@ def _with_launch(first: DataFrame) -> DataFrame:
     """Attach each feature's first use in the window (its "launch").
 
     A grouped aggregate joined back on ``feature`` instead of a window over
-    ``feature``: a window would put every customer of a feature into one
-    task, while the aggregate is combined map-side and the joined table has
-    one row per feature (AQE broadcasts it after measuring it).
+    ``feature``: a window would sort every customer of a feature in one task,
+    while the aggregate is combined map-side and the joined table has one row
+    per feature. AQE measures that table at run time and broadcasts it; were
+    it planned as a sort-merge join, AQE's skew handling splits the few large
+    feature partitions of the per-customer side.
     """
     launch = first.groupBy("feature").agg(F.min("first_use").alias("launch"))
     launch = launch.withColumnRenamed("feature", "_lf")
@@ -126,10 +128,19 @@ def power_users(usage: DataFrame, win=DEFAULT_WINDOW, min_days: int = 5) -> Data
 
 def activation_rate(usage: DataFrame, cust: DataFrame, win=DEFAULT_WINDOW, days: int = 7) -> DataFrame:
     """Customers whose first use came within ``days`` of the feature's
-    first use; count and share of all customers."""
-    lag = _with_launch(_first_use(usage, win))
-    return (lag.filter(F.datediff("first_use", "launch") <= days)
-            .groupBy("feature").agg(F.count(F.lit(1)).alias("activated_users"))
+    first use; count and share of all customers.
+
+    Customers are first counted per (feature, first-use day), a table bounded
+    by features x calendar days; the launch day and the cut-off are applied
+    to that histogram, so no per-customer row is joined on ``feature``.
+    """
+    hist = (_first_use(usage, win).groupBy("feature", "first_use")
+            .agg(F.count(F.lit(1)).alias("n")))
+    launch = (hist.groupBy("feature").agg(F.min("first_use").alias("launch"))
+              .withColumnRenamed("feature", "_lf"))
+    return (hist.join(launch, hist["feature"].eqNullSafe(launch["_lf"]))
+            .filter(F.datediff("first_use", "launch") <= days)
+            .groupBy("feature").agg(F.sum("n").alias("activated_users"))
             .withColumn("activation_rate_pct",
                         pct(F.col("activated_users"), total_customers(cust))))
 

@@ -73,10 +73,14 @@ def latest_event(coh: DataFrame, subs: DataFrame) -> DataFrame:
     aggregate, so a customer with very many events is reduced map-side
     rather than sorted in a single task as a window would.
     """
-    j = coh.join(subs.select("customer_id", "event_date", "event_id", "mrr_at_event"), "customer_id")
+    # last event per (customer, day) first: a customer with a huge number of
+    # events reaches the join with at most one row per calendar day
+    daily = (subs.groupBy("customer_id", "event_date")
+             .agg(F.max(F.struct("event_date", "event_id", "mrr_at_event")).alias("_e")))
+    j = coh.join(daily, "customer_id")
     j = j.withColumn("month_number", month_diff(F.col("signup_date"), F.col("event_date")))
     return (j.groupBy("customer_id", "cohort_month", "month_number")
-            .agg(F.max(F.struct("event_date", "event_id", "mrr_at_event")).alias("_last"))
+            .agg(F.max("_e").alias("_last"))
             .select("customer_id", "cohort_month", "month_number",
                     F.col("_last.mrr_at_event").alias("mrr_at_event")))
 

@@ -133,7 +133,11 @@ def chi_square_stats(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") ->
                              F.sum(1.0 / _d(F.col("R"))).alias("inv")).alias("t")).scalar()
     ctot = cols.agg(F.struct(F.count(F.lit(1)).alias("c"),
                              F.sum(1.0 / _d(F.col("C"))).alias("inv")).alias("t")).scalar()
-    j = cells.join(rows, a).join(cols, b).withColumn("_rt", rtot)
+    # ``rows`` has one row per level of ``a`` (the crosstab's index: here the
+    # three usage buckets), so it is broadcast; joining it by hash on ``a``
+    # would send every cell of a level to one task. ``cols`` can be as large
+    # as the cells and is joined by hash on ``b``.
+    j = cells.join(F.broadcast(rows), a).join(cols, b).withColumn("_rt", rtot)
     o, r_, c_ = _d(F.col("observed")), _d(F.col("R")), _d(F.col("C"))
     agg = j.agg(F.sum(o * o / (r_ * c_)).alias("q"),
                 F.max(F.abs(o - r_ * c_ / _d(F.col("_rt.n")))).alias("dev"),
@@ -224,8 +228,9 @@ def box_stats(df: DataFrame, group: str = "health_tier", col: str = "health_scor
     Quartiles use the exact ``percentile`` aggregate, whose buffer holds one
     entry per distinct value of the group (a 2-dp score has at most a few
     thousand). Whiskers are the most extreme values within ``whis * IQR`` of
-    the box; they need a second pass joined to the per-group quartiles (one
-    row per group, broadcast by AQE after it measures it).
+    the box; they need a second pass joined to the per-group fences. ``group``
+    is a low-cardinality category (the score tiers); its fence table is
+    broadcast.
     """
     x = F.col(col).cast("double")
     q = (df.filter(x.isNotNull()).groupBy(group)
@@ -235,7 +240,9 @@ def box_stats(df: DataFrame, group: str = "health_tier", col: str = "health_scor
          .withColumn("iqr", F.col("q3") - F.col("q1")))
     fences = q.select(group, (F.col("q1") - whis * F.col("iqr")).alias("_lo"),
                       (F.col("q3") + whis * F.col("iqr")).alias("_hi"))
-    w = (df.filter(x.isNotNull()).select(group, x.alias("_x")).join(fences, group)
+    # one row per group (the four score tiers): broadcast, so the values are
+    # never hash-partitioned by their few group keys
+    w = (df.filter(x.isNotNull()).select(group, x.alias("_x")).join(F.broadcast(fences), group)
          .groupBy(group)
          .agg(F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("whisker_lo"),
               F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("whisker_hi"),
