@@ -56,18 +56,24 @@ def pre_event_usage(usage: DataFrame, subs: DataFrame, event_type: str = UPGRADE
 
     The range condition is turned into an equi-join: every distinct
     (customer, event day) expands into its ``days + 1`` covered days, which
-    are de-duplicated and joined to distinct (customer, feature, day) usage.
-    Each usage row matches at most once, so the join output is bounded by the
-    usage rollup, however many events a customer has.
+    are de-duplicated and joined to usage reduced to one row per (customer,
+    day) holding that day's feature set. Both sides are hash-partitioned on
+    (customer, day) by their own aggregation, so the join adds no shuffle,
+    and each usage day matches at most once however many events a customer
+    has.
     """
     ev = subs.filter(F.col("event_type") == event_type).select("customer_id", "event_date").distinct()
     covered = (ev.select("customer_id",
                          F.explode(F.sequence(F.date_sub("event_date", days), F.col("event_date")))
                          .alias("session_date"))
                .distinct())
-    u = usage.select("customer_id", "feature", "session_date").distinct()
-    hits = u.join(covered, ["customer_id", "session_date"]).select("customer_id", "feature").distinct()
-    return (hits.groupBy("feature").agg(F.count("customer_id").alias(out_col))
+    # features wrapped in a struct so that a NULL feature keeps its group
+    u = (usage.groupBy("customer_id", "session_date")
+         .agg(F.collect_set(F.struct("feature")).alias("features")))
+    hits = (u.join(covered, ["customer_id", "session_date"])
+            .select("customer_id", F.explode("features").alias("f"))
+            .select("customer_id", F.col("f.feature").alias("feature")))
+    return (hits.groupBy("feature").agg(F.count_distinct("customer_id").alias(out_col))
             .orderBy(F.col(out_col).desc()))
 
 

@@ -186,3 +186,18 @@ def test_empty_customers_gives_null_pct(spark, tables):
     rows = adoption.adoption_rate(usage, empty, W24).collect()
     assert rows and all(r["adoption_rate_pct"] is None and r["total_customers"] == 0 for r in rows)
     assert kpis.overall_adoption(usage, empty).first()["adoption_rate_pct"] is None
+
+
+def test_pre_event_usage_keeps_null_feature_and_window_edges(spark):
+    u = spark.createDataFrame([
+        (1, None, d("2024-03-01"), 5),       # NULL feature inside the window
+        (1, "a", d("2024-01-31"), 5),        # exactly event - 30: inside
+        (1, "b", d("2024-01-30"), 5),        # event - 31: outside
+        (1, "c", d("2024-03-01"), 5),        # the event day itself: inside
+        (2, "a", d("2024-03-05"), 5),        # after the event: outside
+    ], S.FEATURE_USAGE)
+    subs = spark.createDataFrame([(1, "plan_upgrade", d("2024-03-01"), Decimal("1.00"), 1),
+                                  (2, "plan_upgrade", d("2024-03-01"), Decimal("1.00"), 2)],
+                                 S.SUBSCRIPTION_EVENTS)
+    got = as_dict(value.pre_event_usage(u, subs), "feature", "users_before_upgrade")
+    assert got == {None: 1, "a": 1, "c": 1}
