@@ -16,6 +16,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from keelson.functions.dates import parse_date
 from keelson.functions.numeric import round_to
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.operators.prep import in_window
@@ -443,7 +446,9 @@ def _(t: Tables):
 
 @query("t04_welch_t_pvalue")
 def _(t: Tables):
-    return stats.welch_t(_bucketed(t), "usage_bucket", "High", "Medium", "mrr")
+    """The full test including the p-value and the verdict (6 dp)."""
+    s = stats.welch_t(_bucketed(t), "usage_bucket", "High", "Medium", "mrr")
+    return _rounded(s, ["mean_a", "mean_b", "var_a", "var_b", "t_stat", "dof", "p_value"], 6)
 
 
 @query("t05_pearson")
@@ -464,7 +469,8 @@ def _(t: Tables):
 
 @query("t07_chi_square_pvalue")
 def _(t: Tables):
-    return stats.chi_square(_bucket_table(t), "usage_bucket", "mrr")
+    """The full test including the p-value and the verdict (6 dp)."""
+    return _rounded(stats.chi_square(_bucket_table(t), "usage_bucket", "mrr"), ["chi2", "p_value"], 6)
 
 
 @query("t08_histogram")
@@ -562,6 +568,24 @@ def _(t: Tables):
     return t.tix
 
 
+@query("s03_health_scores_table")
+def _(t: Tables):
+    """S03 then S02: replace the score table in the shared folder, read it back."""
+    key = hashlib.sha1(os.path.abspath(t.sf_dir).encode()).hexdigest()[:12]
+    path = f"{shared_dir(t.spark)}/keelson/customer_health_scores/{key}"
+    io.write_scores(_scores_v2(t), path)
+    return io.read_scores(t.spark, path)
+
+
+@query("s04_parse_dates")
+def _(t: Tables):
+    """S04 over a whole table: order timestamps exported as text
+    (``yyyy-MM-dd HH:mm:ss``) and parsed back to dates."""
+    o = dt.read_table(t.spark, t.sf_dir, "orders")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    return o.select("o_orderkey", parse_date(text).alias("order_date"))
+
+
 @query("s05_in_window")
 def _(t: Tables):
     return prep.in_window(t.ue, W24)

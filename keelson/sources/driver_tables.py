@@ -42,11 +42,15 @@ SCHEMAS = {
 }
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One generated table, with the declared (pruned) schema."""
     schema = T.StructType([T.StructField(c, t) for c, t in SCHEMAS[name]])
     return spark.read.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_read = read_table
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CUST: one row per ``c_custkey``; signup = date of the first order."""
     c = _read(spark, sf_dir, "customer")
