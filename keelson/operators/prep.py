@@ -79,15 +79,26 @@ def with_month(df: DataFrame, col: str = "session_date", name: str = "usage_mont
     return df.withColumn(name, F.date_format(F.col(col), "yyyy-MM"))
 
 
+PARTITION_COLUMN = "usage_month"
+
+
+def _month_text(d) -> str:
+    return d.strftime("%Y-%m") if hasattr(d, "strftime") else str(d)[:7]
+
+
 def in_window(df: DataFrame, win: Window_ | None, col: str = "session_date") -> DataFrame:
     """Inclusive date-window filter (S05). ``None`` keeps every row.
 
     Applied to a typed DATE column, so the bounds reach the parquet scan as
-    pushed filters.
+    pushed filters. On usage stored partitioned by month (``usage_month``)
+    the matching month range is added as a partition filter, so months
+    outside the window are never listed or read.
     """
     if win is None:
         return df
     start, end = win
+    if col == "session_date" and PARTITION_COLUMN in df.columns:
+        df = df.filter(F.col(PARTITION_COLUMN).between(_month_text(start), _month_text(end)))
     return df.filter(F.col(col).between(lit_date(start), lit_date(end)))
 
 

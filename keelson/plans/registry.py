@@ -23,7 +23,7 @@ from keelson.functions.numeric import round_to
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
-from keelson.sources import io
+from keelson.sources import ingest, io
 
 W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
@@ -31,23 +31,38 @@ W99 = ("1999-01-01", "1999-04-30")
 NEW_FEATURES_UO = ("ECONOMY", "SMALL", "LARGE", "PROMO")
 
 
+USAGE_COLUMNS = ["customer_id", "feature", "session_date", "duration_seconds"]
+
+
 class Tables:
-    """The four-table model over one scale-factor directory (lazy)."""
+    """The four-table model over one scale-factor directory.
+
+    Built once from the generated tables and stored in the shared folder
+    (``keelson.sources.ingest``); every query scans the stored model. Usage
+    is partitioned by month, so windowed metrics prune partitions.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _table(self, name: str) -> DataFrame:
+        return ingest.model_table(self.spark, self.sf_dir, shared_dir(self.spark), name)
+
+    @cached_property
+    def model(self) -> dict[str, DataFrame]:
+        return ingest.model_tables(self.spark, self.sf_dir, shared_dir(self.spark))
+
     @cached_property
     def cust(self) -> DataFrame:
-        return dt.customers(self.spark, self.sf_dir)
+        return self._table("customers")
 
     @cached_property
     def ue(self) -> DataFrame:
-        return dt.usage_from_events(self.spark, self.sf_dir)
+        return self._table("usage_events")
 
     @cached_property
     def uo(self) -> DataFrame:
-        return dt.usage_from_orders(self.spark, self.sf_dir)
+        return self._table("usage_orders")
 
     @cached_property
     def uw(self) -> DataFrame:
@@ -55,11 +70,11 @@ class Tables:
 
     @cached_property
     def subs(self) -> DataFrame:
-        return dt.subscription_events(self.spark, self.sf_dir)
+        return self._table("subscription_events")
 
     @cached_property
     def tix(self) -> DataFrame:
-        return dt.support_tickets(self.spark, self.sf_dir)
+        return self._table("support_tickets")
 
     def persisted(self, name: str, build) -> DataFrame:
         """Write ``build()`` once into the shared checkpoint folder and scan it.
@@ -555,7 +570,7 @@ def _(t: Tables):
 
 @query("s01_feature_usage")
 def _(t: Tables):
-    return t.uo
+    return t.uo.select(*USAGE_COLUMNS)
 
 
 @query("s01_subscription_events")
@@ -588,22 +603,22 @@ def _(t: Tables):
 
 @query("s05_in_window")
 def _(t: Tables):
-    return prep.in_window(t.ue, W24)
+    return prep.in_window(t.ue, W24).select(*USAGE_COLUMNS)
 
 
 @query("s06_active_sessions")
 def _(t: Tables):
-    return prep.active_sessions(t.ue, W24)
+    return prep.active_sessions(t.ue, W24).select(*USAGE_COLUMNS)
 
 
 @query("s07_with_periods")
 def _(t: Tables):
-    return prep.with_periods(prep.active_sessions(t.ue, W24))
+    return prep.with_periods(prep.active_sessions(t.ue, W24)).select(*USAGE_COLUMNS, "date", "week", "month")
 
 
 @query("s08_select_features")
 def _(t: Tables):
-    return prep.select_features(prep.in_window(t.ue, W24), ["click", "view"])
+    return prep.select_features(prep.in_window(t.ue, W24), ["click", "view"]).select(*USAGE_COLUMNS)
 
 
 @query("s09_usage_daily")
