@@ -8,9 +8,9 @@ a top-k.
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -84,10 +84,12 @@ class Tables:
         passes read files, and the lineage is cut, so a lost executor
         recomputes nothing upstream of the written table.
         """
-        key = hashlib.sha1(os.path.abspath(self.sf_dir).encode()).hexdigest()[:12]
-        path = f"{shared_dir(self.spark)}/keelson/{name}/{key}"
-        build().write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        # a fresh folder per call: a query still reading an earlier copy is
+        # never affected by a later run replacing it
+        path = f"{shared_dir(self.spark)}/keelson/{name}/{uuid.uuid4().hex}"
+        df = build()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -586,8 +588,7 @@ def _(t: Tables):
 @query("s03_health_scores_table")
 def _(t: Tables):
     """S03 then S02: replace the score table in the shared folder, read it back."""
-    key = hashlib.sha1(os.path.abspath(t.sf_dir).encode()).hexdigest()[:12]
-    path = f"{shared_dir(t.spark)}/keelson/customer_health_scores/{key}"
+    path = f"{shared_dir(t.spark)}/keelson/customer_health_scores/{uuid.uuid4().hex}"
     io.write_scores(_scores_v2(t), path)
     return io.read_scores(t.spark, path)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,25 +70,44 @@ SCHEMAS = {
 }
 
 
+_LOCKS: dict[str, threading.Lock] = {}
+_LOCKS_GUARD = threading.Lock()
+
+
+def _lock(path: str) -> threading.Lock:
+    with _LOCKS_GUARD:
+        return _LOCKS.setdefault(path, threading.Lock())
+
+
 def model_table(spark: SparkSession, sf_dir: str, root: str, name: str) -> DataFrame:
     """One table of the model of ``sf_dir``, written under ``root`` first if
-    it is not there yet; read with its declared schema (no inference)."""
+    it is not there yet; read with its declared schema (no inference).
+
+    The path is keyed by the sources, so a complete table is never rewritten;
+    concurrent first uses in one driver wait for a single writer.
+    """
     path = f"{root.rstrip('/')}/keelson/model/{_fingerprint(sf_dir)}/{name}"
     if not _complete(spark, path):
-        df = _builders(spark, sf_dir)[name]()
-        w = df.write.mode("overwrite")
-        if name in USAGE_TABLES:
-            # range-partition on (month, customer): each write task holds a
-            # contiguous slice, so a month is written as a few large files,
-            # and a big month is still split over many tasks (AQE sizes the
-            # partitions); a one-off shuffle at ingest
-            df = (df.withColumn(USAGE_PARTITION, F.date_format("session_date", "yyyy-MM"))
-                  .repartitionByRange(USAGE_PARTITION, "customer_id"))
-            w = df.write.mode("overwrite").partitionBy(USAGE_PARTITION)
-        w.parquet(path)
+        with _lock(path):
+            if not _complete(spark, path):
+                _write(spark, sf_dir, name, path)
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
+def _write(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
+    df = _builders(spark, sf_dir)[name]()
+    w = df.write.mode("overwrite")
+    if name in USAGE_TABLES:
+        # range-partition on (month, customer): each write task holds a
+        # contiguous slice, so a month is written as a few large files, and a
+        # big month is still split over many tasks (AQE sizes the
+        # partitions); a one-off shuffle at ingest
+        df = (df.withColumn(USAGE_PARTITION, F.date_format("session_date", "yyyy-MM"))
+              .repartitionByRange(USAGE_PARTITION, "customer_id"))
+        w = df.write.mode("overwrite").partitionBy(USAGE_PARTITION)
+    w.parquet(path)
+
+
 def model_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
     """The whole four-table model of ``sf_dir`` (usage twice: events- and
     order-based), written under ``root`` where missing."""
