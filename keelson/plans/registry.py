@@ -15,7 +15,6 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from keelson.functions.dates import parse_date
@@ -29,8 +28,6 @@ W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
 # part types standing in for the "new" features on the order-based usage
 NEW_FEATURES_UO = ("ECONOMY", "SMALL", "LARGE", "PROMO")
-
-
 USAGE_COLUMNS = ["customer_id", "feature", "session_date", "duration_seconds"]
 
 
@@ -80,12 +77,11 @@ class Tables:
         """Write ``build()`` once into the shared checkpoint folder and scan it.
 
         For metrics that take several passes over a derived table: the table
-        is computed once (DROP + CREATE semantics: the path is replaced), the
-        passes read files, and the lineage is cut, so a lost executor
-        recomputes nothing upstream of the written table.
+        is computed once, the passes read files, and the lineage is cut, so a
+        lost executor recomputes nothing upstream of the written table. Each
+        call writes a fresh folder, so a query still reading an earlier copy
+        is never affected by a later run.
         """
-        # a fresh folder per call: a query still reading an earlier copy is
-        # never affected by a later run replacing it
         path = f"{shared_dir(self.spark)}/keelson/{name}/{uuid.uuid4().hex}"
         df = build()
         df.write.parquet(path)
@@ -203,10 +199,10 @@ def _scores_v2(t: Tables):
 
 def _score_table(t: Tables):
     """The persisted V2 score table for the validation metrics that take two
-    passes over it (histogram, tier means, box statistics): replaced and
-    written once into the shared checkpoint folder, then scanned. Single-pass
-    consumers (tier counts, risk list, average, churn alignment) read the
-    score computation directly."""
+    passes over it (histogram, tier means, box statistics): written once into
+    the shared checkpoint folder, then scanned. Single-pass consumers (tier
+    counts, risk list, average, churn alignment) read the score computation
+    directly."""
     return t.persisted("health_scores_v2", lambda: _scores_v2(t))
 
 
