@@ -83,3 +83,12 @@ def test_month_diff_matches_formula(spark):
             return (b.year - a.year) * 12 + b.month - a.month - (b.day < a.day)
         return -((a.year - b.year) * 12 + a.month - b.month - (a.day < b.day))
     assert got == [ref(a, b) for a, b in pairs]
+
+
+def test_sized_conf_scales_with_input():
+    from keelson.session import sized_conf
+    small = sized_conf(100 << 20, 8)
+    big = sized_conf(100 * (1 << 40), 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
+    assert int(big["spark.sql.shuffle.partitions"]) > 100_000
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
