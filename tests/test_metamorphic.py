@@ -48,11 +48,23 @@ def test_rollup_equals_raw(t, name):
 
 DISTINCT_METRICS = {
     "a01": lambda u, t: adoption.adoption_rate(u, t.cust, W24),
+    "a02": lambda u, t: adoption.dau(u, W24),
+    "a03": lambda u, t: adoption.mau(u, W24),
+    "a04": lambda u, t: adoption.stickiness(u, W24),
     "a05": lambda u, t: adoption.first_use_lag(u, W24),
+    "a06": lambda u, t: adoption.time_to_first_use(u, W24),
+    "a07": lambda u, t: adoption.power_users(u, W24, 5),
+    "a08": lambda u, t: adoption.activation_rate(u, t.cust, W24),
+    "a09": lambda u, t: adoption.weekly_active(u, W24),
     "a10": lambda u, t: adoption.adoption_by(u, t.cust, "plan", W24),
+    "a11": lambda u, t: adoption.adoption_by(u, t.cust, "company_size", W24),
     "a12": lambda u, t: adoption.feature_co_usage(u, W24),
+    "v01": lambda u, t: value.usage_by_tier(t.cust, u),
+    "v02": lambda u, t: value.plan_premium_usage(t.cust, u, "starter", ("click", "view")),
+    "v03": lambda u, t: value.pre_event_usage(u, t.subs),
     "v04": lambda u, t: value.upgrade_likelihood(u, t.subs),
     "v05": lambda u, t: value.pre_event_usage(u, t.subs, "subscription_cancel", 30, "n"),
+    "v06": lambda u, t: value.feature_abandonment(u, t.subs),
 }
 
 
