@@ -12,7 +12,8 @@ from conftest import SF01
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()),
+                  key=lambda r: tuple((v is not None, str(type(v)), v if v is not None else 0) for v in r))
 
 
 @pytest.fixture(scope="module")
