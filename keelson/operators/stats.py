@@ -11,7 +11,7 @@ result row goes through a (vectorised) Python function.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.numeric import safe_div
@@ -213,11 +213,14 @@ def tier_means(scores: DataFrame) -> DataFrame:
               safe_div(F.sum(F.col("health_score").cast("decimal(12,2)")), F.count("health_score"))
               .alias("mean_score"))
          .withColumn("tier_rank", _tier_rank(F.col("health_tier"))))
-    # At most one row per tier (4), so an unpartitioned window over them is
-    # bounded; tiers without customers are skipped, not compared.
-    w = Window.orderBy("tier_rank")
-    steps = m.select((F.col("mean_score") > F.lag("mean_score").over(w)).alias("up"))
-    mono = steps.agg(F.coalesce(F.bool_and(F.coalesce(F.col("up"), F.lit(True))), F.lit(True))).scalar()
+    # the tier means in tier order as one array (tiers without customers are
+    # skipped, not compared); rising when each mean exceeds the one before
+    by_rank = m.agg(*[F.max(F.when(F.col("tier_rank") == i, F.col("mean_score"))).alias(f"r{i}")
+                      for i in range(1, len(TIER_ORDER) + 1)])
+    means = F.filter(F.array(*[F.col(f"r{i}") for i in range(1, len(TIER_ORDER) + 1)]), lambda x: x.isNotNull())
+    rising = F.forall(F.sequence(F.lit(2), F.size(means)),
+                      lambda i: F.element_at(means, i) > F.element_at(means, i - 1))
+    mono = by_rank.select(F.when(F.size(means) < 2, F.lit(True)).otherwise(rising)).scalar()
     return m.select("health_tier", "tier_rank", "customers", "mean_score", mono.alias("monotonic"))
 
 
