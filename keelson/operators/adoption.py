@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.dates import month_key, yearweek
 from keelson.functions.numeric import pct, round_to, safe_div
-from keelson.operators.prep import customer_features, feature_sets, in_window
+from keelson.operators.prep import customer_features, daily_monthly_actives, feature_sets, in_window
 
 DEFAULT_WINDOW = ("2024-01-01", "2024-04-30")
 
@@ -56,21 +56,14 @@ def mau(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
 def stickiness(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Average DAU over the days with activity, MAU, and their ratio.
 
-    Both sides come from one distinct (feature, day, customer) set, so the
-    sessions are shuffled once.
+    One pass over the sessions (``prep.daily_monthly_actives``).
     """
-    fdu = _feature_day_users(usage, win)
-    daily = (fdu.groupBy("feature", "day").agg(F.count("customer_id").alias("dau"))
-                .withColumn("month", month_key(F.col("day"))))
-    monthly = (fdu.withColumn("month", month_key(F.col("day")))
-                  .groupBy("feature", "month")
-                  .agg(F.count_distinct("customer_id").alias("mau")))
-    avg_daily = daily.groupBy("feature", "month").agg(F.avg("dau").alias("_avg_dau"))
-    return (avg_daily.join(monthly, ["feature", "month"])
-            .select("feature", "month",
-                    round_to(F.col("_avg_dau"), 2).alias("avg_dau"),
-                    "mau",
-                    round_to(safe_div(F.col("_avg_dau"), F.col("mau")), 4).alias("dau_mau_ratio")))
+    dm = daily_monthly_actives(usage, win, month_key)
+    avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
+    return dm.select("feature", "month",
+                     round_to(avg_dau, 2).alias("avg_dau"),
+                     "mau",
+                     round_to(safe_div(avg_dau, F.col("mau")), 4).alias("dau_mau_ratio"))
 
 
 def _first_use(usage: DataFrame, win) -> DataFrame:
@@ -130,17 +123,21 @@ def activation_rate(usage: DataFrame, cust: DataFrame, win=DEFAULT_WINDOW, days:
     """Customers whose first use came within ``days`` of the feature's
     first use; count and share of all customers.
 
-    Customers are first counted per (feature, first-use day), a table bounded
-    by features x calendar days; the launch day and the cut-off are applied
-    to that histogram, so no per-customer row is joined on ``feature``.
+    One chain over the sessions: customers are counted per (feature,
+    first-use day), and each feature's days, at most one entry per calendar
+    day, are gathered into one array. The launch day and the cut-off are
+    applied to that array, so no per-customer row is joined on ``feature``.
     """
     hist = (_first_use(usage, win).groupBy("feature", "first_use")
             .agg(F.count(F.lit(1)).alias("n")))
-    launch = (hist.groupBy("feature").agg(F.min("first_use").alias("launch"))
-              .withColumnRenamed("feature", "_lf"))
-    return (hist.join(launch, hist["feature"].eqNullSafe(launch["_lf"]))
-            .filter(F.datediff("first_use", "launch") <= days)
-            .groupBy("feature").agg(F.sum("n").alias("activated_users"))
+    per_feature = hist.groupBy("feature").agg(
+        F.min("first_use").alias("launch"),
+        F.collect_list(F.struct("first_use", "n")).alias("_days"))
+    within = F.aggregate(
+        F.filter(F.col("_days"), lambda d: F.datediff(d["first_use"], F.col("launch")) <= days),
+        F.lit(0).cast("long"), lambda acc, d: acc + d["n"])
+    return (per_feature.select("feature", within.alias("activated_users"))
+            .filter(F.col("activated_users") > 0)
             .withColumn("activation_rate_pct",
                         pct(F.col("activated_users"), total_customers(cust))))
 

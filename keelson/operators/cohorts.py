@@ -140,11 +140,24 @@ def retained_flag(usage: DataFrame, cust: DataFrame, lo: int = 60, hi: int = 90)
 def adoption_retention(usage: DataFrame, cust: DataFrame, min_features: int = 2, days: int = 30,
                        lo: int = 60, hi: int = 90) -> DataFrame:
     """C11: retention of customers who used >= ``min_features`` features early
-    ("High Adoption") vs the rest with some early use ("Low Adoption")."""
-    e = early_breadth(usage, cust, days)
-    r = retained_flag(usage, cust, lo, hi)
+    ("High Adoption") vs the rest with some early use ("Low Adoption").
+
+    One join of distinct (customer, feature, day) usage with the signup
+    dates, then both flags (early breadth as in C09, retained as in C10) as
+    conditional aggregates per customer; customers without early use are
+    left out.
+    """
+    u = usage.select("customer_id", "feature", "session_date").distinct()
+    s = _signup(cust)
+    d, start = F.col("session_date"), F.col("signup_date")
+    early = d.between(start, F.date_add(start, days))
+    kept = d.between(F.date_add(start, lo), F.date_add(start, hi))
+    per = (u.join(s, "customer_id").groupBy("customer_id")
+           .agg(F.max(F.when(early, 1)).alias("_early"),
+                F.count_distinct(F.when(early, F.col("feature"))).alias("features_used"),
+                F.max(F.when(kept, 1).otherwise(0)).alias("retained_m3"))
+           .filter(F.col("_early") == 1))
     seg = F.when(F.col("features_used") >= min_features, "High Adoption").otherwise("Low Adoption")
-    return (e.join(r, "customer_id")
-            .groupBy(seg.alias("segment"))
+    return (per.groupBy(seg.alias("segment"))
             .agg(F.count(F.lit(1)).alias("users"), F.sum("retained_m3").alias("retained_users"))
             .withColumn("retention_pct", pct(F.col("retained_users"), F.col("users"))))

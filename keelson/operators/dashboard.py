@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.dates import monday_week, month_period
-from keelson.functions.numeric import round_to, safe_div
-from keelson.operators.adoption import feature_pairs
-from keelson.operators.prep import active_sessions
+from keelson.functions.numeric import round_to
+from keelson.operators.prep import active_sessions, daily_monthly_actives
 
 DEFAULT_WINDOW = ("2024-01-01", "2024-04-30")
 
@@ -28,17 +27,12 @@ def population(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame
 
 def stickiness_ratio(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
     """Mean daily actives over monthly actives per feature and month
-    (``yyyy-MM``), unrounded. Days without activity do not enter the mean."""
-    fdu = population(usage, win, features).select(
-        "feature", F.col("session_date").alias("date"), "customer_id").distinct()
-    daily = (fdu.groupBy("feature", "date").agg(F.count(F.lit(1)).alias("dau"))
-             .withColumn("month", month_period(F.col("date"))))
-    avg_dau = daily.groupBy("feature", "month").agg(
-        safe_div(F.sum("dau"), F.count("dau")).alias("avg_dau"))
-    mau = (fdu.withColumn("month", month_period(F.col("date")))
-           .groupBy("feature", "month").agg(F.count_distinct("customer_id").alias("mau")))
-    return (avg_dau.join(mau, ["feature", "month"])
-            .withColumn("ratio", F.col("avg_dau") / F.col("mau").cast("double")))
+    (``yyyy-MM``), unrounded. Days without activity do not enter the mean.
+    One pass over the sessions (``prep.daily_monthly_actives``)."""
+    dm = daily_monthly_actives(population(usage, win, features), None, month_period)
+    avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
+    return dm.select("feature", "month", avg_dau.alias("avg_dau"), "mau",
+                     (avg_dau / F.col("mau").cast("double")).alias("ratio"))
 
 
 def kpi_cards(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
@@ -77,34 +71,41 @@ def feature_phi(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFram
     From counts: ``n`` customers in the matrix, ``n_i`` users of each feature
     and ``n_ij`` users of both; phi is
     ``(n*n_ij - n_i*n_j) / sqrt(n_i(n-n_i) * n_j(n-n_j))``, NULL when a
-    feature is used by everyone or no one (a constant column). Pair counts
-    come from distinct feature sets weighted by their frequency, so the cost
-    is linear in customers.
+    feature is used by everyone (a constant column).
+
+    One chain over the sessions: customers -> their feature set -> distinct
+    sets with a weight -> weighted counts of every ordered feature pair
+    (the diagonal gives ``n_i``, a NULL sentinel pair gives ``n``). That
+    table has at most F^2 + 1 rows for a catalogue of F features, the size of
+    the output matrix itself, so it is gathered into one row and the matrix
+    (zero cells included) is built with higher-order functions.
     """
     pop = population(usage, win, features)
-    sets = pop.groupBy("customer_id").agg(F.array_sort(F.collect_set("feature")).alias("features"))
-    n = sets.agg(F.count(F.lit(1))).scalar()
-    weighted = sets.groupBy("features").agg(F.count(F.lit(1)).alias("w"))
-    singles = (weighted.select(F.explode("features").alias("feature"), "w")
-               .groupBy("feature").agg(F.sum("w").alias("n_i")))
-    pairs = (weighted.select(F.explode(feature_pairs(F.col("features"))).alias("p"), "w")
-             .groupBy(F.col("p.feature_1").alias("f1"), F.col("p.feature_2").alias("f2"))
-             .agg(F.sum("w").alias("n_ij")))
-    # the full square over the (catalogue-sized) list of features
-    names = singles.agg(F.array_sort(F.collect_list("feature")).alias("fs"))
-    grid = names.select(F.explode(F.flatten(F.transform(
-        F.col("fs"), lambda a: F.transform(F.col("fs"), lambda b: F.struct(a.alias("f1"), b.alias("f2"))))))
-        .alias("g")).select(F.col("g.f1").alias("f1"), F.col("g.f2").alias("f2"))
-    sym = pairs.unionByName(pairs.select(F.col("f2").alias("f1"), F.col("f1").alias("f2"), "n_ij"))
-    ni = singles.select(F.col("feature").alias("f1"), F.col("n_i").alias("n1"))
-    nj = singles.select(F.col("feature").alias("f2"), F.col("n_i").alias("n2"))
-    g = grid.join(ni, "f1").join(nj, "f2").join(sym, ["f1", "f2"], "left").withColumn("_n", n)
-    n = F.col("_n")
-    nij = F.when(F.col("f1") == F.col("f2"), F.col("n1")).otherwise(F.coalesce(F.col("n_ij"), F.lit(0)))
-    num = (n * nij - F.col("n1") * F.col("n2")).cast("double")
-    den = F.sqrt((F.col("n1") * (n - F.col("n1"))).cast("double") * (F.col("n2") * (n - F.col("n2"))).cast("double"))
-    return g.select(F.col("f1").alias("feature_1"), F.col("f2").alias("feature_2"),
-                    F.when(den > 0, num / den).alias("phi"))
+    sets = pop.groupBy("customer_id").agg(F.array_sort(F.collect_set("feature")).alias("fs"))
+    weighted = sets.groupBy("fs").agg(F.count(F.lit(1)).alias("w"))
+    pair = lambda a, b: F.struct(a.alias("f1"), b.alias("f2"))
+    every_pair = F.concat(
+        F.flatten(F.transform(F.col("fs"), lambda a: F.transform(F.col("fs"), lambda b: pair(a, b)))),
+        F.array(pair(F.lit(None).cast("string"), F.lit(None).cast("string"))))
+    counts = (weighted.select(F.explode(every_pair).alias("p"), "w")
+              .groupBy(F.col("p.f1").alias("f1"), F.col("p.f2").alias("f2"))
+              .agg(F.sum("w").alias("c")))
+    one = counts.agg(F.collect_list(F.struct("f1", "f2", "c")).alias("cells"))
+    cells = F.col("cells")
+    n = F.aggregate(F.filter(cells, lambda x: x["f1"].isNull()), F.lit(0).cast("long"),
+                    lambda acc, x: acc + x["c"])
+    diag = F.array_sort(F.filter(cells, lambda x: x["f1"].isNotNull() & (x["f1"] == x["f2"])))
+    co = F.map_from_entries(F.transform(F.filter(cells, lambda x: x["f1"].isNotNull()),
+                                        lambda x: F.struct(pair(x["f1"], x["f2"]), x["c"])))
+    grid = F.flatten(F.transform(diag, lambda a: F.transform(diag, lambda b: F.struct(
+        a["f1"].alias("feature_1"), b["f1"].alias("feature_2"),
+        a["c"].alias("n1"), b["c"].alias("n2"),
+        F.coalesce(F.try_element_at(co, pair(a["f1"], b["f1"])), F.lit(0).cast("long")).alias("n12")))))
+    g = one.select(n.alias("n"), F.explode(grid).alias("g")).select("n", "g.*")
+    num = (F.col("n") * F.col("n12") - F.col("n1") * F.col("n2")).cast("double")
+    den = F.sqrt((F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")
+                 * (F.col("n2") * (F.col("n") - F.col("n2"))).cast("double"))
+    return g.select("feature_1", "feature_2", F.when(den > 0, num / den).alias("phi"))
 
 
 def feature_stickiness(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:

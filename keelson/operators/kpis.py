@@ -85,12 +85,21 @@ def wau_mau(usage: DataFrame, win=("2024-04-01", "2024-04-30")) -> DataFrame:
 
     Weeks cut by the window edges count as whole weeks. The reference names
     this column ``dau_mau_ratio``; it is a WAU/MAU ratio.
+
+    One pass: each customer's set of active weeks (bounded by the weeks in
+    the window) is exploded; flagging the first week of every customer makes
+    the same rows count the window's distinct actives.
     """
     u = in_window(usage, win)
-    mau = u.agg(F.count_distinct("customer_id")).scalar()
-    wau = u.groupBy(yearweek(F.col("session_date")).alias("week")).agg(
-        F.count_distinct("customer_id").alias("wau"))
-    return wau.agg(round_to(safe_div(F.avg("wau"), mau), 4).alias("wau_mau_ratio"))
+    weeks = u.groupBy("customer_id").agg(
+        F.array_sort(F.collect_set(F.struct(yearweek(F.col("session_date")).alias("week")))).alias("_w"))
+    rows = weeks.select(F.col("customer_id").isNotNull().alias("_counted"),
+                        F.posexplode("_w").alias("_pos", "_wk"))
+    counted = F.col("_counted")
+    weekly = rows.groupBy(F.col("_wk.week").alias("week")).agg(
+        F.sum(F.when(counted, 1).otherwise(0)).alias("wau"),
+        F.sum(F.when(counted & (F.col("_pos") == 0), 1).otherwise(0)).alias("_firsts"))
+    return weekly.agg(round_to(safe_div(F.avg("wau"), F.sum("_firsts")), 4).alias("wau_mau_ratio"))
 
 
 def upgrade_conversion(usage: DataFrame, subs: DataFrame) -> DataFrame:

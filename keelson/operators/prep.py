@@ -158,3 +158,32 @@ def feature_sets(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
     return (in_window(usage, win)
             .groupBy("customer_id")
             .agg(F.array_sort(F.collect_set("feature")).alias("features")))
+
+
+def daily_monthly_actives(usage: DataFrame, win: Window_ | None, month) -> DataFrame:
+    """Per feature and month: mean daily actives over the days with activity,
+    and monthly actives, from a single pass over the sessions.
+
+    Sessions are reduced to one row per (feature, customer, month) holding
+    the set of active days (at most 31). Exploding the sets gives the daily
+    active counts; flagging each customer's first active day of the month
+    makes the same rows count the monthly actives, so the sessions are
+    scanned and shuffled once. ``month`` maps the date column to the month
+    label.
+    """
+    d = F.col("session_date")
+    per_month = (in_window(usage, win).filter(d.isNotNull())
+                 .groupBy("feature", "customer_id", month(d).alias("month"))
+                 .agg(F.array_sort(F.collect_set(d)).alias("days")))
+    days = per_month.select(
+        "feature", "month", F.col("customer_id").isNotNull().alias("_counted"),
+        F.posexplode("days").alias("_pos", "day"))
+    # COUNT(DISTINCT customer_id) ignores a NULL customer, but the day (with
+    # 0 actives) still counts as a day with activity
+    counted = F.col("_counted")
+    daily = (days.groupBy("feature", "month", "day")
+             .agg(F.sum(F.when(counted, 1).otherwise(0)).alias("dau"),
+                  F.sum(F.when(counted & (F.col("_pos") == 0), 1).otherwise(0)).alias("_firsts")))
+    return daily.groupBy("feature", "month").agg(
+        F.sum("dau").alias("_dau_sum"), F.count(F.lit(1)).alias("_days"),
+        F.sum("_firsts").alias("mau"))

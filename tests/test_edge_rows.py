@@ -201,3 +201,11 @@ def test_pre_event_usage_keeps_null_feature_and_window_edges(spark):
                                  S.SUBSCRIPTION_EVENTS)
     got = as_dict(value.pre_event_usage(u, subs), "feature", "users_before_upgrade")
     assert got == {None: 1, "a": 1, "c": 1}
+
+
+def test_stickiness_day_with_only_null_customer(spark):
+    u = spark.createDataFrame([(1, "f", d("2024-01-02"), 5), (None, "f", d("2024-01-03"), 5),
+                               (2, "f", d("2024-01-02"), 5)], S.FEATURE_USAGE)
+    r = adoption.stickiness(u, W24).first()
+    # days with activity: 01-02 (2 users) and 01-03 (0 counted users) -> mean 1.0; MAU 2
+    assert (r["avg_dau"], r["mau"], r["dau_mau_ratio"]) == (1.0, 2, 0.5)
