@@ -100,14 +100,14 @@ def _score_table(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 def feature_score(usage: DataFrame, win=None) -> DataFrame:
     """One row per customer with usage in ``win``."""
-    u = in_window(as_rollup(usage), win)
+    u = as_rollup(in_window(usage, win))
     agg = u.groupBy("customer_id").agg(F.sum("events").alias("n"))
     return _score_table(agg, "feature_score", _feature_expr(F.col("n")))
 
 
 def login_score(usage: DataFrame, win=None) -> DataFrame:
     """NULL (not the cap) when every duration is NULL."""
-    u = in_window(as_rollup(usage), win)
+    u = as_rollup(in_window(usage, win))
     agg = u.groupBy("customer_id").agg(F.sum("duration_sum").alias("d"))
     return _score_table(agg, "login_score", _login_expr(F.col("d")))
 
