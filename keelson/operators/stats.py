@@ -119,38 +119,42 @@ def contingency(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") -> DataF
 def chi_square_stats(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") -> DataFrame:
     """T07 without the p-value: chi2 (Yates-corrected when dof = 1), dof, N.
 
-    ``chi2 = N * (sum O^2 / (R * C) - 1)`` needs only the non-empty cells.
-    For a 2x2 table every cell has the same ``|O - E|``, so the corrected
-    statistic is ``max(|O - E| - 0.5, 0)^2 * N * sum(1/R) * sum(1/C)``.
-    Row and column totals are one-row aggregates, each used through a single
-    scalar subquery.
+    ``chi2 = N * (sum O^2 / (R * C) - 1)`` needs only the non-empty cells, and
+    ``sum O^2 / (R_i * C_j) = sum_i (1 / R_i) * sum_j O_ij^2 / C_j``. One chain
+    over the input: cells, column totals, cells joined to their column total,
+    one row per level of ``a`` (the crosstab's index, here three buckets)
+    holding ``R_i`` and ``sum_j O_ij^2 / C_j`` plus each column counted once,
+    then one global row. For a 2x2 table every cell has the same
+    ``|O - E|``, so the corrected statistic is
+    ``max(|O - E| - 0.5, 0)^2 * N * sum(1/R) * sum(1/C)`` with ``|O - E|``
+    taken from any observed cell.
     """
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = contingency(d, a, b)
-    rows = cells.groupBy(a).agg(F.sum("observed").alias("R"))
-    cols = cells.groupBy(b).agg(F.sum("observed").alias("C"))
-    rtot = rows.agg(F.struct(F.sum("R").alias("n"), F.count(F.lit(1)).alias("r"),
-                             F.sum(1.0 / _d(F.col("R"))).alias("inv")).alias("t")).scalar()
-    ctot = cols.agg(F.struct(F.count(F.lit(1)).alias("c"),
-                             F.sum(1.0 / _d(F.col("C"))).alias("inv")).alias("t")).scalar()
-    # ``rows`` has one row per level of ``a`` (the crosstab's index: here the
-    # three usage buckets), so it is broadcast; joining it by hash on ``a``
-    # would send every cell of a level to one task. ``cols`` can be as large
-    # as the cells and is joined by hash on ``b``.
-    j = cells.join(F.broadcast(rows), a).join(cols, b).withColumn("_rt", rtot)
-    o, r_, c_ = _d(F.col("observed")), _d(F.col("R")), _d(F.col("C"))
-    agg = j.agg(F.sum(o * o / (r_ * c_)).alias("q"),
-                F.max(F.abs(o - r_ * c_ / _d(F.col("_rt.n")))).alias("dev"),
-                F.max("_rt").alias("_rt"))
-    out = agg.withColumn("_ct", ctot).select(
-        F.col("_rt.n").alias("n"), F.col("_rt.r").alias("n_rows"), F.col("_ct.c").alias("n_cols"),
-        "q", "dev", F.col("_rt.inv").alias("inv_r"), F.col("_ct.inv").alias("inv_c"))
+    cols = cells.groupBy(b).agg(F.sum("observed").alias("C"), F.min(a).alias("_first"))
+    o, c_ = _d(F.col("observed")), _d(F.col("C"))
+    first = F.col(a) == F.col("_first")
+    per_level = (cells.join(cols, b).groupBy(a).agg(
+        F.sum("observed").alias("R"),
+        F.sum(o * o / c_).alias("S"),
+        F.sum(F.when(first, 1.0 / c_).otherwise(0.0)).alias("inv_c"),
+        F.sum(F.when(first, 1).otherwise(0)).alias("n_cols"),
+        F.max_by(F.struct(o.alias("o"), c_.alias("c")), F.col(b)).alias("cell")))
+    r_ = _d(F.col("R"))
+    tot = per_level.agg(
+        F.sum("R").alias("n"), F.count(F.lit(1)).alias("n_rows"), F.sum("n_cols").alias("n_cols"),
+        F.sum(F.col("S") / r_).alias("q"), F.sum(1.0 / r_).alias("inv_r"), F.sum("inv_c").alias("inv_c"),
+        F.min_by(F.struct(r_.alias("r"), F.col("cell.o").alias("o"), F.col("cell.c").alias("c")), F.col(a))
+        .alias("one"))
+    n = _d(F.col("n"))
+    dev = F.abs(F.col("one.o") - F.col("one.r") * F.col("one.c") / n)
     dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
-    plain = _d(F.col("n")) * (F.col("q") - 1.0)
-    yates_dev = F.greatest(F.col("dev") - 0.5, F.lit(0.0))
-    yates = yates_dev * yates_dev * _d(F.col("n")) * F.col("inv_r") * F.col("inv_c")
+    plain = n * (F.col("q") - 1.0)
+    yates_dev = F.greatest(dev - 0.5, F.lit(0.0))
+    yates = yates_dev * yates_dev * n * F.col("inv_r") * F.col("inv_c")
     chi2 = F.when(dof == 0, F.lit(0.0)).when(dof == 1, yates).otherwise(plain)
-    return out.select("n", "n_rows", "n_cols", dof.cast("long").alias("dof"), chi2.alias("chi2"))
+    return tot.select("n", "n_rows", F.col("n_cols").cast("long").alias("n_cols"),
+                      dof.cast("long").alias("dof"), chi2.alias("chi2"))
 
 
 def chi_square(df: DataFrame, a: str = "usage_bucket", b: str = "mrr", alpha: float = ALPHA) -> DataFrame:

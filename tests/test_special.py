@@ -38,3 +38,35 @@ def test_edges():
     assert gammaincc(3, 0) == 1
     # symmetric beta: I_0.5(a, a) = 0.5
     assert betainc(4.5, 4.5, 0.5) == pytest.approx(0.5, abs=1e-13)
+
+
+def _brute_chi2(pairs):
+    import numpy as np
+    rows = sorted({a for a, _ in pairs})
+    cols = sorted({b for _, b in pairs})
+    o = np.zeros((len(rows), len(cols)))
+    for a, b in pairs:
+        o[rows.index(a), cols.index(b)] += 1
+    e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
+    dof = (len(rows) - 1) * (len(cols) - 1)
+    if dof == 0:
+        return 0.0, 0
+    if dof == 1:
+        diff = e - o
+        o = o + np.minimum(0.5, np.abs(diff)) * np.sign(diff)
+    return float(((o - e) ** 2 / e).sum()), dof
+
+
+@pytest.mark.parametrize("pairs", [
+    [("x", 1)] * 7 + [("x", 2)] * 3 + [("y", 1)] * 2 + [("y", 2)] * 9,     # 2x2
+    [("x", 1)] * 7 + [("y", 1)] * 2 + [("y", 2)] * 9,                      # 2x2 with a zero cell
+    [("x", i % 3) for i in range(20)] + [("y", i % 2) for i in range(11)] + [("z", 2)] * 5,  # 3x3
+    [("x", 1)] * 4 + [("y", 1)] * 3,                                          # one column: dof 0
+])
+def test_chi_square_matches_brute_force(spark, pairs):
+    from keelson.operators import stats
+    df = spark.createDataFrame(pairs, "usage_bucket string, mrr int")
+    r = stats.chi_square_stats(df).first()
+    want, dof = _brute_chi2(pairs)
+    assert r["dof"] == dof and r["n"] == len(pairs)
+    assert r["chi2"] == pytest.approx(want, rel=1e-12, abs=1e-12)
