@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -74,18 +73,18 @@ class Tables:
         return self._table("support_tickets")
 
     def persisted(self, name: str, build) -> DataFrame:
-        """Write ``build()`` once into the shared checkpoint folder and scan it.
+        """A table derived from the model, stored next to it and scanned.
 
         For metrics that take several passes over a derived table: the table
         is computed once, the passes read files, and the lineage is cut, so a
-        lost executor recomputes nothing upstream of the written table. Each
-        call writes a fresh folder, so a query still reading an earlier copy
-        is never affected by a later run.
+        lost executor recomputes nothing upstream of the written table. The
+        table is written once per model and code version (the folder is keyed
+        by both) and then shared by every query that needs it, the way the
+        original's dashboard queries share its materialised score table.
         """
-        path = f"{shared_dir(self.spark)}/keelson/{name}/{uuid.uuid4().hex}"
-        df = build()
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        model = ingest.model_dir(self.sf_dir, shared_dir(self.spark))
+        path = f"{model}/derived-{ingest.code_hash()}/{name}"
+        return ingest.stored(self.spark, path, build)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -577,8 +576,9 @@ def _(t: Tables):
 
 @query("s03_health_scores_table")
 def _(t: Tables):
-    """S03 then S02: replace the score table in the shared folder, read it back."""
-    path = f"{shared_dir(t.spark)}/keelson/customer_health_scores/{uuid.uuid4().hex}"
+    """S03 then S02: replace the score table in the shared folder (DROP +
+    CREATE on every call, as the original's script does), read it back."""
+    path = f"{ingest.model_dir(t.sf_dir, shared_dir(t.spark))}/customer_health_scores"
     io.write_scores(_scores_v2(t), path)
     return io.read_scores(t.spark, path)
 

@@ -7,8 +7,9 @@ parquet into the cluster's shared folder: usage partitioned by month
 other tables unpartitioned. Metrics then scan files instead of re-deriving
 the model from its sources on every query.
 
-A model is keyed by its source files (path, size, modification time) and a
-format version, and is rebuilt when any of them changes. A folder counts as
+A model is keyed by its source files (path, size, modification time), a
+format version and a hash of this package's code, and is rebuilt when any of
+them changes. A folder counts as
 complete only once Spark's job commit has written its ``_SUCCESS`` marker.
 """
 
@@ -31,8 +32,33 @@ SOURCES = ("customer", "orders", "lineitem", "part", "events")
 USAGE_TABLES = ("usage_events", "usage_orders")
 
 
-def _fingerprint(sf_dir: str) -> str:
-    h = hashlib.sha1(FORMAT_VERSION.encode())
+_CODE_HASHES: dict[tuple[str, ...], str] = {}
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+MODEL_CODE = ("sources", "functions")
+
+
+def code_hash(parts: tuple[str, ...] = ()) -> str:
+    """Hash of the package's source (``parts``: sub-packages; all if empty),
+    so stored tables built by one version of the code are never served to
+    another."""
+    if parts not in _CODE_HASHES:
+        h = hashlib.sha1()
+        for d, _, files in sorted(os.walk(PACKAGE_ROOT)):
+            rel = os.path.relpath(d, PACKAGE_ROOT)
+            if parts and rel.split(os.sep)[0] not in parts:
+                continue
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(os.path.join(rel, f).encode() + fh.read())
+        _CODE_HASHES[parts] = h.hexdigest()[:12]
+    return _CODE_HASHES[parts]
+
+
+def fingerprint(sf_dir: str) -> str:
+    """Key of a stored model: its source files and the ingest/mapping code
+    that built it (metric code changes do not force a re-ingest)."""
+    h = hashlib.sha1(f"{FORMAT_VERSION}:{code_hash(MODEL_CODE)}".encode())
     for name in SOURCES:
         p = os.path.join(sf_dir, f"{name}.parquet")
         try:
@@ -79,6 +105,29 @@ def _lock(path: str) -> threading.Lock:
         return _LOCKS.setdefault(path, threading.Lock())
 
 
+def model_dir(sf_dir: str, root: str) -> str:
+    return f"{root.rstrip('/')}/keelson/model/{fingerprint(sf_dir)}"
+
+
+def stored(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
+    """Write ``build()`` to ``path`` unless a complete copy is there; scan it.
+
+    Write-once: a complete table is never rewritten (its path is keyed by
+    everything it depends on), so readers are never disturbed, and
+    concurrent first uses in one driver wait for a single writer.
+    """
+    if not _complete(spark, path):
+        with _lock(path):
+            if not _complete(spark, path):
+                df = build()
+                df.write.mode("overwrite").parquet(path)
+                schema = schema or df.schema
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(path)
+
+
 def model_table(spark: SparkSession, sf_dir: str, root: str, name: str) -> DataFrame:
     """One table of the model of ``sf_dir``, written under ``root`` first if
     it is not there yet; read with its declared schema (no inference).
@@ -86,7 +135,7 @@ def model_table(spark: SparkSession, sf_dir: str, root: str, name: str) -> DataF
     The path is keyed by the sources, so a complete table is never rewritten;
     concurrent first uses in one driver wait for a single writer.
     """
-    path = f"{root.rstrip('/')}/keelson/model/{_fingerprint(sf_dir)}/{name}"
+    path = f"{model_dir(sf_dir, root)}/{name}"
     if not _complete(spark, path):
         with _lock(path):
             if not _complete(spark, path):
