@@ -2,7 +2,6 @@
 sessions change no distinct-count metric, and related metrics agree."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from keelson.operators import adoption, dashboard, health, kpis, stats, value
 from keelson.operators.prep import usage_daily
