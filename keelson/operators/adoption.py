@@ -71,18 +71,18 @@ def _first_use(usage: DataFrame, win) -> DataFrame:
             .agg(F.min("session_date").alias("first_use")))
 
 
-def _with_launch(first: DataFrame) -> DataFrame:
+def _with_launch(first: DataFrame, usage: DataFrame, win) -> DataFrame:
     """Attach each feature's first use in the window (its "launch").
 
-    A grouped aggregate joined back on ``feature`` instead of a window over
-    ``feature``: a window would sort every customer of a feature in one task,
-    while the aggregate is combined map-side and the joined table has one row
-    per feature. AQE measures that table at run time and broadcasts it; were
-    it planned as a sort-merge join, AQE's skew handling splits the few large
-    feature partitions of the per-customer side.
+    The launch is the minimum date per feature over the raw rows: a narrow
+    aggregate (two columns, combined map-side, one row per feature) rather
+    than a second pass over the per-customer table, and no window over
+    ``feature`` (which would sort every customer of a feature in one task).
+    AQE measures the one-row-per-feature table at run time and broadcasts
+    it.
     """
-    launch = first.groupBy("feature").agg(F.min("first_use").alias("launch"))
-    launch = launch.withColumnRenamed("feature", "_lf")
+    launch = (in_window(usage, win).groupBy(F.col("feature").alias("_lf"))
+              .agg(F.min("session_date").alias("launch")))
     return (first.join(launch, first["feature"].eqNullSafe(launch["_lf"]))
                  .drop("_lf"))
 
@@ -90,7 +90,7 @@ def _with_launch(first: DataFrame) -> DataFrame:
 def first_use_lag(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Days from the feature's first use in the window to each
     customer's first use of it."""
-    return (_with_launch(_first_use(usage, win))
+    return (_with_launch(_first_use(usage, win), usage, win)
             .select("feature", "customer_id",
                     F.datediff("first_use", "launch").alias("days_to_first_use")))
 
