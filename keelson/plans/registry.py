@@ -197,11 +197,10 @@ def _scores_v2(t: Tables):
 
 
 def _score_table(t: Tables):
-    """The persisted V2 score table for the validation metrics that take two
-    passes over it (histogram, tier means, box statistics): written once into
-    the shared checkpoint folder, then scanned. Single-pass consumers (tier
-    counts, risk list, average, churn alignment) read the score computation
-    directly."""
+    """The persisted V2 score table, as the original's dashboard and
+    validation queries read it (tier counts, risk list, average, histogram,
+    tier means, box statistics, churn alignment): written once per model and
+    code version into the shared folder, then scanned."""
     return t.persisted("health_scores_v2", lambda: _scores_v2(t))
 
 
@@ -260,17 +259,17 @@ def _(t: Tables):
 
 @query("k03_tier_distribution")
 def _(t: Tables):
-    return kpis.tier_distribution(_scores_v2(t))
+    return kpis.tier_distribution(_score_table(t))
 
 
 @query("k04_churn_risk_top")
 def _(t: Tables):
-    return kpis.churn_risk_top(_scores_v2(t), 100)
+    return kpis.churn_risk_top(_score_table(t), 100)
 
 
 @query("k09_avg_health")
 def _(t: Tables):
-    return kpis.avg_health(_scores_v2(t))
+    return kpis.avg_health(_score_table(t))
 
 
 # ------------------------------------------------------------- cohorts
@@ -486,7 +485,7 @@ def _(t: Tables):
 
 @query("t09_tier_counts")
 def _(t: Tables):
-    return stats.tier_counts(_scores_v2(t))
+    return stats.tier_counts(_score_table(t))
 
 
 @query("t10_tier_means")
@@ -502,7 +501,7 @@ def _(t: Tables):
 
 @query("t12_churn_alignment")
 def _(t: Tables):
-    return stats.churn_alignment(_scores_v2(t), t.subs)
+    return stats.churn_alignment(_score_table(t), t.subs)
 
 
 # ------------------------------------------------------------- dashboard
