@@ -74,8 +74,10 @@ def welch_stats(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFr
     vb = _var(F.col("n_b"), F.col("s1_b"), F.col("s2_b"))
     ma = F.try_divide(_d(F.col("s1_a")), _d(F.col("n_a")))
     mb = F.try_divide(_d(F.col("s1_b")), _d(F.col("n_b")))
-    row = row.select(F.col("n_a"), F.col("n_b"), ma.alias("mean_a"), mb.alias("mean_b"),
-                     va.alias("var_a"), vb.alias("var_b"))
+    # a group without rows has size 0 and no mean or variance
+    row = row.select(F.coalesce(F.col("n_a"), F.lit(0).cast("long")).alias("n_a"),
+                     F.coalesce(F.col("n_b"), F.lit(0).cast("long")).alias("n_b"),
+                     ma.alias("mean_a"), mb.alias("mean_b"), va.alias("var_a"), vb.alias("var_b"))
     qa = F.try_divide(F.col("var_a"), _d(F.col("n_a")))
     qb = F.try_divide(F.col("var_b"), _d(F.col("n_b")))
     se2 = qa + qb

@@ -209,3 +209,12 @@ def test_stickiness_day_with_only_null_customer(spark):
     r = adoption.stickiness(u, W24).first()
     # days with activity: 01-02 (2 users) and 01-03 (0 counted users) -> mean 1.0; MAU 2
     assert (r["avg_dau"], r["mau"], r["dau_mau_ratio"]) == (1.0, 2, 0.5)
+
+
+def test_welch_with_an_empty_group(spark):
+    from keelson.operators import stats
+    df = spark.createDataFrame([("Medium", Decimal("10.00")), ("Medium", Decimal("14.00"))],
+                               "usage_bucket string, mrr decimal(12,2)")
+    r = stats.welch_t(df).first()
+    assert (r["n_a"], r["n_b"], r["mean_b"], r["var_b"]) == (0, 2, 12.0, 8.0)
+    assert r["t_stat"] is None and r["p_value"] is None
