@@ -72,3 +72,29 @@ def test_power_users_thresholds(spark):
     five = [r["power_users_count"] for r in q(spark, "a07_power_users").collect()]
     ten = [r["power_users_count"] for r in q(spark, "a07_power_users_10d").collect()]
     assert all(148 <= n <= 150 for n in five) and all(100 <= n <= 109 for n in ten)
+
+
+def test_revenue_by_breadth_active_buckets(spark):
+    got = {r["feature_bucket"]: r["customers"] for r in q(spark, "k05_revenue_by_breadth").collect()}
+    assert got["High Feature Usage"] == 102 and got["Medium Feature Usage"] == 322
+
+
+def test_cohorts_and_nrr_pairs(spark):
+    sizes = [r["total_users"] for r in q(spark, "c02_cohort_size").collect()]
+    assert len(sizes) == 6 and all(100 <= n <= 177 for n in sizes)
+    piv = q(spark, "c06_mrr_pivot").filter("m0 IS NOT NULL AND m3 IS NOT NULL")
+    assert piv.count() == 94
+
+
+def test_abandonment_and_activation_ranges(spark):
+    ab = [r["abandoned_users"] for r in q(spark, "v06_feature_abandonment").collect()]
+    assert all(51 <= n <= 83 for n in ab)
+    act = [r["activated_users"] for r in q(spark, "a08_activation_rate").collect()]
+    assert all(142 <= n <= 148 for n in act)
+
+
+def test_stickiness_and_weekly_ranges(spark):
+    ratios = [r["dau_mau_ratio"] for r in q(spark, "a04_stickiness").collect()]
+    assert all(0.356 <= round(x, 3) <= 0.359 for x in ratios)   # FIXTURES quotes 3 dp
+    wau = [r["active_users"] for r in q(spark, "a09_weekly_active").collect()]
+    assert all(103 <= n <= 146 for n in wau)
