@@ -98,3 +98,11 @@ def test_stickiness_and_weekly_ranges(spark):
     assert all(0.356 <= round(x, 3) <= 0.359 for x in ratios)   # FIXTURES quotes 3 dp
     wau = [r["active_users"] for r in q(spark, "a09_weekly_active").collect()]
     assert all(103 <= n <= 146 for n in wau)
+
+
+def test_adoption_rate_range_and_window_rows(spark):
+    rows = q(spark, "a01_adoption_rate").collect()
+    assert all(310 <= r["users_used"] <= 345 and 20.67 <= r["adoption_rate_pct"] <= 23.00 for r in rows)
+    from keelson.plans.registry import Tables
+    assert Tables(spark, SF01).uw.count() == 3016
+    assert q(spark, "t05_pearson").first()["corr"] == pytest.approx(0.0301, abs=5e-5)
