@@ -150,9 +150,15 @@ def customer_features(usage: DataFrame, win: Window_ | None = None) -> DataFrame
 
     The basic pre-aggregate for every "who used what" metric: joins run on
     this instead of on raw sessions, so a hot customer has at most one row
-    per feature on the join side.
+    per feature on the join side. Built as one feature set per customer
+    (bounded by the catalogue; a NULL feature is kept by wrapping it in a
+    struct) and exploded, so the pairs come out hash-partitioned by
+    ``customer_id`` and a following join on ``customer_id`` shuffles only the
+    other side.
     """
-    return in_window(usage, win).select("customer_id", "feature").distinct()
+    sets = (in_window(usage, win).groupBy("customer_id")
+            .agg(F.collect_set(F.struct("feature")).alias("_fs")))
+    return sets.select("customer_id", F.explode("_fs").alias("_f")).select("customer_id", "_f.feature")
 
 
 def feature_sets(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
