@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.dates import monday_week, month_period
 from keelson.functions.numeric import round_to
-from keelson.operators.prep import active_sessions, daily_monthly_actives
+from keelson.operators.prep import active_sessions, customer_features, daily_monthly_actives
 
 DEFAULT_WINDOW = ("2024-01-01", "2024-04-30")
 
@@ -53,7 +53,7 @@ def weekly_active_iso(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> Da
 def adoption_by(usage: DataFrame, cust: DataFrame, dim: str, win=DEFAULT_WINDOW, features=None) -> DataFrame:
     """Users per feature and ``dim``; usage without a customer row or
     with a NULL ``dim`` is dropped."""
-    pairs = population(usage, win, features).select("customer_id", "feature").distinct()
+    pairs = customer_features(population(usage, win, features))
     c = cust.select("customer_id", dim).filter(F.col(dim).isNotNull())
     return (pairs.join(c, "customer_id")
             .groupBy("feature", dim).agg(F.count_distinct("customer_id").alias("users")))
