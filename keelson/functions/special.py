@@ -19,13 +19,19 @@ _TINY = 1e-300
 _MAX_ITER = 500
 
 
+def _iterations(*params: float) -> int:
+    """Iteration cap: the expansions need on the order of sqrt(parameter)
+    terms near the distribution's centre (large dof at large sample sizes)."""
+    return _MAX_ITER + int(20 * math.sqrt(max(params)))
+
+
 def _betacf(a: float, b: float, x: float) -> float:
     """Continued fraction for I_x(a, b) (modified Lentz)."""
     qab, qap, qam = a + b, a + 1.0, a - 1.0
     c, d = 1.0, 1.0 - qab * x / qap
     d = 1.0 / (d if abs(d) > _TINY else _TINY)
     h = d
-    for m in range(1, _MAX_ITER + 1):
+    for m in range(1, _iterations(a, b) + 1):
         m2 = 2 * m
         aa = m * (b - m) * x / ((qam + m2) * (a + m2))
         d = 1.0 + aa * d
@@ -67,7 +73,7 @@ def gammaincc(a: float, x: float) -> float:
         # series for P(a, x)
         term = total = 1.0 / a
         ap = a
-        for _ in range(_MAX_ITER * 10):
+        for _ in range(_iterations(a, x)):
             ap += 1.0
             term *= x / ap
             total += term
@@ -79,7 +85,7 @@ def gammaincc(a: float, x: float) -> float:
     c = 1.0 / _TINY
     d = 1.0 / b
     h = d
-    for i in range(1, _MAX_ITER * 10):
+    for i in range(1, _iterations(a, x)):
         an = -i * (i - a)
         b += 2.0
         d = an * d + b

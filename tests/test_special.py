@@ -70,3 +70,18 @@ def test_chi_square_matches_brute_force(spark, pairs):
     want, dof = _brute_chi2(pairs)
     assert r["dof"] == dof and r["n"] == len(pairs)
     assert r["chi2"] == pytest.approx(want, rel=1e-12, abs=1e-12)
+
+
+@pytest.mark.parametrize("k", [1e6, 1e8])
+@pytest.mark.parametrize("z", [-1.5, 0.3, 2.0])
+def test_chi2_large_dof_matches_wilson_hilferty(k, z):
+    # Wilson-Hilferty: (X/k)^(1/3) is close to normal with mean 1 - 2/(9k), variance 2/(9k)
+    m, v = 1 - 2 / (9 * k), 2 / (9 * k)
+    x = k * (m + z * math.sqrt(v)) ** 3
+    want = 0.5 * math.erfc(z / math.sqrt(2))
+    assert chi2_sf(x, k) == pytest.approx(want, abs=2e-4)
+
+
+def test_t_large_dof_is_normal():
+    for t in (0.5, 1.0, 3.0):
+        assert t_two_sided_p(t, 1e9) == pytest.approx(math.erfc(t / math.sqrt(2)), abs=1e-6)
