@@ -102,9 +102,12 @@ def feature_phi(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFram
         a["c"].alias("n1"), b["c"].alias("n2"),
         F.coalesce(F.try_element_at(co, pair(a["f1"], b["f1"])), F.lit(0).cast("long")).alias("n12")))))
     g = one.select(n.alias("n"), F.explode(grid).alias("g")).select("n", "g.*")
-    num = (F.col("n") * F.col("n12") - F.col("n1") * F.col("n2")).cast("double")
-    den = F.sqrt((F.col("n1") * (F.col("n") - F.col("n1"))).cast("double")
-                 * (F.col("n2") * (F.col("n") - F.col("n2"))).cast("double"))
+    # products of counts in exact decimal: n * n_ij overflows a long beyond
+    # about three billion customers
+    wide = {c: F.col(c).cast("decimal(38,0)") for c in ("n", "n12", "n1", "n2")}
+    num = (wide["n"] * wide["n12"] - wide["n1"] * wide["n2"]).cast("double")
+    den = F.sqrt((wide["n1"] * (wide["n"] - wide["n1"])).cast("double")
+                 * (wide["n2"] * (wide["n"] - wide["n2"])).cast("double"))
     return g.select("feature_1", "feature_2", F.when(den > 0, num / den).alias("phi"))
 
 
