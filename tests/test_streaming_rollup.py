@@ -32,3 +32,19 @@ def test_stream_rollup_matches_batch(spark, tmp_path):
     a = health.health_scores_v2(t.cust, usage, t.subs, t.tix, NEW_FEATURES_UO)
     b = health.health_scores_v2(t.cust, partial, t.subs, t.tix, NEW_FEATURES_UO)
     assert rows(a) == rows(b)
+
+
+def test_stream_from_csv_matches_batch_csv(spark, tmp_path):
+    from keelson.sources import io
+    src, target = tmp_path / "csv", str(tmp_path / "rollup")
+    src.mkdir()
+    (src / "a.csv").write_text("customer_id,feature,session_date,duration_seconds\n"
+                               "1,dashboard,2024-01-05,30\n1,dashboard,2024-01-05,10\n"
+                               "2,reporting,2024-13-01,5\n")
+    (src / "b.csv").write_text("customer_id,feature,session_date,duration_seconds\n"
+                               "1,dashboard,2024-01-05 09:00,1\n3,automation,2024-02-01,x\n")
+    q = rollup_stream.start(spark, str(src), target, fmt="csv",
+                            name=f"c{abs(hash(str(tmp_path)))}", available_now=True)
+    q.awaitTermination(300)
+    batch = io.read_table(spark, str(src), "feature_usage")
+    assert rows(usage_daily(rollup_stream.read_rollup(spark, target))) == rows(usage_daily(batch))
