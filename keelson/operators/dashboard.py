@@ -36,11 +36,19 @@ def stickiness_ratio(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> Dat
 
 
 def kpi_cards(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
-    """Active users, features used, mean stickiness (3 dp)."""
+    """Active users, features used, mean stickiness (3 dp).
+
+    The feature count and the mean come from the stickiness table (one row
+    per feature and month of the same population), so the sessions get one
+    distinct count of customers and the stickiness chain.
+    """
     pop = population(usage, win, features)
-    stick = stickiness_ratio(usage, win, features).agg(round_to(F.avg("ratio"), 3)).scalar()
-    return pop.agg(F.count_distinct("customer_id").alias("total_active_users"),
-                   F.count_distinct("feature").alias("features_used")).withColumn("avg_stickiness", stick)
+    cards = stickiness_ratio(usage, win, features).agg(
+        F.struct(F.count_distinct("feature").alias("features_used"),
+                 round_to(F.avg("ratio"), 3).alias("avg_stickiness")).alias("s")).scalar()
+    return (pop.agg(F.count_distinct("customer_id").alias("total_active_users"))
+            .withColumn("_s", cards)
+            .select("total_active_users", "_s.features_used", "_s.avg_stickiness"))
 
 
 def weekly_active_iso(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
