@@ -44,3 +44,14 @@ def test_scores_roundtrip(spark, tmp_path):
 def test_checkpoint_dir_is_read_from_session(spark):
     d = io.checkpoint_dir(spark)
     assert d and not d.endswith("/")
+
+
+def test_parquet_ingest_casts_and_fills_missing_columns(spark, tmp_path):
+    p = str(tmp_path / "subs")
+    spark.createDataFrame([(1, "plan_upgrade", dt.date(2024, 2, 1), 12.5)],
+                          "customer_id int, event_type string, event_date date, mrr_at_event double") \
+        .write.parquet(p)
+    df = io.read_table(spark, p, "subscription_events", fmt="parquet")
+    r = df.first()
+    assert dict(df.dtypes)["customer_id"] == "bigint" and dict(df.dtypes)["mrr_at_event"] == "decimal(12,2)"
+    assert r["event_id"] is None and float(r["mrr_at_event"]) == 12.5
