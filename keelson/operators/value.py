@@ -54,18 +54,20 @@ def pre_event_usage(usage: DataFrame, subs: DataFrame, event_type: str = UPGRADE
     """Per feature, customers who used it within ``days`` days up to
     and including an ``event_type`` event.
 
-    The range condition is turned into an equi-join: every distinct
-    (customer, event day) expands into its ``days + 1`` covered days, which
-    are de-duplicated and joined to usage reduced to one row per (customer,
-    day) holding that day's feature set. Both sides are hash-partitioned on
+    The range condition is turned into an equi-join: every (customer, event
+    day) expands into its ``days + 1`` covered days, which are de-duplicated
+    and joined to usage reduced to one row per (customer, day) holding that
+    day's feature set. Both sides are hash-partitioned on
     (customer, day) by their own aggregation, so the join adds no shuffle,
     and each usage day matches at most once however many events a customer
     has.
     """
-    ev = subs.filter(F.col("event_type") == event_type).select("customer_id", "event_date").distinct()
-    covered = (ev.select("customer_id",
-                         F.explode(F.sequence(F.date_sub("event_date", days), F.col("event_date")))
-                         .alias("session_date"))
+    # one distinct after the expansion (partially aggregated map-side, so a
+    # customer's repeated event days collapse before the shuffle)
+    covered = (subs.filter(F.col("event_type") == event_type)
+               .select("customer_id",
+                       F.explode(F.sequence(F.date_sub("event_date", days), F.col("event_date")))
+                       .alias("session_date"))
                .distinct())
     # features wrapped in a struct so that a NULL feature keeps its group
     u = (usage.groupBy("customer_id", "session_date")
