@@ -64,7 +64,7 @@ def messages(events: DataFrame) -> DataFrame:
             F.array_join(F.transform(F.filter(log, lambda e, i: i >= at), lambda e: e["text"]), "").alias("text"),
             (F.get(log, at)["kind"] == "delete").alias("deleted")))
 
-    logs = events.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(event)).alias("log"))
+    logs = events.groupBy("conv_id", "msg").agg(F.sort_array(F.collect_list(event)).alias("log"))
     folded = logs.select("conv_id", "msg", let(F.col("log"), fold).alias("m"))
     return folded.where(~F.col("m.deleted")).select("conv_id", F.col("m.seq").alias("seq"), "msg",
                                                     F.col("m.role").alias("role"), F.col("m.text").alias("text"))
@@ -76,7 +76,7 @@ def render(msgs: DataFrame) -> DataFrame:
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\c")), F.lit(": "))
     piece = F.struct("seq", "msg", (F.col("role") == TRAINED_ROLE).alias("loss"), head.alias("head"), escape(F.col("text")).alias("body"))
     tail = len(END) + 1
-    convs = msgs.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("ps"))
+    convs = msgs.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
     lengths = F.transform("ps", lambda p: F.struct(F.length(p["head"]).alias("h"), F.length(p["body"]).alias("b")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
     starts = F.aggregate(lengths, start, lambda s, x: F.struct(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import WS_CHARS, let, words
+from keelson.llm.shared import WS_CHARS, let, stored, words
 
 #: Common words of each language, lower case.
 COMMON_WORDS = {
@@ -26,35 +26,46 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
-#: Character classes, as regular expressions of one character each; the rest is a class too.
-CHAR_CLASSES = {
-    "lower": "[a-z]", "upper": "[A-Z]", "other_letter": r"[À-￿]", "digit": "[0-9]", "space": WS_CHARS,
-    "stop": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]",
-}
-MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.75
+#: Character classes, as regular expressions of one character each. Classes beside them: whitespace,
+#: bytes beyond one per character (letters with marks, other scripts), and the rest (mostly a-z).
+CHAR_CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]"}
+MIN_CHARS, MIN_WORDS = 200, 100
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
          "base_failed", "kept")
 
+HELD = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__kl_lang", "__kl_len", "__kl_chars", "__kl_words")
+
 
 def repeated_words(ws: Column) -> Column:
     """How many words of an array stand in a 3-word window that occurs twice or
     more. Windows are told apart by a 64-bit hash."""
+    def covered(places: Column) -> Column:
+        return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+
     def heavy(h: Column) -> Column:
-        by_hash = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
+        by_hash = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
         twins = let(by_hash, lambda s: F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["x"] == e["x"]))
                                                 | F.coalesce(F.get(s, k + 1)["x"] == e["x"], F.lit(False))))
-        return F.size(F.array_distinct(F.flatten(F.transform(twins, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))
+        return covered(F.transform(twins, lambda e: e["i"]))
+
+    def light(h: Column, again: Column) -> Column:
+        places = F.transform(h, lambda x, i: F.when(F.array_contains(again, x), i))
+        return covered(F.filter(places, F.isnotnull))
+
+    def twice(h: Column) -> Column:
+        again = let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, k: F.coalesce(F.get(s, k + 1) == x, F.lit(False)))))
+        return let(again, lambda a: F.when(F.size(a) <= 8, light(h, a)).otherwise(heavy(h)))  # the same number, by the cheaper way
 
     def count(w: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(2), F.size(w) - 1),
                              lambda i: F.xxhash64(F.get(w, i - 2), F.get(w, i - 1), F.get(w, i)))
-        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(heavy(h)))
+        return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(twice(h)))
 
     return F.when(F.size(ws) < 4, 0).otherwise(let(ws, count))
 
 
-def features(df: DataFrame, repeats: bool = True) -> DataFrame:
+def features(df: DataFrame) -> DataFrame:
     """``df`` with counts of words, symbols, repeated lines and words, and the two
     histograms (columns beginning with ``__kl_``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -65,32 +76,33 @@ def features(df: DataFrame, repeats: bool = True) -> DataFrame:
     mine = lists[F.col("__kl_lang")]
 
     def common(w: Column) -> Column:
-        return let(mine, lambda m: let(F.filter(F.transform(w, F.lower), lambda x: F.array_contains(m, x)),
+        return let(mine, lambda m: let(F.filter(w, lambda x: F.array_contains(m, x)),
                                        lambda c: F.transform(m, lambda k: F.size(F.filter(c, lambda x: x == k)))))
 
     per_words = let(ws, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (repeated_words(w) if repeats else F.lit(None)).cast("long").alias("n_repeat_words"), common(w).alias("common")))
+        repeated_words(w).cast("long").alias("n_repeat_words"), common(w).alias("common")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     df = df.withColumns({
-        "__kl_w": per_words, "__kl_len": F.length(text).cast("long"),
+        "__kl_w": per_words, "__kl_len": F.length(text).cast("long"), "__kl_bytes": F.octet_length(text).cast("long"),
         **{f"__kl_c_{k}": F.length(F.regexp_replace(text, f"[^{p.strip('[]')}]+", "")).cast("long") for k, p in CHAR_CLASSES.items()},
         "__kl_dup": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")})
     classes = [F.col(f"__kl_c_{k}") for k in CHAR_CLASSES]
+    space = F.col("__kl_len") - F.col("__kl_w.word_chars")
     in_lists = F.aggregate("__kl_w.common", F.lit(0), lambda s, x: s + x)
     return df.withColumns({
         "n_words": F.col("__kl_w.n_words"), "word_chars": F.col("__kl_w.word_chars"), "n_symbols": F.col("__kl_c_symbol"),
         "n_dup_lines": F.col("__kl_dup"), "n_repeat_words": F.col("__kl_w.n_repeat_words"),
-        "__kl_chars": F.array(*classes, F.col("__kl_len") - sum(classes[1:], classes[0])),
+        "__kl_chars": F.array(*classes, space, F.col("__kl_bytes") - F.col("__kl_len"),
+                              F.col("__kl_len") - space - sum(classes[1:], classes[0])),
         "__kl_words": F.concat(F.transform("__kl_w.common", lambda x: x.cast("long")),
                                F.array(F.col("__kl_w.n_words") - in_lists))})
 
 
-def references(df: DataFrame) -> DataFrame:
-    """The summed histograms of each listed language and of all others: at most
-    ``len(COMMON_WORDS) + 1`` rows (__kl_of, __kl_ref_chars, __kl_ref_words)."""
-    n_chars, n_words = len(CHAR_CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
-    f = features(df.select("text", "lang"), repeats=False)
+def references(f: DataFrame) -> DataFrame:
+    """The summed histograms of each listed language and of all others, from the
+    features of all documents: at most ``len(COMMON_WORDS) + 1`` rows."""
+    n_chars, n_words = len(CHAR_CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
     sums = f.groupBy(F.col("__kl_lang").alias("__kl_of")).agg(
         F.array(*[F.sum(F.get("__kl_chars", F.lit(i))) for i in range(n_chars)]).alias("__kl_ref_chars"),
         F.array(*[F.sum(F.get("__kl_words", F.lit(i))) for i in range(n_words)]).alias("__kl_ref_words"))
@@ -111,12 +123,14 @@ def js_distance(p: Column, q: Column) -> Column:
         let(share(p, n), lambda a: let(share(q, m), lambda b: of(a, b))))))
 
 
-def judge(df: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
+def judge(df: DataFrame, carry: list[str] | None = None, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
           max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``df`` with its counts, both distances, ``base_failed`` and ``kept``."""
-    columns = [c for c in df.columns if c not in ADDED]
-    refs = references(df)
-    f = features(df).join(F.broadcast(refs), F.col("__kl_lang") == F.col("__kl_of"))  # a row per listed language
+    """``df`` (its columns ``carry``, default all) with the counts, both distances,
+    ``base_failed`` and ``kept``."""
+    columns = [c for c in carry or df.columns if c not in ADDED]
+    f = features(df).select(*columns, *[c for c in HELD if c not in columns])
+    f = stored(f, "quality")  # both histograms and their sums come from one reading of the texts
+    f = f.join(F.broadcast(references(f)), F.col("__kl_lang") == F.col("__kl_of"))  # a row per listed language
     f = f.withColumns({
         "char_distance": js_distance(F.col("__kl_chars"), F.col("__kl_ref_chars")),
         "word_distance": F.when(F.col("__kl_lang") == "other", 0.0).otherwise(
@@ -128,7 +142,8 @@ def judge(df: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
 
 
 def judge_documents(df: DataFrame) -> DataFrame:
-    return judge(df.select("doc_id", "text", "lang")).drop("text", "lang")
+    """One row per document, without its text."""
+    return judge(df.select("doc_id", "text", "lang"), carry=["doc_id"])
 
 
 def keep_documents(df: DataFrame) -> DataFrame:
