@@ -32,4 +32,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op4_chat_format, op6_shard, op9_quality_rules)}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.decontam import judge_documents
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op4_chat_format, op6_shard, op8_decontaminate, op9_quality_rules)}
