@@ -9,6 +9,7 @@ size of the symmetric difference of the sets.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 
@@ -84,16 +85,19 @@ class Bands:
         self.num, self.den = num, den
         self.low = [1]
 
-    def band(self, n: int) -> int:
-        while self.low[-1] <= n:
+    def _reach(self, n: int, k: int) -> None:
+        while self.low[-1] <= n or len(self.low) <= k + 1:
             self.low.append(self.low[-1] * self.den // self.num + 1)
-        return int(np.searchsorted(self.low, n, "right")) - 1
+
+    def band(self, n: int) -> int:
+        self._reach(n, 0)
+        return bisect_right(self.low, n) - 1
 
     def blocks(self, k: int) -> tuple[int, int]:
         """Blocks of the sketches that sets of band k share with their larger
         partners, and how many blocks more than the distance asks for."""
-        self.band(self.low[-1] if k < len(self.low) - 1 else self.low[-1] * 2 ** (k - len(self.low) + 2))
-        top = self.low[k] * self.den // self.num
+        self._reach(0, k)
+        top = self.low[k + 1] - 1
         most = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         if not most:
             return 0, 0  # only equal sets link

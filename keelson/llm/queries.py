@@ -17,6 +17,11 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.near_dups import join_near_copies
+    return join_near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.chat import format_conversations
     return format_conversations(spark, table(spark, sf_dir, "conversations"))
@@ -37,4 +42,4 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op4_chat_format, op6_shard, op8_decontaminate, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op4_chat_format, op6_shard, op8_decontaminate, op9_quality_rules)}
