@@ -27,6 +27,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_conversations(spark, table(spark, sf_dir, "conversations"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.warc import archive
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.sharding import shard_documents
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -42,4 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op4_chat_format, op6_shard, op8_decontaminate, op9_quality_rules)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.urls import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op4_chat_format, op5_warc, op6_shard,
+                                                   op8_decontaminate, op9_quality_rules, op10_url_filter)}
