@@ -22,6 +22,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.toxicity import judge_documents
+    return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.chat import format_conversations
     return format_conversations(spark, table(spark, sf_dir, "conversations"))
@@ -52,5 +57,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op4_chat_format, op5_warc, op6_shard,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op3_toxicity, op4_chat_format, op5_warc, op6_shard,
                                                    op8_decontaminate, op9_quality_rules, op10_url_filter)}
