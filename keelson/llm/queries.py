@@ -47,6 +47,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.pii import find_documents
+    return find_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from keelson.llm.decontam import judge_documents
     return judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,4 +63,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op3_toxicity, op4_chat_format, op5_warc, op6_shard,
-                                                   op8_decontaminate, op9_quality_rules, op10_url_filter)}
+                                                   op7_pii, op8_decontaminate, op9_quality_rules, op10_url_filter)}
