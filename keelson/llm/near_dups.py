@@ -42,7 +42,7 @@ from keelson.llm.shared import stored
 WIDTH, NUM, DEN = 3, 90, 100
 CHUNK = 512
 #: A table of so many numbers at most is broadcast, after it has been counted; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -82,16 +82,35 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def bucket_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, below): the sketch words of each class that others may share."""
+    """(key, node, below): what two linked classes have one of in common at least.
+
+    Of the D + 1 + spare words of a class D at most differ from its partner's, so
+    up to ``spare`` words may be left out: those of blocks without shingles."""
     def of(words: str, spare: str, down: int) -> DataFrame:
-        weak = F.size(F.filter(words, lambda w: F.bit_count(w) <= 2))
-        rows = classes.select("node", "band", weak.alias("weak"), spare, F.posexplode(words).alias("block", "word"))
-        rows = rows.where((F.bit_count("word") > 2) | (F.col("weak") > F.col(spare)))
+        empty = F.size(F.filter(words, lambda w: w == 0))
+        rows = classes.select("node", "band", empty.alias("empty"), spare, F.posexplode(words).alias("block", "word"))
+        rows = rows.where((F.col("word") != 0) | (F.col("empty") > F.col(spare)))
         return rows.select(F.xxhash64(F.col("band") - down, "block", "word").alias("key"), "node", F.lit(bool(down)).alias("below"))
 
     return of("own", "own_spare", 0).unionByName(of("below", "below_spare", 1))
 
 
+def bucket_members(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (key, node, below) that share a key, and the buckets (key,
+    size, first). Most buckets hold two classes: these pairs come from the
+    buckets' least and greatest class, once per pair."""
+    member = F.struct("node", "below")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(member).alias("x"), F.max(member).alias("y"))
+    buckets = stored(buckets.where("size > 1"), "buckets")
+    pairs = buckets.where("size = 2").select("x", "y").distinct().withColumn("key", F.xxhash64("x.node", "x.below", "y.node", "y.below", F.lit("pair")))
+    of_pairs = pairs.select("key", F.explode(F.array("x", "y")).alias("m")).select("key", "m.*")
+    larger = small(stored(buckets.where("size > 2").select("key"), "larger"))
+    members = stored(of_pairs.unionByName(keys.join(larger, "key").select("key", "node", "below")), "members")
+    sizes = pairs.select("key", F.lit(2).cast("long").alias("size"), F.col("x.node").alias("first")).unionByName(
+        buckets.where("size > 2").select("key", "size", F.col("x.node").alias("first")))
+    return members, sizes
+
+
 def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int) -> Iterator[pd.DataFrame]:
     """Pairs proposed by each tile of rows sorted by (key, tile): those within the
     bound whose components differ, all or a spanning forest of them."""
@@ -99,7 +118,7 @@ def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int)
         if len(t) < 2:
             return None
         node, comp, n, side = (t[c].to_numpy() for c in ("node", "comp", "n", "side"))
-        words = np.stack(t["words"].to_list()).view(np.uint64)
+        words = np.stack(t["words"].to_list()).view(np.uint64) & parity.PARITY
         found = []
         for i in range(len(t) - 1):
             rest = slice(i + 1, None)
@@ -199,9 +218,7 @@ def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     classes = able.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), first).select("set_id", "doc_id", "s.*")
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    keys = bucket_keys(classes)
-    buckets = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1"), "buckets")
-    members = stored(keys.join(small(buckets.select("key")), "key"), "members")
+    members, buckets = bucket_members(bucket_keys(classes))
 
     tried = stored(proposals(first_tiles(members, buckets, chunk), classes, False, num, den), "pairs")
     links = stored(verify(tried, docs, classes, width, num, den), "links")

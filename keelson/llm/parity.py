@@ -1,9 +1,10 @@
 """Shingle sets and their parity sketches (numpy, one text at a time).
 
-A parity sketch has a 64-bit word per block. Each shingle flips one bit, of the
-block and at the place that its hash names. Shingles in both of two sets cancel
-out in the difference, so the Hamming distance of two sketches is at most the
-size of the symmetric difference of the sets.
+A sketch has a 64-bit word per block, the XOR of one word per shingle of the
+block: 24 parity bits, of which each shingle flips one, and 40 bits of its hash.
+Shingles in both of two sets cancel out in the difference, so the Hamming
+distance of the parity bits is at most the size of the symmetric difference. The
+other bits tell apart the blocks that few flips would not.
 """
 
 from __future__ import annotations
@@ -101,31 +102,19 @@ class Bands:
         most = (top + top * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         if not most:
             return 0, 0  # only equal sets link
-        spare = 0 if most < 7 else 1 if most < 23 else 2 + most // 50
+        spare = 3 + (most + 1) // 16
         return most + 1 + spare, spare
 
 
+PARITY_BITS = 24
+PARITY = U((1 << PARITY_BITS) - 1)
+
+
 def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
-    """The words of the parity sketch of sorted hashes."""
+    """The words of the sketch of sorted hashes; 0 for a block without shingles."""
     words = np.zeros(blocks, U)
     block = ((hashes >> U(32)) * U(blocks)) >> U(32)  # ascending, like the hashes
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    words[block[first].astype(np.int64)] = np.bitwise_xor.reduceat(U(1) << (hashes & U(63)), first)
+    flips = U(1) << ((hashes & U(0xFFFFFF)) % U(PARITY_BITS))
+    words[block[first].astype(np.int64)] = np.bitwise_xor.reduceat((mix(hashes) & ~PARITY) | flips, first)
     return words
-
-
-def keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """What two linked sets have one of in common at least: a hash of (band,
-    block, word), for the own band and for the one below. A doc may leave out as
-    many blocks with few bits as there are blocks to spare."""
-    out = []
-    k = bands.band(len(hashes))
-    for band in (k, k - 1) if k else (k,):
-        blocks, spare = bands.blocks(band)
-        if blocks:
-            words = sketch(hashes, blocks)
-            strong = np.bitwise_count(words) > 2
-            use = strong if blocks - np.count_nonzero(strong) <= spare else np.ones(blocks, bool)
-            at = np.flatnonzero(use).astype(U)
-            out.append(mix(words[use] ^ mix(at + U(band << 32))))
-    return np.concatenate(out) if out else np.empty(0, U)
