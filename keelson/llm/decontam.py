@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.shared import stored
+from keelson.llm.shared import aside, back, stored
 
 WINDOW = 13
 NEAR = 26
@@ -244,6 +244,6 @@ def judge_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``df`` that are not contaminated, unchanged."""
-    return find_contamination(df.withColumns({f"__kl_in_{c}": F.col(c) for c in df.columns}), benchmark,
-                              carry=[f"__kl_in_{c}" for c in df.columns]).where(~F.col("contaminated")).select(
-        *[F.col(f"__kl_in_{c}").alias(c) for c in df.columns])
+    rows = aside(df, "text")
+    found = find_contamination(rows, benchmark, carry=[c for c in rows.columns if c != "text"])
+    return back(found.where(~F.col("contaminated")))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import number_rows
+from keelson.llm.shared import aside, back, number_rows
 
 #: Production targets: the largest source is held back, the others share the rest.
 WEIGHTS = {"src0": 0.30} | {f"src{i}": 0.035 for i in range(1, 20)}
@@ -112,3 +112,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: fl
         F.expr(f"block * {period} div __kl_a").alias("release"),
         F.expr(f"((block + 1) * {period} + __kl_a - 1) div __kl_a").alias("deadline"),
         F.expr(f"slot * {block_rows} + __kl_i % {block_rows}").alias("position"))
+
+
+def mix_documents(df: DataFrame, **how) -> DataFrame:
+    """The rows of the mixture with the columns of ``df`` alone."""
+    return back(mix(aside(df, "source"), **how))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import WS_CHARS, let, stored, words
+from keelson.llm.shared import WS_CHARS, aside, back, let, stored, words
 
 #: Common words of each language, lower case.
 COMMON_WORDS = {
@@ -148,4 +148,5 @@ def judge_documents(df: DataFrame) -> DataFrame:
 
 def keep_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that pass, unchanged."""
-    return judge(df).where("kept").select(*df.columns)
+    rows = aside(df, "text", "lang")
+    return back(judge(rows, carry=[c for c in rows.columns if c not in ("text", "lang")]).where("kept"))

@@ -93,3 +93,13 @@ def number_rows(df: DataFrame, groups: list[str], index: str, order: list[str] |
     place = F.col(start) + F.sum(n).over(inside) - F.col(n)
     return (counted.join(starts, same).withColumn(first, place)
             .select(*cols, F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1)).alias(index)))
+
+
+def aside(df: DataFrame, *needed: str) -> DataFrame:
+    """All columns under names that clash with nothing, and ``needed`` under their own."""
+    return df.select(*[F.col(f"`{c}`").alias(f"__in_{c}") for c in df.columns], *needed)
+
+
+def back(df: DataFrame) -> DataFrame:
+    """The columns that ``aside`` put away, under their names."""
+    return df.select(*[F.col(f"`{c}`").alias(c.removeprefix("__in_")) for c in df.columns if c.startswith("__in_")])
