@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from keelson.functions.dates import parse_date
 from keelson.functions.numeric import round_to
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
-from keelson.operators.prep import in_window
 from keelson.sources import driver_tables as dt
 from keelson.sources import ingest, io
 
@@ -27,6 +26,8 @@ W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
 # part types standing in for the "new" features on the order-based usage
 NEW_FEATURES_UO = ("ECONOMY", "SMALL", "LARGE", "PROMO")
+# brands standing in for the premium features on the brand-based usage
+PREMIUM_BRANDS = ("Brand#11", "Brand#22")
 USAGE_COLUMNS = ["customer_id", "feature", "session_date", "duration_seconds"]
 
 
@@ -61,8 +62,10 @@ class Tables:
         return self._table("usage_orders")
 
     @cached_property
-    def uw(self) -> DataFrame:
-        return in_window(self.uo, W99)
+    def ub(self) -> DataFrame:
+        """The line items with the part's brand as feature (25 brands, so that
+        breadth differs between customers)."""
+        return self._table("usage_brands")
 
     @cached_property
     def subs(self) -> DataFrame:
@@ -126,7 +129,7 @@ def query(key: str):
 
 @query("a01_adoption_rate")
 def _(t: Tables):
-    return adoption.adoption_rate(t.uw, t.cust, W99)
+    return adoption.adoption_rate(t.uo, t.cust, W99)
 
 
 @query("a02_dau")
@@ -177,17 +180,17 @@ def _(t: Tables):
 
 @query("a10_adoption_by_plan")
 def _(t: Tables):
-    return adoption.adoption_by(t.uw, t.cust, "plan", W99)
+    return adoption.adoption_by(t.uo, t.cust, "plan", W99)
 
 
 @query("a11_adoption_by_company_size")
 def _(t: Tables):
-    return adoption.adoption_by(t.uw, t.cust, "company_size", W99)
+    return adoption.adoption_by(t.uo, t.cust, "company_size", W99)
 
 
 @query("a12_feature_co_usage")
 def _(t: Tables):
-    return adoption.feature_co_usage(t.uw, W99)
+    return adoption.feature_co_usage(t.uo, W99)
 
 
 # ------------------------------------------------------------- health
@@ -297,6 +300,12 @@ def _(t: Tables):
     return cohorts.retention_matrix(t.cust, t.uo, W95)
 
 
+@query("c04_retention_matrix_m12")
+def _(t: Tables):
+    """C04 with the documented later months."""
+    return cohorts.retention_matrix(t.cust, t.uo, W95, months=(0, 1, 2, 3, 6, 12))
+
+
 @query("c05_latest_event")
 def _(t: Tables):
     return cohorts.latest_event(cohorts.cohorts(t.cust, W95), t.subs)
@@ -336,12 +345,12 @@ def _(t: Tables):
 
 @query("v01_usage_by_tier")
 def _(t: Tables):
-    return value.usage_by_tier(t.cust, t.uw)
+    return value.usage_by_tier(t.cust, t.ub)
 
 
 @query("v02_plan_premium_usage")
 def _(t: Tables):
-    return value.plan_premium_usage(t.cust, t.uw, "starter", ("PROMO", "LARGE"))
+    return value.plan_premium_usage(t.cust, t.ub, "starter", PREMIUM_BRANDS)
 
 
 @query("v03_pre_upgrade_usage")
@@ -351,7 +360,7 @@ def _(t: Tables):
 
 @query("v04_upgrade_likelihood")
 def _(t: Tables):
-    return value.upgrade_likelihood(t.uw, t.subs)
+    return value.upgrade_likelihood(t.ub, t.subs)
 
 
 @query("v05_pre_cancel_usage")
@@ -378,22 +387,22 @@ def _(t: Tables):
 
 @query("k01_overall_adoption")
 def _(t: Tables):
-    return kpis.overall_adoption(t.uw, t.cust)
+    return kpis.overall_adoption(t.ub, t.cust)
 
 
 @query("k02_feature_penetration")
 def _(t: Tables):
-    return kpis.feature_penetration(t.cust, t.uw)
+    return kpis.feature_penetration(t.cust, t.ub)
 
 
 @query("k05_revenue_by_breadth")
 def _(t: Tables):
-    return kpis.revenue_by_breadth(t.cust, t.uw)
+    return kpis.revenue_by_breadth(t.cust, t.ub, hi=22, mid=19)
 
 
 @query("k06_multi_feature_adoption")
 def _(t: Tables):
-    return kpis.multi_feature_adoption(t.uw, t.cust, 2)
+    return kpis.multi_feature_adoption(t.ub, t.cust, 20)
 
 
 @query("k07_wau_mau")
@@ -403,17 +412,17 @@ def _(t: Tables):
 
 @query("k08_upgrade_conversion")
 def _(t: Tables):
-    return kpis.upgrade_conversion(t.uw, t.subs)
+    return kpis.upgrade_conversion(t.ub, t.subs)
 
 
 @query("k10_breadth_vs_mrr")
 def _(t: Tables):
-    return kpis.breadth_vs_mrr(t.cust, t.uw)
+    return kpis.breadth_vs_mrr(t.cust, t.ub)
 
 
 @query("k11_avg_mrr_by_breadth")
 def _(t: Tables):
-    return kpis.avg_mrr_by_breadth(t.cust, t.uw)
+    return kpis.avg_mrr_by_breadth(t.cust, t.ub)
 
 
 @query("k12_churn_rate")
@@ -424,12 +433,12 @@ def _(t: Tables):
 # ------------------------------------------------------------- statistics
 
 def _bucketed(t: Tables):
-    return stats.breadth_bucket(stats.breadth(t.uw, t.cust), lo=2, mid=4)
+    return stats.breadth_bucket(stats.breadth(t.ub, t.cust), lo=18, mid=21)
 
 
 @query("t01_breadth")
 def _(t: Tables):
-    return stats.breadth(t.uw, t.cust)
+    return stats.breadth(t.ub, t.cust)
 
 
 @query("t02_breadth_bucket")
@@ -523,22 +532,22 @@ def _(t: Tables):
 
 @query("p04_adoption_by_plan")
 def _(t: Tables):
-    return dashboard.adoption_by(t.uw, t.cust, "plan", W99)
+    return dashboard.adoption_by(t.uo, t.cust, "plan", W99)
 
 
 @query("p05_adoption_by_company_size")
 def _(t: Tables):
-    return dashboard.adoption_by(t.uw, t.cust, "company_size", W99)
+    return dashboard.adoption_by(t.uo, t.cust, "company_size", W99)
 
 
 @query("p06_usage_matrix")
 def _(t: Tables):
-    return dashboard.usage_matrix(t.uw, W99)
+    return dashboard.usage_matrix(t.uo, W99)
 
 
 @query("p07_feature_phi")
 def _(t: Tables):
-    return _rounded(dashboard.feature_phi(t.uw, W99), ["phi"], 10)
+    return _rounded(dashboard.feature_phi(t.uo, W99), ["phi"], 10)
 
 
 @query("p08_feature_stickiness")

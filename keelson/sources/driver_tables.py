@@ -37,7 +37,7 @@ SCHEMAS = {
     "customer": [("c_custkey", _L), ("c_nationkey", _I), ("c_acctbal", _D), ("c_mktsegment", _S)],
     "orders": [("o_orderkey", _L), ("o_custkey", _L), ("o_totalprice", _D), ("o_orderdate", _TS)],
     "lineitem": [("l_orderkey", _L), ("l_partkey", _L), ("l_quantity", _D)],
-    "part": [("p_partkey", _L), ("p_type", _S)],
+    "part": [("p_partkey", _L), ("p_type", _S), ("p_brand", _S)],
     "events": [("ts", _TS), ("user_id", _L), ("event_type", _S), ("value", _D)],
 }
 
@@ -86,16 +86,16 @@ def usage_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def usage_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UO: one usage row per line item; feature = part type, date = order date."""
+def usage_from_orders(spark: SparkSession, sf_dir: str, feature: str = "p_type") -> DataFrame:
+    """UO, UB: one usage row per line item; feature = part type or brand, date = order date."""
     li = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_type")
+    p = _read(spark, sf_dir, "part").select("p_partkey", feature)
     j = (li.join(o, li.l_orderkey == o.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey))
     return j.select(
         F.col("o_custkey").alias("customer_id"),
-        F.col("p_type").alias("feature"),
+        F.col(feature).alias("feature"),
         F.col("o_orderdate").cast("date").alias("session_date"),
         F.round(F.col("l_quantity") * 60).cast("long").alias("duration_seconds"),
     )

@@ -29,7 +29,7 @@ from keelson.sources import schema as S
 FORMAT_VERSION = "2"
 USAGE_PARTITION = "usage_month"
 SOURCES = ("customer", "orders", "lineitem", "part", "events")
-USAGE_TABLES = ("usage_events", "usage_orders")
+USAGE_TABLES = ("usage_events", "usage_orders", "usage_brands")
 
 
 _CODE_HASHES: dict[tuple[str, ...], str] = {}
@@ -82,6 +82,7 @@ def _builders(spark: SparkSession, sf_dir: str):
         "customers": lambda: dt.customers(spark, sf_dir),
         "usage_events": lambda: dt.usage_from_events(spark, sf_dir),
         "usage_orders": lambda: dt.usage_from_orders(spark, sf_dir),
+        "usage_brands": lambda: dt.usage_from_orders(spark, sf_dir, "p_brand"),
         "subscription_events": lambda: dt.subscription_events(spark, sf_dir),
         "support_tickets": lambda: dt.support_tickets(spark, sf_dir),
     }
@@ -91,6 +92,7 @@ SCHEMAS = {
     "customers": S.CUSTOMERS,
     "usage_events": T.StructType(list(S.FEATURE_USAGE.fields)).add(USAGE_PARTITION, T.StringType()),
     "usage_orders": T.StructType(list(S.FEATURE_USAGE.fields)).add(USAGE_PARTITION, T.StringType()),
+    "usage_brands": T.StructType(list(S.FEATURE_USAGE.fields)).add(USAGE_PARTITION, T.StringType()),
     "subscription_events": S.SUBSCRIPTION_EVENTS,
     "support_tickets": S.SUPPORT_TICKETS,
 }
