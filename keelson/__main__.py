@@ -4,6 +4,7 @@
                       [--out-format parquet|csv] [--only a0 k0 ...]
 
 Reads customers, feature_usage, subscription_events and support_tickets,
+stores them typed under ``_tables`` in the output folder (text is parsed once),
 writes the health-score table, then one output folder per metric.
 """
 
@@ -25,7 +26,7 @@ def main(argv=None) -> None:
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
     spark = get_session(a.master)
-    done = run_all(load(spark, a.data, a.in_format), a.out, a.out_format, a.only)
+    done = run_all(load(spark, a.data, a.in_format, f"{a.out.rstrip('/')}/_tables"), a.out, a.out_format, a.only)
     print(f"wrote {len(done)} metrics to {a.out}")
 
 

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 
 def parse_date(c: Column | str) -> Column:
-    """Parse ``yyyy-MM-dd`` text into a DATE.
+    """Parse ``yyyy-M-d`` text into a DATE; months and days may have one digit.
 
-    Malformed text gives NULL instead of an error, and text after the first
-    ten characters is ignored, so ``2024-01-05 10:00`` parses to 2024-01-05.
+    Malformed text gives NULL instead of an error, and what follows the date
+    after a space or a ``T`` is ignored: ``2024-1-5 10:00`` is 2024-01-05.
     Already-typed DATE / TIMESTAMP columns are cast directly by callers.
     """
     col = F.col(c) if isinstance(c, str) else c
-    return F.try_to_date(F.substring(F.trim(col.cast("string")), 1, 10), "yyyy-MM-dd")
+    return F.try_to_date(F.split(F.trim(col.cast("string")), "[ T]")[0], "yyyy-M-d")
 
 
 def to_date_any(c: Column | str) -> Column:
@@ -31,11 +31,19 @@ def to_date_any(c: Column | str) -> Column:
 
 def lit_date(d) -> Column:
     """A DATE literal from ``date``/``datetime``/``'yyyy-MM-dd'`` text."""
+    return F.lit(as_date(d))
+
+
+def as_date(d) -> _dt.date:
+    """A date from ``date``/``datetime``/``'yyyy-M-d'`` text; an error for anything else."""
     if isinstance(d, _dt.datetime):
-        d = d.date()
+        return d.date()
     if isinstance(d, _dt.date):
-        return F.lit(d)
-    return F.to_date(F.lit(str(d)))
+        return d
+    if not isinstance(d, str):
+        raise ValueError(f"not a date: {d!r}")
+    year, month, day = d.strip().split("-")
+    return _dt.date(int(year), int(month), int(day))
 
 
 def month_key(d: Column) -> Column:

@@ -9,94 +9,78 @@ the regularised incomplete beta and gamma functions.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_EPS = 1e-15
-_TINY = 1e-300
-_MAX_ITER = 500
-
-
-def _iterations(*params: float) -> int:
-    """Iteration cap: the expansions need on the order of sqrt(parameter)
-    terms near the distribution's centre (large dof at large sample sizes)."""
-    return _MAX_ITER + int(20 * math.sqrt(max(params)))
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction for I_x(a, b) (modified Lentz)."""
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > _TINY else _TINY)
-    h = d
-    for m in range(1, _iterations(a, b) + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = 1.0 + aa / c
-        c = c if abs(c) > _TINY else _TINY
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return h
+PRECISION = 1e-15
+NEAR_ZERO = 1e-300
+
+
+def continued_fraction(parts: Iterator[tuple[float, float]]) -> float:
+    """``b0 + a1/(b1 + a2/(b2 + ...))`` from (a0, b0), (a1, b1), ... (a0 unused).
+
+    The ratio of successive convergents is followed through their numerators'
+    and denominators' own ratios, until it no longer changes the value. It
+    ends by convergence alone; a value that is not a number is returned.
+    """
+    away = lambda v: NEAR_ZERO if abs(v) <= NEAR_ZERO else v
+    _, value = next(parts)
+    value = numerators = away(value)
+    denominators = 0.0
+    for a, b in parts:
+        denominators = 1.0 / away(b + a * denominators)
+        numerators = away(b + a / numerators)
+        change = numerators * denominators
+        value *= change
+        if not abs(change - 1.0) >= PRECISION:
+            return value
+    return value
+
+
+def _beta_parts(a: float, b: float, x: float) -> Iterator[tuple[float, float]]:
+    """1 + d1/(1 + d2/(1 + ...)) of the incomplete beta function."""
+    yield 0.0, 1.0
+    for m in count():
+        yield -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)), 1.0
+        k = m + 1
+        yield k * (b - k) * x / ((a + 2 * k - 1) * (a + 2 * k)), 1.0
+
+
+def _gamma_parts(a: float, x: float) -> Iterator[tuple[float, float]]:
+    """x + 1 - a - 1(1 - a)/(x + 3 - a - 2(2 - a)/(x + 5 - a - ...))."""
+    yield 0.0, x + 1 - a
+    for k in count(1):
+        yield -k * (k - a), x + 2 * k + 1 - a
 
 
 def betainc(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function I_x(a, b)."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    ln_front = (math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                + a * math.log(x) + b * math.log1p(-x))
-    front = math.exp(ln_front)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _betacf(a, b, x) / a
-    return 1.0 - front * _betacf(b, a, 1.0 - x) / b
+    if x <= 0.0 or x >= 1.0:
+        return float(x >= 1.0)
+    if x > (a + 1.0) / (a + b + 2.0):  # the fraction converges fast on the other side
+        return 1.0 - betainc(b, a, 1.0 - x)
+    log_scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(log_scale) / (a * continued_fraction(_beta_parts(a, b, x)))
 
 
 def gammaincc(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function Q(a, x)."""
     if x <= 0.0:
         return 1.0
-    if x < a + 1.0:
-        # series for P(a, x)
-        term = total = 1.0 / a
-        ap = a
-        for _ in range(_iterations(a, x)):
-            ap += 1.0
-            term *= x / ap
-            total += term
-            if abs(term) < abs(total) * _EPS:
-                break
-        return 1.0 - total * math.exp(-x + a * math.log(x) - math.lgamma(a))
-    # continued fraction for Q(a, x)
-    b = x + 1.0 - a
-    c = 1.0 / _TINY
-    d = 1.0 / b
-    h = d
-    for i in range(1, _iterations(a, x)):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        d = 1.0 / (d if abs(d) > _TINY else _TINY)
-        c = b + an / c
-        c = c if abs(c) > _TINY else _TINY
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < _EPS:
-            break
-    return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x >= a + 1.0:
+        return scale / continued_fraction(_gamma_parts(a, x))
+    # P(a, x) as a series of x^k / (a (a + 1) ... (a + k))
+    term = total = 1.0 / a
+    for k in count(1):
+        term *= x / (a + k)
+        total += term
+        if not term >= total * PRECISION:
+            return 1.0 - total * scale
 
 
 def t_two_sided_p(t: float | None, dof: float | None) -> float | None:

@@ -56,9 +56,10 @@ def mau(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
 def stickiness(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Average DAU over the days with activity, MAU, and their ratio.
 
-    One pass over the sessions (``prep.daily_monthly_actives``).
+    One pass over the sessions (``prep.daily_monthly_actives``). Sessions
+    without a feature belong to no row.
     """
-    dm = daily_monthly_actives(usage, win, month_key)
+    dm = daily_monthly_actives(usage.filter(F.col("feature").isNotNull()), win, month_key)
     avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
     return dm.select("feature", "month",
                      round_to(avg_dau, 2).alias("avg_dau"),

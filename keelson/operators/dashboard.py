@@ -81,35 +81,25 @@ def feature_phi(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFram
     ``(n*n_ij - n_i*n_j) / sqrt(n_i(n-n_i) * n_j(n-n_j))``, NULL when a
     feature is used by everyone (a constant column).
 
-    One chain over the sessions: customers -> their feature set -> distinct
-    sets with a weight -> weighted counts of every ordered feature pair
-    (the diagonal gives ``n_i``, a NULL sentinel pair gives ``n``). That
-    table has at most F^2 + 1 rows for a catalogue of F features, the size of
-    the output matrix itself, so it is gathered into one row and the matrix
-    (zero cells included) is built with higher-order functions.
+    Customers -> their feature set -> distinct sets with a weight -> weighted
+    counts of every ordered feature pair, as rows. The diagonal gives ``n_i``;
+    the grid of all pairs, zero cells included, is each feature unfolded over
+    the list of features (its size is that of the output).
     """
     pop = population(usage, win, features)
-    sets = pop.groupBy("customer_id").agg(F.array_sort(F.collect_set("feature")).alias("fs"))
+    pairs = pop.select("customer_id", "feature").distinct()
+    sets = pairs.groupBy("customer_id").agg(F.sort_array(F.collect_list("feature")).alias("fs"))
     weighted = sets.groupBy("fs").agg(F.count(F.lit(1)).alias("w"))
-    pair = lambda a, b: F.struct(a.alias("f1"), b.alias("f2"))
-    every_pair = F.concat(
-        F.flatten(F.transform(F.col("fs"), lambda a: F.transform(F.col("fs"), lambda b: pair(a, b)))),
-        F.array(pair(F.lit(None).cast("string"), F.lit(None).cast("string"))))
-    counts = (weighted.select(F.explode(every_pair).alias("p"), "w")
-              .groupBy(F.col("p.f1").alias("f1"), F.col("p.f2").alias("f2"))
-              .agg(F.sum("w").alias("c")))
-    one = counts.agg(F.collect_list(F.struct("f1", "f2", "c")).alias("cells"))
-    cells = F.col("cells")
-    n = F.aggregate(F.filter(cells, lambda x: x["f1"].isNull()), F.lit(0).cast("long"),
-                    lambda acc, x: acc + x["c"])
-    diag = F.array_sort(F.filter(cells, lambda x: x["f1"].isNotNull() & (x["f1"] == x["f2"])))
-    co = F.map_from_entries(F.transform(F.filter(cells, lambda x: x["f1"].isNotNull()),
-                                        lambda x: F.struct(pair(x["f1"], x["f2"]), x["c"])))
-    grid = F.flatten(F.transform(diag, lambda a: F.transform(diag, lambda b: F.struct(
-        a["f1"].alias("feature_1"), b["f1"].alias("feature_2"),
-        a["c"].alias("n1"), b["c"].alias("n2"),
-        F.coalesce(F.try_element_at(co, pair(a["f1"], b["f1"])), F.lit(0).cast("long")).alias("n12")))))
-    g = one.select(n.alias("n"), F.explode(grid).alias("g")).select("n", "g.*")
+    both = (weighted.select(F.explode("fs").alias("feature_1"), "fs", "w")
+            .select("feature_1", F.explode("fs").alias("feature_2"), "w")
+            .groupBy("feature_1", "feature_2").agg(F.sum("w").alias("n12")))
+    own = both.filter(F.col("feature_1") == F.col("feature_2"))
+    names = own.agg(F.sort_array(F.collect_list("feature_1")).alias("names")).scalar()
+    n = weighted.agg(F.sum("w").alias("n")).scalar()
+    grid = own.select("feature_1", F.col("n12").alias("n1"), F.explode(names).alias("feature_2"))
+    g = (grid.join(own.select("feature_2", F.col("n12").alias("n2")), "feature_2")
+         .join(both, ["feature_1", "feature_2"], "left")
+         .withColumn("n12", F.coalesce("n12", F.lit(0).cast("long"))).withColumn("n", n))
     # products of counts in exact decimal: n * n_ij overflows a long beyond
     # about three billion customers
     wide = {c: F.col(c).cast("decimal(38,0)") for c in ("n", "n12", "n1", "n2")}

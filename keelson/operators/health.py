@@ -80,16 +80,26 @@ def sentiment_points(col: Column) -> Column:
     return e.otherwise(SENTIMENT_OTHER)
 
 
-def _feature_bits(features) -> Column:
-    """Bit ``i`` set when the row's feature is ``features[i]``."""
+WORD_BITS = 62
+
+
+def _feature_words(features) -> list[Column]:
+    """One number per ``WORD_BITS`` listed features: in word ``k`` bit ``i`` is
+    set when the row's feature is ``features[k * WORD_BITS + i]``."""
     features = list(dict.fromkeys(features))
-    if len(features) > 62:
-        raise ValueError("at most 62 listed features are supported")
-    e = None
-    for i, f in enumerate(features):
-        cond = F.col("feature") == f
-        e = F.when(cond, F.lit(1 << i)) if e is None else e.when(cond, F.lit(1 << i))
-    return (e.otherwise(F.lit(0)) if e is not None else F.lit(0)).cast("long")
+    out = []
+    for at in range(0, max(1, len(features)), WORD_BITS):
+        e = F.lit(0)
+        for i, f in enumerate(features[at:at + WORD_BITS]):
+            e = F.when(F.col("feature") == f, F.lit(1 << i)).otherwise(e)
+        out.append(e.cast("long"))
+    return out
+
+
+def _listed(words: list[Column]) -> Column:
+    """How many listed features a customer's words name."""
+    counts = [F.bit_count(w) for w in words]
+    return sum(counts[1:], counts[0])
 
 
 # ------------------------------------------------------------ components
@@ -130,7 +140,7 @@ def payment_score(subs: DataFrame, churn_type: str = "subscription_cancel") -> D
 def new_feature_score(usage: DataFrame, features=NEW_FEATURES) -> DataFrame:
     """Distinct listed features used (all time), 5 points each, max 15."""
     u = usage.filter(F.col("feature").isin(list(features)))
-    agg = u.groupBy("customer_id").agg(F.bit_count(F.bit_or(_feature_bits(features))).alias("k"))
+    agg = u.groupBy("customer_id").agg(_listed([F.bit_or(w) for w in _feature_words(features)]).alias("k"))
     return _score_table(agg, "new_feature_score", _new_feature_expr(F.col("k")))
 
 
@@ -138,39 +148,48 @@ def new_feature_score(usage: DataFrame, features=NEW_FEATURES) -> DataFrame:
 
 def _component_inputs(cust: DataFrame, usage: DataFrame, subs: DataFrame, tix: DataFrame,
                       win, churn_type: str, features) -> DataFrame:
-    """Union of the four inputs projected onto one per-customer measure row."""
+    """Union of the four inputs projected onto one per-customer measure row.
+
+    Facts without a customer id belong to nobody; a customer row without an id
+    has no facts."""
+    words = _feature_words(features)
     zero = F.lit(0).cast("long")
     null_long = F.lit(None).cast("long")
 
-    def row(is_cust=zero, ev=zero, dur=null_long, bits=zero, t_n=zero, t_p=zero, s_n=zero, s_c=zero):
-        return [is_cust.alias("is_cust"), ev.alias("ev"), dur.alias("dur"), bits.alias("bits"),
+    def row(is_cust=zero, ev=zero, dur=null_long, bits=None, t_n=zero, t_p=zero, s_n=zero, s_c=zero):
+        return [is_cust.alias("is_cust"), ev.alias("ev"), dur.alias("dur"),
+                *[b.alias(f"bits{k}") for k, b in enumerate(bits or [zero] * len(words))],
                 t_n.alias("t_n"), t_p.alias("t_p"), s_n.alias("s_n"), s_c.alias("s_c")]
 
     r = as_rollup(usage)
     inw = window_flag(win)
     u = r.select("customer_id", *row(
         ev=F.when(inw, F.col("events")).otherwise(0).cast("long"),
-        dur=F.when(inw, F.col("duration_sum")).cast("long"),
-        bits=_feature_bits(features)))
+        dur=F.when(inw, F.col("duration_sum")),
+        bits=words))
     c = cust.select("customer_id", *row(is_cust=F.lit(1).cast("long")))
     t = tix.select("customer_id", *row(
         t_n=F.lit(1).cast("long"), t_p=sentiment_points(F.col("sentiment")).cast("long")))
     s = subs.select("customer_id", *row(
         s_n=F.lit(1).cast("long"),
         s_c=F.when(F.col("event_type") == churn_type, 1).otherwise(0).cast("long")))
-    return c.unionByName(u).unionByName(t).unionByName(s)
+    known = F.col("customer_id").isNotNull()
+    return c.unionByName(u.filter(known)).unionByName(t.filter(known)).unionByName(s.filter(known))
 
 
 def health_components(cust: DataFrame, usage: DataFrame, subs: DataFrame, tix: DataFrame,
                       win=None, churn_type: str = "subscription_cancel",
                       features=NEW_FEATURES) -> DataFrame:
-    """All five exact components per customer of ``cust`` (0 where absent)."""
+    """All five exact components per row of ``cust`` (0 where absent)."""
+    words = [f"bits{k}" for k in range(len(_feature_words(features)))]
     m = (_component_inputs(cust, usage, subs, tix, win, churn_type, features)
          .groupBy("customer_id")
-         .agg(F.max("is_cust").alias("is_cust"), F.sum("ev").alias("ev"), F.sum("dur").alias("dur"),
-              F.bit_or("bits").alias("bits"), F.sum("t_n").alias("t_n"), F.sum("t_p").alias("t_p"),
+         .agg(F.sum("is_cust").alias("is_cust"), F.sum("ev").alias("ev"), F.sum("dur").alias("dur"),
+              *[F.bit_or(w).alias(w) for w in words], F.sum("t_n").alias("t_n"), F.sum("t_p").alias("t_p"),
               F.sum("s_n").alias("s_n"), F.sum("s_c").alias("s_c"))
-         .filter(F.col("is_cust") == 1))
+         .filter(F.col("is_cust") > 0)
+         # a customer listed twice is scored twice
+         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("is_cust")))))
     z = F.lit(0).cast(EXACT)
     return m.select(
         "customer_id",
@@ -178,7 +197,7 @@ def health_components(cust: DataFrame, usage: DataFrame, subs: DataFrame, tix: D
         F.coalesce(_login_expr(F.col("dur")), z).alias("login_score"),
         F.coalesce(_support_expr(F.col("t_n"), F.col("t_p")), z).alias("support_score"),
         F.coalesce(_payment_expr(F.col("s_n"), F.col("s_c")), z).alias("payment_score"),
-        F.coalesce(_new_feature_expr(F.bit_count(F.col("bits"))), z).alias("new_feature_score"),
+        F.coalesce(_new_feature_expr(_listed([F.col(w) for w in words])), z).alias("new_feature_score"),
     )
 
 

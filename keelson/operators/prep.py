@@ -20,7 +20,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.dates import lit_date, monday_week, month_period
+from keelson.functions.dates import as_date, lit_date, monday_week, month_period
 
 Window_ = tuple  # (start, end) inclusive; str 'yyyy-MM-dd' or date
 
@@ -41,7 +41,7 @@ def as_rollup(usage: DataFrame) -> DataFrame:
         "customer_id", "feature", "session_date",
         F.lit(1).cast("long").alias("events"),
         F.when(d > 0, 1).otherwise(0).cast("long").alias("events_pos"),
-        d.cast("long").alias("duration_sum"),
+        (d if dict(usage.dtypes)["duration_seconds"].startswith("decimal") else d.cast("long")).alias("duration_sum"),
     )
 
 
@@ -90,7 +90,7 @@ PARTITION_COLUMN = "usage_month"
 
 
 def _month_text(d) -> str:
-    return d.strftime("%Y-%m") if hasattr(d, "strftime") else str(d)[:7]
+    return as_date(d).strftime("%Y-%m")
 
 
 def in_window(df: DataFrame, win: Window_ | None, col: str = "session_date") -> DataFrame:
@@ -151,26 +151,26 @@ def customer_features(usage: DataFrame, win: Window_ | None = None) -> DataFrame
     The basic pre-aggregate for every "who used what" metric: joins run on
     this instead of on raw sessions, so a hot customer has at most one row
     per feature on the join side. Built as one feature set per customer
-    (bounded by the catalogue; a NULL feature is kept by wrapping it in a
+    (bounded by the catalogue, from pairs made distinct by a hash aggregate; a NULL feature is kept by wrapping it in a
     struct) and exploded, so the pairs come out hash-partitioned by
     ``customer_id`` and a following join on ``customer_id`` shuffles only the
     other side.
     """
-    sets = (in_window(usage, win).groupBy("customer_id")
-            .agg(F.collect_set(F.struct("feature")).alias("_fs")))
+    sets = (in_window(usage, win).select("customer_id", "feature").distinct().groupBy("customer_id")
+            .agg(F.collect_list(F.struct("feature")).alias("_fs")))
     return sets.select("customer_id", F.explode("_fs").alias("_f")).select("customer_id", "_f.feature")
 
 
 def feature_sets(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
     """One row per customer with the sorted array of features used.
 
-    ``collect_set`` is bounded by the size of the feature catalogue, never by
-    the number of sessions (it is partially aggregated map-side).
+    Sessions are first reduced to distinct pairs by a hash aggregate with
+    map-side combining; the array is bounded by the feature catalogue.
     NULL features are dropped, as ``COUNT(DISTINCT feature)`` drops them.
     """
-    return (in_window(usage, win)
+    return (in_window(usage, win).select("customer_id", "feature").distinct()
             .groupBy("customer_id")
-            .agg(F.array_sort(F.collect_set("feature")).alias("features")))
+            .agg(F.sort_array(F.collect_list("feature")).alias("features")))
 
 
 def daily_monthly_actives(usage: DataFrame, win: Window_ | None, month) -> DataFrame:
@@ -186,8 +186,9 @@ def daily_monthly_actives(usage: DataFrame, win: Window_ | None, month) -> DataF
     """
     d = F.col("session_date")
     per_month = (in_window(usage, win).filter(d.isNotNull())
+                 .select("feature", "customer_id", d).distinct()
                  .groupBy("feature", "customer_id", month(d).alias("month"))
-                 .agg(F.array_sort(F.collect_set(d)).alias("days")))
+                 .agg(F.sort_array(F.collect_list(d)).alias("days")))
     days = per_month.select(
         "feature", "month", F.col("customer_id").isNotNull().alias("_counted"),
         F.posexplode("days").alias("_pos", "day"))

@@ -237,21 +237,20 @@ def box_stats(df: DataFrame, group: str = "health_tier", col: str = "health_scor
     Quartiles use the exact ``percentile`` aggregate, whose buffer holds one
     entry per distinct value of the group (a 2-dp score has at most a few
     thousand). Whiskers are the most extreme values within ``whis * IQR`` of
-    the box; they need a second pass joined to the per-group fences. ``group``
-    is a low-cardinality category (the score tiers); its fence table is
-    broadcast.
+    the box; they need a second pass joined to the per-group fences, which AQE
+    broadcasts if it has measured them to be small. Values are counted per
+    group and value before the quartiles.
     """
     x = F.col(col).cast("double")
-    q = (df.filter(x.isNotNull()).groupBy(group)
-         .agg(F.count(x).alias("n"), F.percentile(x, [0.25, 0.5, 0.75]).alias("_q"))
+    values = df.filter(x.isNotNull()).groupBy(group, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    q = (values.groupBy(group)
+         .agg(F.sum("_c").alias("n"), F.percentile("_v", [0.25, 0.5, 0.75], F.col("_c")).alias("_q"))
          .select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                  F.col("_q")[2].alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1")))
     fences = q.select(group, (F.col("q1") - whis * F.col("iqr")).alias("_lo"),
                       (F.col("q3") + whis * F.col("iqr")).alias("_hi"))
-    # one row per group (the four score tiers): broadcast, so the values are
-    # never hash-partitioned by their few group keys
-    w = (df.filter(x.isNotNull()).select(group, x.alias("_x")).join(F.broadcast(fences), group)
+    w = (df.filter(x.isNotNull()).select(group, x.alias("_x")).join(fences, group)
          .groupBy(group)
          .agg(F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("whisker_lo"),
               F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("whisker_hi"),

@@ -54,28 +54,21 @@ def pre_event_usage(usage: DataFrame, subs: DataFrame, event_type: str = UPGRADE
     """Per feature, customers who used it within ``days`` days up to
     and including an ``event_type`` event.
 
-    The range condition is turned into an equi-join: every (customer, event
-    day) expands into its ``days + 1`` covered days, which are de-duplicated
-    and joined to usage reduced to one row per (customer, day) holding that
-    day's feature set. Both sides are hash-partitioned on
-    (customer, day) by their own aggregation, so the join adds no shuffle,
-    and each usage day matches at most once however many events a customer
-    has.
+    The range condition becomes an equi-join: days are cut into stretches of
+    ``days + 1``, an event is put in its own stretch and the one before, which
+    together hold all of its covered days, and usage (distinct customer,
+    feature and day) joins on customer and stretch, with the date range as a
+    condition on what meets. An event makes two rows, whatever ``days`` is.
     """
-    # one distinct after the expansion (partially aggregated map-side, so a
-    # customer's repeated event days collapse before the shuffle)
-    covered = (subs.filter(F.col("event_type") == event_type)
-               .select("customer_id",
-                       F.explode(F.sequence(F.date_sub("event_date", days), F.col("event_date")))
-                       .alias("session_date"))
-               .distinct())
-    # features wrapped in a struct so that a NULL feature keeps its group
-    u = (usage.groupBy("customer_id", "session_date")
-         .agg(F.collect_set(F.struct("feature")).alias("features")))
-    hits = (u.join(covered, ["customer_id", "session_date"])
-            .select("customer_id", F.explode("features").alias("f"))
-            .select("customer_id", F.col("f.feature").alias("feature")))
-    return (hits.groupBy("feature").agg(F.count_distinct("customer_id").alias(out_col))
+    stretch = lambda d: F.floor(F.unix_date(d) / (days + 1)).cast("long")
+    event = F.col("event_date")
+    covered = (subs.filter(F.col("event_type") == event_type).select("customer_id", "event_date").distinct()
+               .select("customer_id", event, F.explode(F.array(stretch(event), stretch(event) - 1)).alias("_stretch")))
+    u = usage.select("customer_id", "feature", "session_date").distinct().withColumn("_stretch", stretch(F.col("session_date")))
+    hits = (u.join(covered, ["customer_id", "_stretch"])
+            .filter(F.col("session_date").between(F.date_sub(event, days), event))
+            .select("customer_id", "feature").distinct())
+    return (hits.groupBy("feature").agg(F.count("customer_id").alias(out_col))
             .orderBy(F.col(out_col).desc()))
 
 

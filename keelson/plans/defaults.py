@@ -48,12 +48,18 @@ class UserTables:
         return stats.breadth_bucket(stats.breadth(self.usage, self.cust))
 
 
-def load(spark: SparkSession, data_dir: str, fmt: str = "csv") -> UserTables:
-    """Read ``customers``, ``feature_usage``, ``subscription_events`` and
+def load(spark: SparkSession, data_dir: str, fmt: str = "csv", store: str | None = None) -> UserTables:
+    """With ``store``, text is parsed once: the typed tables are written there
+    (usage by month) and every metric scans them. Read ``customers``, ``feature_usage``, ``subscription_events`` and
     ``support_tickets`` (``<name>.csv`` or ``<name>`` folders) from ``data_dir``."""
     ext = ".csv" if fmt == "csv" else ""
     r = {n: io.read_table(spark, f"{data_dir.rstrip('/')}/{n}{ext}", n, fmt=fmt)
          for n in ("customers", "feature_usage", "subscription_events", "support_tickets")}
+    if store:
+        for n, df in r.items():
+            usage = n == "feature_usage"
+            r[n] = prep.materialize(prep.with_month(df) if usage else df, f"{store.rstrip('/')}/{n}",
+                                    ["usage_month"] if usage else (), ("customer_id", "session_date", "feature"))
     return UserTables(r["customers"], r["feature_usage"], r["subscription_events"], r["support_tickets"])
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -22,6 +23,8 @@ from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep,
 from keelson.sources import driver_tables as dt
 from keelson.sources import ingest, io
 
+#: Raised by hand when a derived table's definition changes.
+DERIVED_VERSION = 1
 W24 = ("2024-01-01", "2024-04-30")
 W99 = ("1999-01-01", "1999-04-30")
 # part types standing in for the "new" features on the order-based usage
@@ -81,12 +84,12 @@ class Tables:
         For metrics that take several passes over a derived table: the table
         is computed once, the passes read files, and the lineage is cut, so a
         lost executor recomputes nothing upstream of the written table. The
-        table is written once per model and code version (the folder is keyed
+        table is written once per model and version (the folder is keyed
         by both) and then shared by every query that needs it, the way the
         original's dashboard queries share its materialised score table.
         """
-        model = ingest.model_dir(self.sf_dir, shared_dir(self.spark))
-        path = f"{model}/derived-{ingest.code_hash()}/{name}"
+        model = ingest.model_dir(self.spark, self.sf_dir, shared_dir(self.spark))
+        path = f"{model}/derived-{DERIVED_VERSION}/{name}"
         return ingest.stored(self.spark, path, build)
 
 
@@ -582,11 +585,45 @@ def _(t: Tables):
     return t.tix
 
 
+def _exported(t: Tables, df: DataFrame) -> str:
+    """``df`` as CSV text with a header, in a fresh folder of the shared one."""
+    path = f"{shared_dir(t.spark)}/keelson/csv/{uuid.uuid4().hex}"
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@query("s01_csv_customers")
+def _(t: Tables):
+    """S01 over a CSV export of all customers: text ids, columns in another
+    order, one-digit months, and no date for each 97th customer."""
+    day = F.when(F.col("customer_id") % 97 == 0, "n/a").otherwise(F.date_format("signup_date", "yyyy-M-d"))
+    text = t.cust.select("mrr", day.alias("signup_date"), F.upper("plan").alias("plan"), "company_size",
+                         F.format_string("C%06d", "customer_id").alias("customer_id"))
+    back = io.read_table(t.spark, _exported(t, text), "customers")
+    return back.withColumn("mrr", F.col("mrr").cast("double"))
+
+
+@query("s01_csv_feature_usage")
+def _(t: Tables):
+    """S01 over a CSV export of all usage, with decimal durations."""
+    text = t.uo.select("feature", (F.col("duration_seconds").cast("decimal(18,3)") / 8).cast("decimal(18,3)").alias("duration_seconds"),
+                       F.format_string("C%06d", "customer_id").alias("customer_id"),
+                       F.date_format("session_date", "yyyy-M-d HH:mm").alias("session_date"))
+    back = io.read_table(t.spark, _exported(t, text), "feature_usage")
+    return back.withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
+
+
+@query("s02_read_scores_csv")
+def _(t: Tables):
+    """S02 over a CSV export of the score table."""
+    return io.read_scores(t.spark, _exported(t, _score_table(t).select("health_tier", "customer_id", "health_score")), "csv")
+
+
 @query("s03_health_scores_table")
 def _(t: Tables):
-    """S03 then S02: replace the score table in the shared folder (DROP +
-    CREATE on every call, as the original's script does), read it back."""
-    path = f"{ingest.model_dir(t.sf_dir, shared_dir(t.spark))}/customer_health_scores"
+    """S03 then S02: write the score table to a fresh folder (readers of an
+    earlier one are not disturbed), read it back."""
+    path = f"{shared_dir(t.spark)}/keelson/scores/{uuid.uuid4().hex}"
     io.write_scores(_scores_v2(t), path)
     return io.read_scores(t.spark, path)
 

@@ -7,17 +7,19 @@ parquet into the cluster's shared folder: usage partitioned by month
 other tables unpartitioned. Metrics then scan files instead of re-deriving
 the model from its sources on every query.
 
-A model is keyed by its source files (path, size, modification time), a
-format version and a hash of this package's code, and is rebuilt when any of
-them changes. A folder counts as
-complete only once Spark's job commit has written its ``_SUCCESS`` marker.
+A model is keyed by its source files (path, length and modification time of each
+file, asked of the file system that holds them) and by ``FORMAT_VERSION``,
+which is raised by hand when the mapping or the layout changes. A table is
+written to a folder of its own and moved to its place when it is complete, so
+two drivers never write into one folder: the first to finish is the one that
+counts. ``remove_old`` deletes the models of earlier versions and sources.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,57 +28,65 @@ from pyspark.sql import types as T
 from keelson.sources import driver_tables as dt
 from keelson.sources import schema as S
 
-FORMAT_VERSION = "2"
+FORMAT_VERSION = "3"
 USAGE_PARTITION = "usage_month"
 SOURCES = ("customer", "orders", "lineitem", "part", "events")
 USAGE_TABLES = ("usage_events", "usage_orders", "usage_brands")
 
 
-_CODE_HASHES: dict[tuple[str, ...], str] = {}
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-MODEL_CODE = ("sources", "functions")
-
-
-def code_hash(parts: tuple[str, ...] = ()) -> str:
-    """Hash of the package's source (``parts``: sub-packages; all if empty),
-    so stored tables built by one version of the code are never served to
-    another."""
-    if parts not in _CODE_HASHES:
-        h = hashlib.sha1()
-        for d, _, files in sorted(os.walk(PACKAGE_ROOT)):
-            rel = os.path.relpath(d, PACKAGE_ROOT)
-            if parts and rel.split(os.sep)[0] not in parts:
-                continue
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    with open(os.path.join(d, f), "rb") as fh:
-                        h.update(os.path.join(rel, f).encode() + fh.read())
-        _CODE_HASHES[parts] = h.hexdigest()[:12]
-    return _CODE_HASHES[parts]
-
-
-def fingerprint(sf_dir: str) -> str:
-    """Key of a stored model: its source files and the ingest/mapping code
-    that built it (metric code changes do not force a re-ingest)."""
-    h = hashlib.sha1(f"{FORMAT_VERSION}:{code_hash(MODEL_CODE)}".encode())
+def _fs(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Path, length and modification time of each file of a table."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        return [f"{path}: none"]
+    walk, out = fs.listFiles(hpath, True), []
+    while walk.hasNext():
+        f = walk.next()
+        out.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(out)
+
+
+def fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Key of a stored model: its source files and the format's version."""
+    h = hashlib.sha1(FORMAT_VERSION.encode())
     for name in SOURCES:
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{os.path.abspath(p)}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            # not a local path (object store): key by the path alone
-            h.update(f"{p}".encode())
+        for line in files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"):
+            h.update(line.encode())
     return h.hexdigest()[:16]
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, hpath = _fs(spark, f"{path}/_SUCCESS")
     return fs.exists(hpath)
 
 
+def _publish(spark: SparkSession, writer, path: str) -> None:
+    """Write to a folder of its own, then move it to ``path`` unless another
+    driver's copy has got there."""
+    own = f"{path}.{uuid.uuid4().hex}"
+    writer.parquet(own)
+    fs, src = _fs(spark, own)
+    _, dst = _fs(spark, path)
+    if _complete(spark, path) or not fs.rename(src, dst):
+        fs.delete(src, True)
+
+
+def remove_old(spark: SparkSession, sf_dir: str, root: str) -> list[str]:
+    """Delete the stored models under ``root`` but that of ``sf_dir`` as it is now."""
+    fs, top = _fs(spark, f"{root.rstrip('/')}/keelson/model")
+    if not fs.exists(top):
+        return []
+    old = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName() != fingerprint(spark, sf_dir)]
+    for p in old:
+        fs.delete(p, True)
+    return [p.getName() for p in old]
+
+
 def _builders(spark: SparkSession, sf_dir: str):
     return {
         "customers": lambda: dt.customers(spark, sf_dir),
@@ -107,8 +117,8 @@ def _lock(path: str) -> threading.Lock:
         return _LOCKS.setdefault(path, threading.Lock())
 
 
-def model_dir(sf_dir: str, root: str) -> str:
-    return f"{root.rstrip('/')}/keelson/model/{fingerprint(sf_dir)}"
+def model_dir(spark: SparkSession, sf_dir: str, root: str) -> str:
+    return f"{root.rstrip('/')}/keelson/model/{fingerprint(spark, sf_dir)}"
 
 
 def stored(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
@@ -122,7 +132,7 @@ def stored(spark: SparkSession, path: str, build, schema=None) -> DataFrame:
         with _lock(path):
             if not _complete(spark, path):
                 df = build()
-                df.write.mode("overwrite").parquet(path)
+                _publish(spark, df.write, path)
                 schema = schema or df.schema
     reader = spark.read
     if schema is not None:
@@ -137,7 +147,7 @@ def model_table(spark: SparkSession, sf_dir: str, root: str, name: str) -> DataF
     The path is keyed by the sources, so a complete table is never rewritten;
     concurrent first uses in one driver wait for a single writer.
     """
-    path = f"{model_dir(sf_dir, root)}/{name}"
+    path = f"{model_dir(spark, sf_dir, root)}/{name}"
     if not _complete(spark, path):
         with _lock(path):
             if not _complete(spark, path):
@@ -147,16 +157,15 @@ def model_table(spark: SparkSession, sf_dir: str, root: str, name: str) -> DataF
 
 def _write(spark: SparkSession, sf_dir: str, name: str, path: str) -> None:
     df = _builders(spark, sf_dir)[name]()
-    w = df.write.mode("overwrite")
+    w = df.write
     if name in USAGE_TABLES:
-        # range-partition on (month, customer): each write task holds a
-        # contiguous slice, so a month is written as a few large files, and a
-        # big month is still split over many tasks (AQE sizes the
-        # partitions); a one-off shuffle at ingest
-        df = (df.withColumn(USAGE_PARTITION, F.date_format("session_date", "yyyy-MM"))
-              .repartitionByRange(USAGE_PARTITION, "customer_id"))
-        w = df.write.mode("overwrite").partitionBy(USAGE_PARTITION)
-    w.parquet(path)
+        # a month is written as a few large files; all columns are range keys, so
+        # that a month, or a customer with a third of all rows, still spreads
+        # over many write tasks. One shuffle, once
+        df = df.withColumn(USAGE_PARTITION, F.date_format("session_date", "yyyy-MM"))
+        df = df.repartitionByRange(USAGE_PARTITION, "customer_id", "session_date", "feature", "duration_seconds")
+        w = df.write.partitionBy(USAGE_PARTITION)
+    _publish(spark, w, path)
 
 
 def model_tables(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:

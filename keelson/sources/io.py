@@ -27,8 +27,12 @@ def typed_from_text(df: DataFrame, name: str) -> DataFrame:
             c = F.try_to_timestamp(F.trim(c)).cast("timestamp_ntz")
         elif field.name in S.CATEGORY_COLUMNS.get(name, []):
             c = F.trim(F.lower(c))
-        elif isinstance(field.dataType, T.StringType):
-            c = F.trim(c)
+        elif isinstance(field.dataType, T.StringType) or field.name == "customer_id":
+            cols.append(F.trim(c).alias(field.name))  # ids are text in CSV, whatever they look like
+            continue
+        elif field.name == "duration_seconds":
+            cols.append(F.expr(f"try_cast(trim(`{field.name}`) AS {S.DURATION.simpleString()})").alias(field.name))
+            continue
         else:
             c = F.expr(f"try_cast(`{field.name}` AS {field.dataType.simpleString()})")
         cols.append(c.cast(field.dataType).alias(field.name))
@@ -40,9 +44,10 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
     ``support_tickets`` (S01).
 
     ``fmt="csv"``: header row, every column read as text and converted with
-    NULL-on-error rules (bad dates become NULL, ``2024-01-05 10:00`` keeps its
-    date part). ``fmt="parquet"``: columns are selected and cast to the
-    schema; a missing optional column (``event_id``) is filled with NULL.
+    NULL-on-error rules (bad dates become NULL, ``2024-1-5 10:00`` keeps its
+    date part); ids are text and durations may have decimals. Columns are
+    found by the header's names. ``fmt="parquet"``: columns are selected and
+    cast to the schema, ids keep their type; a missing optional column (``event_id``) is filled with NULL.
     """
     if name not in S.TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {sorted(S.TABLES)}")
@@ -56,18 +61,23 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
                 raw = raw.withColumn(field.name, F.lit(None).cast("string"))
         return typed_from_text(raw, name)
     df = spark.read.format(fmt).load(path)
-    cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    return df.select(*_as_schema(df, target))
+
+
+def _as_schema(df: DataFrame, target: T.StructType) -> list:
+    """The columns of ``target``, cast; text ids stay text, missing columns are NULL."""
+    kept = {"customer_id"} if dict(df.dtypes).get("customer_id") == "string" else set()
+    return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast("string" if f.name in kept else f.dataType).alias(f.name)
             for f in target.fields]
-    return df.select(*cols)
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Load a materialised health-score table."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).schema(S.HEALTH_SCORES)
+        reader = reader.option("header", True)  # columns by name; ids stay text
     df = reader.load(path)
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.HEALTH_SCORES.fields])
+    return df.select(*_as_schema(df, S.HEALTH_SCORES))
 
 
 def write_scores(df: DataFrame, target: str, fmt: str = "parquet", as_table: bool = False) -> None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
+#: Durations in CSV exports may have decimals.
+DURATION = T.DecimalType(18, 3)
 
 CUSTOMERS = T.StructType([
     T.StructField("customer_id", T.LongType()),

@@ -18,6 +18,8 @@ stream's progress lives in a checkpoint under the cluster's shared
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -31,26 +33,36 @@ from keelson.sources.io import typed_from_text, checkpoint_dir
 TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in S.FEATURE_USAGE.fields])
 
 
-def _source(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    reader = spark.readStream.option("maxFilesPerTrigger", 1000)
+def _source(spark: SparkSession, path: str, fmt: str, max_files: int) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
-        raw = reader.schema(TEXT_SCHEMA).option("header", True).csv(path)
+        # a file whose header does not fit the columns fails instead of binding them by position
+        raw = reader.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
         return typed_from_text(raw, "feature_usage")
     return reader.schema(S.FEATURE_USAGE).format(fmt).load(path)
 
 
+def _by_month(df: DataFrame) -> DataFrame:
+    """Rows of a month together, so that each batch writes few files."""
+    return with_month(df).repartitionByRange("usage_month", "customer_id", "session_date", "feature")
+
+
 def write_partial_rollup(batch: DataFrame, batch_id: int, target: str) -> None:
     """foreachBatch sink: this batch's rollup, replacing any earlier attempt."""
-    part = with_month(usage_daily(batch))
+    part = _by_month(usage_daily(batch))
     part.write.mode("overwrite").partitionBy("usage_month").parquet(f"{target}/batch_id={batch_id}")
 
 
 def start(spark: SparkSession, source: str, target: str, fmt: str = "parquet",
           name: str = "usage_rollup", available_now: bool = False,
-          processing_time: str | None = None) -> StreamingQuery:
-    """Start the incremental rollup from files under ``source`` into ``target``."""
-    ckpt = f"{checkpoint_dir(spark)}/keelson/streams/{name}"
-    w = (_source(spark, source, fmt).writeStream
+          processing_time: str | None = None, max_files: int = 1000) -> StreamingQuery:
+    """Start the incremental rollup from files under ``source`` into ``target``.
+
+    The progress is kept for each (name, source, target); a batch takes
+    ``max_files`` files at most, the others follow in the next."""
+    key = hashlib.sha1(f"{source}|{target}".encode()).hexdigest()[:12]
+    ckpt = f"{checkpoint_dir(spark)}/keelson/streams/{name}-{key}"
+    w = (_source(spark, source, fmt, max_files).writeStream
          .queryName(name)
          .option("checkpointLocation", ckpt)
          .foreachBatch(lambda df, bid: write_partial_rollup(df, bid, target)))
@@ -62,13 +74,14 @@ def start(spark: SparkSession, source: str, target: str, fmt: str = "parquet",
 
 
 def read_rollup(spark: SparkSession, target: str) -> DataFrame:
-    """The union of partial rollups, in rollup shape (usable by every metric)."""
-    return spark.read.parquet(target).select(*ROLLUP_COLUMNS)
+    """The union of partial rollups, in rollup shape (usable by every metric),
+    with ``usage_month`` so that a date window reads its months only."""
+    return spark.read.parquet(target).select(*ROLLUP_COLUMNS, "usage_month")
 
 
 def compact(spark: SparkSession, target: str, out: str) -> DataFrame:
     """Merge the partial rollups into one row per (customer, feature, day),
     stored by month; returns the compacted table."""
-    merged = with_month(usage_daily(read_rollup(spark, target)))
+    merged = _by_month(usage_daily(read_rollup(spark, target)))
     merged.write.mode("overwrite").partitionBy("usage_month").parquet(out)
-    return spark.read.parquet(out).select(*ROLLUP_COLUMNS)
+    return spark.read.parquet(out).select(*ROLLUP_COLUMNS, "usage_month")

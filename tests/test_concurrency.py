@@ -3,7 +3,7 @@ results as run one by one (shared ingest, per-call persisted tables)."""
 
 from concurrent.futures import ThreadPoolExecutor
 
-import __spark_entry__ as E
+from keelson.plans.registry import QUERIES
 
 from conftest import SF001
 
@@ -16,7 +16,7 @@ def rows(df):
 
 
 def test_parallel_equals_sequential(spark):
-    q = E.queries()
+    q = QUERIES
     seq = {k: rows(q[k](spark, SF001)) for k in KEYS}
     with ThreadPoolExecutor(max_workers=4) as ex:
         par = dict(zip(KEYS, ex.map(lambda k: rows(q[k](spark, SF001)), KEYS * 1)))

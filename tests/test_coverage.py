@@ -2,7 +2,7 @@
 
 import re
 
-import __spark_entry__ as E
+from keelson.plans.registry import QUERIES
 
 from conftest import ROOT
 
@@ -21,7 +21,7 @@ def test_inventory_is_79_entries():
 
 
 def test_every_entry_is_registered():
-    keys = set(E.queries())
+    keys = set(QUERIES)
     missing = []
     for i in survey_ids():
         prefix = SHARED.get(i.lower(), i.lower())

@@ -25,28 +25,28 @@ def test_early_late_and_churn_rate(spark):
 
 def test_starter_premium(spark):
     r = q(spark, "v02_plan_premium_usage").first()
-    assert (r["starter_using_premium"], r["pct_starter_premium"]) == (84, 29.07)
+    assert (r["starter_using_premium"], r["pct_starter_premium"]) == (270, 93.43)
 
 
-def test_upgrade_economy(spark):
-    r = [x for x in q(spark, "v04_upgrade_likelihood").collect() if x["feature"] == "ECONOMY"][0]
-    assert (r["users"], r["upgraded_users"], r["upgrade_likelihood_pct"]) == (313, 214, 68.37)
+def test_upgrade_by_brand(spark):
+    r = [x for x in q(spark, "v04_upgrade_likelihood").collect() if x["feature"] == "Brand#11"][0]
+    assert (r["users"], r["upgraded_users"], r["upgrade_likelihood_pct"]) == (1099, 732, 66.61)
 
 
-def test_windowed_usage_shape(spark):
+def test_breadth_over_all_usage(spark):
     t01 = q(spark, "t01_breadth")
-    assert t01.count() == 591
+    assert t01.count() == 1500
     dist = {r["feature_count"]: r["count"] for r in t01.groupBy("feature_count").count().collect()}
-    assert dist == {1: 30, 2: 137, 3: 188, 4: 134, 5: 70, 6: 32}
+    assert (min(dist), max(dist)) == (3, 25) and [dist[k] for k in (18, 19, 20, 21, 22)] == [123, 179, 203, 194, 139]
     buckets = {r["usage_bucket"]: r["count"] for r in q(spark, "t02_breadth_bucket").groupBy("usage_bucket").count().collect()}
-    assert buckets == {"Low": 167, "Medium": 322, "High": 102}
+    assert buckets == {"Low": 531, "Medium": 576, "High": 393}
 
 
 def test_a12_pairs_and_v01_rows(spark):
     a12 = q(spark, "a12_feature_co_usage").collect()
     assert len(a12) == 15 and all(164 <= r["common_users"] <= 202 for r in a12)
     v01 = q(spark, "v01_usage_by_tier").collect()
-    assert len(v01) == 28 and sum(r["feature"] is None for r in v01) == 4
+    assert len(v01) == 100 and not any(r["feature"] is None for r in v01)
 
 
 def test_k07_and_pre_event_pairs(spark):
@@ -76,7 +76,7 @@ def test_power_users_thresholds(spark):
 
 def test_revenue_by_breadth_active_buckets(spark):
     got = {r["feature_bucket"]: r["customers"] for r in q(spark, "k05_revenue_by_breadth").collect()}
-    assert got["High Feature Usage"] == 102 and got["Medium Feature Usage"] == 322
+    assert got == {"High Feature Usage": 393, "Medium Feature Usage": 576, "Low Feature Usage": 531}
 
 
 def test_cohorts_and_nrr_pairs(spark):
@@ -104,5 +104,6 @@ def test_adoption_rate_range_and_window_rows(spark):
     rows = q(spark, "a01_adoption_rate").collect()
     assert all(310 <= r["users_used"] <= 345 and 20.67 <= r["adoption_rate_pct"] <= 23.00 for r in rows)
     from keelson.plans.registry import Tables
-    assert Tables(spark, SF01).uw.count() == 3016
-    assert q(spark, "t05_pearson").first()["corr"] == pytest.approx(0.0301, abs=5e-5)
+    assert Tables(spark, SF01).ub.count() == 60000
+    assert q(spark, "k06_multi_feature_adoption").first()[0] == pytest.approx(52.67)
+    assert q(spark, "t05_pearson").first()["corr"] == pytest.approx(-0.0193105455, abs=1e-9)

@@ -18,9 +18,23 @@ def test_csv_ingest_types_and_bad_dates(spark, tmp_path):
                  "4,dashboard,,5\n")
     df = io.read_table(spark, str(p), "feature_usage")
     got = {r["customer_id"]: (r["session_date"], r["duration_seconds"]) for r in df.collect()}
-    assert got == {1: (dt.date(2024, 1, 5), 30), 2: (None, 10), 3: (dt.date(2024, 1, 5), None), 4: (None, 5)}
-    assert dict(df.dtypes) == {"customer_id": "bigint", "feature": "string", "session_date": "date",
-                               "duration_seconds": "bigint"}
+    assert got == {"1": (dt.date(2024, 1, 5), 30), "2": (None, 10), "3": (dt.date(2024, 1, 5), None), "4": (None, 5)}
+    assert dict(df.dtypes) == {"customer_id": "string", "feature": "string", "session_date": "date",
+                               "duration_seconds": "decimal(18,3)"}
+
+
+def test_csv_text_ids_decimals_and_column_order(spark, tmp_path):
+    from keelson.operators import adoption
+    p, c = tmp_path / "feature_usage.csv", tmp_path / "customers.csv"
+    p.write_text("duration_seconds,feature,customer_id,session_date\n12.5,f, C001 ,2024-1-7\n0.25,f,C002,2024-01-08\n")
+    c.write_text("plan,customer_id\nPro,C001\nPro,C002\nPro,C003\n")
+    usage, cust = io.read_table(spark, str(p), "feature_usage"), io.read_table(spark, str(c), "customers")
+    assert [(r["customer_id"], float(r["duration_seconds"])) for r in usage.orderBy("customer_id").collect()] == [("C001", 12.5), ("C002", 0.25)]
+    r = adoption.adoption_rate(usage, cust, ("2024-1-1", "2024-1-31")).first()
+    assert (r["users_used"], r["total_customers"]) == (2, 3)
+    s = tmp_path / "scores.csv"
+    s.write_text("health_tier,customer_id,health_score\nHealthy,C001,70.5\n")
+    assert tuple(io.read_scores(spark, str(s), "csv").first()) == ("C001", 70.5, "Healthy")
 
 
 def test_csv_categories_normalised(spark, tmp_path):
@@ -38,7 +52,8 @@ def test_scores_roundtrip(spark, tmp_path):
         io.write_scores(scores, path, fmt=fmt)
         io.write_scores(scores, path, fmt=fmt)     # replace, not append
         back = io.read_scores(spark, path, fmt=fmt)
-        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, scores.collect()))
+        same = lambda df: sorted((str(r[0]), r[1], r[2]) for r in df.collect())
+        assert same(back) == same(scores)
 
 
 def test_checkpoint_dir_is_read_from_session(spark):

@@ -6,15 +6,14 @@ import sys
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from keelson.plans.oracle import SQL as ORACLES
+from keelson.plans.registry import QUERIES
 
 from conftest import ROOT, SF01
 
 sys.path.insert(0, os.path.join(ROOT, "scripts"))
 from verify_oracles import TABLES, compare  # noqa: E402
 
-ORACLES = E.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -28,9 +27,9 @@ def con():
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_oracle(spark, con, key):
-    df = E.queries()[key](spark, SF01)
+    df = QUERIES[key](spark, SF01)
     assert compare(df, con, ORACLES[key]) == []
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(ORACLES)
+    assert set(QUERIES) == set(ORACLES)

@@ -5,16 +5,15 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
+from keelson.plans.registry import QUERIES
 
 from conftest import SF01
 
-QUERIES = E.queries()
 PYTHON_OK = {"t04_welch_t_pvalue", "t07_chi_square_pvalue"}
-# metrics over the Jan-Apr 1999 order usage (UW) or April 1999
+# metrics over the order usage of Jan-Apr 1999, or of April 1999
 PRUNED = {"a01_adoption_rate", "a10_adoption_by_plan", "a11_adoption_by_company_size",
           "a12_feature_co_usage", "p04_adoption_by_plan", "p06_usage_matrix", "p07_feature_phi",
-          "k07_wau_mau", "t01_breadth", "v04_upgrade_likelihood", "k10_breadth_vs_mrr"}
+          "k07_wau_mau"}
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +49,14 @@ def test_scans_read_only_needed_columns(plans):
     # the model's usage table has 5 columns; A02 needs 3 of them
     reads = [line for line in plans["a02_dau"].splitlines() if "ReadSchema" in line]
     assert reads and all("duration_seconds" not in line for line in reads)
+
+
+@pytest.mark.parametrize("key", ["k02_feature_penetration", "k08_upgrade_conversion", "t01_breadth", "v04_upgrade_likelihood"])
+def test_unwindowed_metrics_read_all_months(plans, key):
+    assert "usage_month" not in "".join(line for line in plans[key].splitlines() if "PartitionFilters" in line)
+
+
+@pytest.mark.parametrize("key", ["a10_adoption_by_plan", "a12_feature_co_usage", "v04_upgrade_likelihood", "p07_feature_phi"])
+def test_pairs_are_made_distinct_by_hash_aggregates(plans, key):
+    first = plans[key].index("HashAggregate")
+    assert "ObjectHashAggregate" not in plans[key][plans[key].rindex("Scan parquet"):first] and "SortAggregate" not in plans[key]

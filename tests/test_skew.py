@@ -8,7 +8,8 @@ import sys
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from keelson.plans.oracle import SQL as ORACLES
+from keelson.plans.registry import QUERIES
 
 from conftest import ROOT, SF01
 
@@ -16,7 +17,6 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 from verify_oracles import TABLES, compare  # noqa: E402
 
 HOT = 7
-ORACLES = E.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -81,5 +81,5 @@ def test_hot_customer_holds_half(con):
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
 def test_matches_oracle_under_skew(spark, con, skewed_dir, skew_conf, key):
-    df = E.queries()[key](spark, skewed_dir)
+    df = QUERIES[key](spark, skewed_dir)
     assert compare(df, con, ORACLES[key]) == []
