@@ -235,11 +235,11 @@ def search_block(df: DataFrame, block: DataFrame, carry: list[str], window: int,
 
 
 def judge_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
+    """The digest per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find_contamination(df, benchmark, carry=["doc_id"])
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"),
-                        "contaminated", F.size("near_items").cast("long").alias("n_near_items"))
+                        "contaminated")
 
 
 def clean_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:

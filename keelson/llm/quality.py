@@ -143,7 +143,8 @@ def judge(df: DataFrame, carry: list[str] | None = None, min_chars: int = MIN_CH
 
 def judge_documents(df: DataFrame) -> DataFrame:
     """One row per document, without its text."""
-    return judge(df.select("doc_id", "text", "lang"), carry=["doc_id"])
+    out = judge(df.select("doc_id", "text", "lang"), carry=["doc_id"])
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def keep_documents(df: DataFrame) -> DataFrame:

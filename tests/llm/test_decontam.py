@@ -72,5 +72,5 @@ def test_empty_tables(spark):
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "red green blue")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "blue x green y red"), (2, "red green blue"), (3, "red " + "x " * 60 + "green blue")], "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in decontam.judge_documents(docs, bench).collect()}
+    got = {r["doc_id"]: (len(r["items"]), len(r["near_items"])) for r in decontam.find_contamination(docs, bench).collect()}
     assert got == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
