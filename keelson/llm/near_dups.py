@@ -2,7 +2,8 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), and the set two
    parity sketches: one for its size band, one for the band below, where its
-   smaller partners are. Documents with equal sets form a class at once.
+   smaller partners are. Documents with equal sets form a class at once. Sets and
+   sketches are made anew from the texts where they are needed, not stored.
 2. Two sets that link differ in at most D shingles, D from the size band, so of
    D + 1 sketch words one is equal: classes are joined on (band, block, word).
 3. Within such a bucket the Hamming distance of the sketches, a lower bound of
@@ -27,7 +28,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,65 +51,86 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def shingle_sets(docs: DataFrame, key: str, width: int, num: int, den: int, sketches: bool) -> DataFrame:
-    """(key, n, set_id) and either band, the two sketches and what they may leave out, or the set itself."""
-    def ids(sets: list[np.ndarray]) -> pa.Array:
-        return pa.array([parity.set_id(h) if len(h) else None for h in sets], pa.binary())
+def over_texts(rows: DataFrame, of_set: Callable[[np.ndarray], dict], schema: str, names: list[str], width: int) -> DataFrame:
+    """For each row (carried columns, then ``text`` last), the carried columns and what ``of_set`` makes of its shingles."""
+    n = len(rows.columns) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = parity.Bands(num, den)
         for batch in batches:
-            sets = [parity.shingles(t.as_py(), width) for t in batch.column(1)]
-            n = pa.array([len(h) for h in sets], pa.int64())
-            if not sketches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), n, ids(sets), _lists(sets)], names=[key, "n", "set_id", "hashes"])
-                continue
-            band = [bands.band(len(h)) if len(h) else None for h in sets]
-            plans = [[(0, 0) if b is None or b < d else bands.blocks(b - d) for b in band] for d in (0, 1)]
-            sketch = [[parity.sketch(h, m) if m else np.empty(0, parity.U) for h, (m, _) in zip(sets, plan)] for plan in plans]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), n, ids(sets), pa.array(band, pa.int32()),
-                 _lists(sketch[0]), _lists(sketch[1]), pa.array([s for _, s in plans[0]], pa.int32()), pa.array([s for _, s in plans[1]], pa.int32())],
-                names=[key, "n", "set_id", "band", "own", "below", "own_spare", "below_spare"])
+            made = [of_set(parity.shingles(t.as_py(), width)) for t in batch.column(n)]
+            arrays = [[m[name] for m in made] for name in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[_column(x) for x in arrays]], names=[*batch.schema.names[:n], *names])
+
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n])
+    return rows.mapInArrow(run, f"{carried}, {schema}")
+
+
+def _column(values: list) -> pa.Array:
+    if values and isinstance(values[0], np.ndarray):
+        ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values).view(np.int64), pa.int64()))
+    return pa.array(values, pa.int64() if not values or isinstance(values[0], int) else pa.binary())
+
 
-    kind = docs.schema[key].dataType.simpleString()
-    rest = "set_id binary, band int, own array<bigint>, below array<bigint>, own_spare int, below_spare int" if sketches else "set_id binary, hashes array<bigint>"
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n bigint, {rest}")
+def set_ids(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (size of the set) and set_id (null if empty) of each row."""
+    of_set = lambda h: {"n": len(h), "set_id": parity.set_id(h) if len(h) else b""}
+    ids = over_texts(docs.select("doc_id", "text"), of_set, "n bigint, set_id binary", ["n", "set_id"], width)
+    return ids.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")))
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*arrays, np.empty(0, parity.U)]).view(np.int64), pa.int64()))
+def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set_id, text): a text of each class, or more if its doc_id stands for several texts."""
+    return docs.select("doc_id", "text").join(small(classes.select("node", "doc_id", "set_id")), "doc_id").select("node", "set_id", "text")
 
 
-def bucket_keys(classes: DataFrame) -> DataFrame:
-    """(key, node, below): what two linked classes have one of in common at least.
+def bucket_keys(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, member): the sketch words of each class that others may share.
 
-    Of the D + 1 + spare words of a class D at most differ from its partner's, so
-    up to ``spare`` words may be left out: those of blocks without shingles."""
-    def of(words: str, spare: str, down: int) -> DataFrame:
-        empty = F.size(F.filter(words, lambda w: w == 0))
-        rows = classes.select("node", "band", empty.alias("empty"), spare, F.posexplode(words).alias("block", "word"))
-        rows = rows.where((F.col("word") != 0) | (F.col("empty") > F.col(spare)))
-        return rows.select(F.xxhash64(F.col("band") - down, "block", "word").alias("key"), "node", F.lit(bool(down)).alias("below"))
+    ``member`` is 2 * node, plus 1 if the word is of the band below. Of the D + 1
+    + spare words of a class D at most differ from its partner's, so up to
+    ``spare`` words may be left out: those of blocks without shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = parity.Bands(num, den)
+        for batch in batches:
+            key, member = [], []
+            for node, set_id, text in zip(*batch.columns):
+                h = parity.shingles(text.as_py(), width)
+                if parity.set_id(h) != set_id.as_py():
+                    continue  # another text with the same doc_id
+                for down in (0, 1):
+                    words, at, band = parity.key_words(h, bands, down)
+                    key.append(parity.mix(words ^ parity.mix(at + parity.U(band << 32))))
+                    member.append(np.full(len(words), 2 * node.as_py() + down, np.int64))
+            flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat(key, parity.U).view(np.int64)), pa.array(flat(member, np.int64))], names=["key", "member"])
 
-    return of("own", "own_spare", 0).unionByName(of("below", "below_spare", 1))
+    return texts.mapInArrow(run, "key bigint, member bigint")
 
 
 def bucket_members(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes (key, node, below) that share a key, and the buckets (key,
-    size, first). Most buckets hold two classes: these pairs come from the
-    buckets' least and greatest class, once per pair."""
-    member = F.struct("node", "below")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(member).alias("x"), F.max(member).alias("y"))
-    buckets = stored(buckets.where("size > 1"), "buckets")
-    pairs = buckets.where("size = 2").select("x", "y").distinct().withColumn("key", F.xxhash64("x.node", "x.below", "y.node", "y.below", F.lit("pair")))
-    of_pairs = pairs.select("key", F.explode(F.array("x", "y")).alias("m")).select("key", "m.*")
-    larger = small(stored(buckets.where("size > 2").select("key"), "larger"))
-    members = stored(of_pairs.unionByName(keys.join(larger, "key").select("key", "node", "below")), "members")
-    sizes = pairs.select("key", F.lit(2).cast("long").alias("size"), F.col("x.node").alias("first")).unionByName(
-        buckets.where("size > 2").select("key", "size", F.col("x.node").alias("first")))
-    return members, sizes
+    """The classes that share a key (key, member), and the buckets (key, size,
+    first). Most buckets hold two classes: these pairs come from the buckets'
+    least and greatest member, once per pair."""
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("x"), F.max("member").alias("y"))
+    buckets = stored(buckets.where("x != y"), "buckets")  # x = y: one class
+    pairs = buckets.where("size = 2").select("x", "y").distinct().withColumn("key", F.xxhash64("x", "y", F.lit("pair")))
+    of_pairs = pairs.select("key", F.explode(F.array("x", "y")).alias("member"))
+    larger = buckets.where("size > 2")
+    members = stored(of_pairs.unionByName(keys.join(small(larger.select("key")), "key").select("key", "member").distinct()), "members")
+    sizes = pairs.select("key", F.lit(2).cast("long").alias("size"), F.col("x").alias("first")).unionByName(
+        larger.select("key", "size", F.col("x").alias("first")))
+    return members.withColumn("node", F.expr("member div 2")), sizes
+
+
+def parities(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, n, own, below): the parity bits of both sketches of each class."""
+    def of_set(h: np.ndarray) -> dict:
+        bands = parity.Bands(num, den)
+        return {"n": len(h), "id": parity.set_id(h), "own": parity.parity_bits(h, bands, 0), "below": parity.parity_bits(h, bands, 1)}
+
+    rows = over_texts(texts, of_set, "n bigint, id binary, own binary, below binary", ["n", "id", "own", "below"], width)
+    return rows.where("id = set_id").select("node", "n", "own", "below").dropDuplicates(["node"])
 
 
 def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -118,7 +140,7 @@ def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int)
         if len(t) < 2:
             return None
         node, comp, n, side = (t[c].to_numpy() for c in ("node", "comp", "n", "side"))
-        words = np.stack(t["words"].to_list()).view(np.uint64) & parity.PARITY
+        words = np.stack([np.frombuffer(x, np.uint8) for x in t["words"]])
         found = []
         for i in range(len(t) - 1):
             rest = slice(i + 1, None)
@@ -164,11 +186,11 @@ def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int)
         yield p
 
 
-def proposals(tiles: DataFrame, classes: DataFrame, all_pairs: bool, num: int, den: int) -> DataFrame:
-    """``tiles`` (key, tile, side, node, below, comp) to distinct pairs (a, b) of
+def proposals(tiles: DataFrame, bits: DataFrame, all_pairs: bool, num: int, den: int) -> DataFrame:
+    """``tiles`` (key, tile, side, member, node, comp) to distinct pairs (a, b) of
     nodes. Rows are compared if their sides differ or are both 0."""
-    words = F.when(tiles["below"], classes["below"]).otherwise(classes["own"]).alias("words")
-    rows = tiles.join(classes, "node").select("key", "tile", "side", "node", "comp", "n", words)
+    words = F.when(F.col("member") % 2 == 1, F.col("below")).otherwise(F.col("own")).alias("words")
+    rows = tiles.join(bits, "node").select("key", "tile", "side", "node", "comp", "n", words)
     rows = rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
     return rows.mapInPandas(lambda it: _tiles((b for b in it if len(b)), all_pairs, num, den), "a bigint, b bigint").distinct()
 
@@ -177,8 +199,8 @@ def first_tiles(members: DataFrame, buckets: DataFrame, chunk: int) -> DataFrame
     """The chunks of each bucket, each with the bucket's first class."""
     rows = members.join(buckets, "key").withColumn("chunks", F.ceil(F.col("size") / chunk).cast("long"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    tiles = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
-    return rows.select("key", F.explode(tiles).alias("tile"), F.lit(0).alias("side"), "node", "below", F.col("node").alias("comp"))
+    tiles = F.when(F.col("member") == F.col("first"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(own))
+    return rows.select("key", F.explode(tiles).alias("tile"), F.lit(0).alias("side"), "member", "node", F.col("node").alias("comp"))
 
 
 def open_tiles(members: DataFrame, comps: DataFrame, chunk: int) -> DataFrame:
@@ -194,16 +216,16 @@ def open_tiles(members: DataFrame, comps: DataFrame, chunk: int) -> DataFrame:
     outside = ("concat(transform(sequence(0L, h - 1), x -> struct(i * (u + h) + u + x AS tile, if(x = 0, 0, 2) AS side)),"
                " transform(filter(sequence(0L, u - 1), x -> x != i),"
                " x -> struct(least(i, x) * (u + h) + greatest(i, x) AS tile, if(i < x, 2, 1) AS side)))")
-    return rows.select("key", "node", "below", "comp", F.explode(F.expr(f"if(comp = main, {inside}, {outside})")).alias("t")).select(
-        "key", "t.tile", "t.side", "node", "below", "comp")
+    return rows.select("key", "member", "node", "comp", F.explode(F.expr(f"if(comp = main, {inside}, {outside})")).alias("t")).select(
+        "key", "t.tile", "t.side", "member", "node", "comp")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs of classes whose sets link, by exact intersection."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "doc_id", "set_id"), "node")
-    texts = docs.select("doc_id", "text").join(small(stored(nodes, "nodes")), "doc_id")
-    sets = shingle_sets(texts.select(F.struct("node", F.col("set_id").alias("id")).alias("of"), "text"), "of", width, num, den, sketches=False)
-    sets = stored(sets.where(F.col("set_id") == F.col("of.id")).select("of.node", "n", "hashes").dropDuplicates(["node"]), "sets")
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"), "nodes")
+    of_set = lambda h: {"n": len(h), "id": parity.set_id(h), "hashes": h}
+    sets = over_texts(class_texts(nodes, docs), of_set, "n bigint, id binary, hashes array<bigint>", ["n", "id", "hashes"], width)
+    sets = stored(sets.where("id = set_id").select("node", "n", "hashes").dropDuplicates(["node"]), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return both.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
@@ -212,20 +234,20 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, nu
 def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by
     links, itself included) of each row of ``docs`` (doc_id: a whole number)."""
-    rows = stored(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", width, num, den, sketches=True), "shingles")
-    able = rows.where("doc_id IS NOT NULL AND n > 0")
-    first = F.first(F.struct("n", "band", "own", "below", "own_spare", "below_spare")).alias("s")  # the same for all of a class
-    classes = able.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), first).select("set_id", "doc_id", "s.*")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stored(set_ids(docs, width), "shingles")
+    classes = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members, buckets = bucket_members(bucket_keys(class_texts(classes, docs), width, num, den))
+    close = members.select("node").distinct().join(classes, "node")
+    bits = stored(parities(class_texts(stored(close, "close"), docs), width, num, den), "parities")
 
-    members, buckets = bucket_members(bucket_keys(classes))
-
-    tried = stored(proposals(first_tiles(members, buckets, chunk), classes, False, num, den), "pairs")
+    tried = stored(proposals(first_tiles(members, buckets, chunk), bits, False, num, den), "pairs")
     links = stored(verify(tried, docs, classes, width, num, den), "links")
     comps = components(links)
     for all_pairs in (False, True):
         tiles = open_tiles(members, comps, chunk)
-        pairs = stored(proposals(tiles, classes, all_pairs, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(proposals(tiles, bits, all_pairs, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             if all_pairs:
                 break

@@ -118,3 +118,25 @@ def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
     flips = U(1) << ((hashes & U(0xFFFFFF)) % U(PARITY_BITS))
     words[block[first].astype(np.int64)] = np.bitwise_xor.reduceat((mix(hashes) & ~PARITY) | flips, first)
     return words
+
+
+def key_words(hashes: np.ndarray, bands: Bands, down: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The words, their blocks, and the band, of the sketch for the own band or the
+    one below (``down`` 1), without the empty words that may be left out."""
+    band = bands.band(len(hashes)) - down
+    blocks, spare = bands.blocks(band) if band >= 0 else (0, 0)
+    if not blocks:
+        return np.empty(0, U), np.empty(0, U), 0
+    words = sketch(hashes, blocks)
+    at = np.flatnonzero(words)
+    if blocks - len(at) > spare:
+        at = np.arange(blocks)
+    return words[at], at.astype(U), band
+
+
+def parity_bits(hashes: np.ndarray, bands: Bands, down: int) -> bytes:
+    """The parity bits, 3 bytes per block, of the sketch for the own band or the one below."""
+    band = bands.band(len(hashes)) - down
+    blocks, _ = bands.blocks(band) if band >= 0 else (0, 0)
+    words = sketch(hashes, blocks) & PARITY if blocks else np.empty(0, U)
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PARITY_BITS // 8].tobytes()

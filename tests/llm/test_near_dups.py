@@ -81,7 +81,10 @@ def test_hashes_do_not_depend_on_pieces(monkeypatch):
     assert np.array_equal(parity.shingles(cases.LONG), whole)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("task_links", [0, 70, 1000])
+def test_components_of_paths_and_stars(spark, task_links):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
-    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+    random.Random(4).shuffle(links)
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
+    got = [(r["node"], r["component"]) for r in components(df, task_links).collect()]
+    assert len(got) == 121 and dict(got) == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
