@@ -72,26 +72,24 @@ def _first_use(usage: DataFrame, win) -> DataFrame:
             .agg(F.min("session_date").alias("first_use")))
 
 
-def _with_launch(first: DataFrame, usage: DataFrame, win) -> DataFrame:
+def _with_launch(first: DataFrame) -> DataFrame:
     """Attach each feature's first use in the window (its "launch").
 
-    The launch is the minimum date per feature over the raw rows: a narrow
-    aggregate (two columns, combined map-side, one row per feature) rather
-    than a second pass over the per-customer table, and no window over
-    ``feature`` (which would sort every customer of a feature in one task).
-    AQE measures the one-row-per-feature table at run time and broadcasts
-    it.
+    The launches come from the per-customer first uses as one map with an entry
+    per feature of the catalogue (a scalar subquery over the same shuffle), so
+    no per-customer row is moved by ``feature``. The key is wrapped in a struct,
+    which a missing feature may be in.
     """
-    launch = (in_window(usage, win).groupBy(F.col("feature").alias("_lf"))
-              .agg(F.min("session_date").alias("launch")))
-    return (first.join(launch, first["feature"].eqNullSafe(launch["_lf"]))
-                 .drop("_lf"))
+    launches = first.groupBy("feature").agg(F.min("first_use").alias("launch"))
+    entries = F.collect_list(F.struct(F.struct("feature").alias("k"), F.col("launch").alias("v")))
+    by_feature = launches.agg(F.map_from_entries(entries).alias("m")).scalar()
+    return first.withColumn("launch", F.element_at(by_feature, F.struct("feature")))
 
 
 def first_use_lag(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Days from the feature's first use in the window to each
     customer's first use of it."""
-    return (_with_launch(_first_use(usage, win), usage, win)
+    return (_with_launch(_first_use(usage, win))
             .select("feature", "customer_id",
                     F.datediff("first_use", "launch").alias("days_to_first_use")))
 

@@ -123,7 +123,7 @@ def chi_square_stats(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") ->
 
     ``chi2 = N * (sum O^2 / (R * C) - 1)`` needs only the non-empty cells, and
     ``sum O^2 / (R_i * C_j) = sum_i (1 / R_i) * sum_j O_ij^2 / C_j``. One chain
-    over the input: cells, column totals, cells joined to their column total,
+    over the input: cells, columns with their total and cells, cells again,
     one row per level of ``a`` (the crosstab's index, here three buckets)
     holding ``R_i`` and ``sum_j O_ij^2 / C_j`` plus each column counted once,
     then one global row. For a 2x2 table every cell has the same
@@ -132,11 +132,12 @@ def chi_square_stats(df: DataFrame, a: str = "usage_bucket", b: str = "mrr") ->
     taken from any observed cell.
     """
     d = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    cells = contingency(d, a, b)
-    cols = cells.groupBy(b).agg(F.sum("observed").alias("C"), F.min(a).alias("_first"))
     o, c_ = _d(F.col("observed")), _d(F.col("C"))
     first = F.col(a) == F.col("_first")
-    per_level = (cells.join(cols, b).groupBy(a).agg(
+    # a column's cells, at most one per level of ``a``, meet in its row
+    columns = contingency(d, a, b).groupBy(b).agg(
+        F.sum("observed").alias("C"), F.min(a).alias("_first"), F.collect_list(F.struct(a, "observed")).alias("_cells"))
+    per_level = (columns.select(b, "C", "_first", F.inline("_cells")).groupBy(a).agg(
         F.sum("observed").alias("R"),
         F.sum(o * o / c_).alias("S"),
         F.sum(F.when(first, 1.0 / c_).otherwise(0.0)).alias("inv_c"),
