@@ -10,8 +10,8 @@ weights fold into one number per n-gram for scoring.
 The model is fitted on at most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled documents
 (those whose ids have the smallest hashes), and applied to all documents, whole.
 
-Defined results: null, empty and wordless texts get the score of a text without
-any n-gram; a doc_id with several labels is toxic if one says so; null labels are
+Defined results: null, empty and wordless texts get the score of the least toxic
+text of the sample; a doc_id with several labels is toxic if one says so; null labels are
 ignored; without labels of both kinds all scores are 0; repeated rows are scored
 each by itself; an empty table gives an empty result; extra columns are ignored.
 """
@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_TOXIC, FIT_CLEAN = 2000, 4000
+FIT_TOXIC, FIT_CLEAN = 1500, 3000
 BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
 STRETCH, STEP = 16, 4
-EPOCHS, RATE, SEED = 6, 0.5, 7
+EPOCHS, STEPS, RATE, SEED = 6, 300, 0.5, 7
+HEAD_START = 2.0
 THRESHOLD = 0.3
 
 #: Lower-cases A-Z and turns all other ASCII but digits and a-z into spaces.
@@ -40,7 +41,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     in which they first occur, and their number. Repetition says nothing here."""
     ws = [*dict.fromkeys((text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split())]
     if not ws:
-        return np.empty(0, np.int64), np.empty(0, np.int64), 0
+        return np.empty(0, np.int32), np.empty(0, np.int32), 0
     b = np.frombuffer(b" " + b" ".join(ws) + b" ", np.uint8)
     space = b == 32
     word = np.cumsum(space) - 1  # of the character, and of the space before it
@@ -54,8 +55,8 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
             inside = spaces[size - 1:size - 1 + n] - spaces[1:1 + n]  # no space but at the ends
             at = np.flatnonzero(inside == 0)
             x = h[at] * np.uint32(0x9E3779B1)
-            buckets.append((x >> np.uint32(14)).astype(np.int64))
-            words.append(word[at + 1])  # the second character is never a space
+            buckets.append((x >> np.uint32(14)).astype(np.int32))
+            words.append(word[at + 1].astype(np.int32))  # the second character is never a space
     return np.concatenate(buckets), np.concatenate(words), len(ws)
 
 
@@ -69,7 +70,7 @@ def stretch_logits(table: np.ndarray, text: str | None) -> np.ndarray:
     """The mean of the n-grams' numbers in each stretch."""
     bucket, word, n = grams(text)
     if not n:
-        return np.zeros(1)
+        return np.full(1, -np.inf)
     total = np.concatenate([[0], np.cumsum(np.bincount(word, table[bucket], n))])
     count = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=n))])
     a = stretches(n)
@@ -86,24 +87,53 @@ class Model:
         self.softmax = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.square = np.full((BUCKETS, 1), 1e-6, np.float32)
-        self.docs = [grams(t) for t in texts]
+        self.docs = [grams(t) for t in texts]  # 4-byte numbers: 25 kB for a text of 3 kB
+        self.clean = np.full(BUCKETS, -1.0)  # occurrences in clean documents; -1: in none at all
+        for (bucket, _, _), y in zip(self.docs, labels):
+            self.clean[bucket] = np.maximum(self.clean[bucket], 0)
+            if not y:
+                np.add.at(self.clean, bucket, 1)
         fold = rng.random(len(texts)) < 0.8
-        for epoch in range(EPOCHS):
-            self.epoch(np.flatnonzero(fold), labels, rng, epoch)
+        start = self.surprise(np.flatnonzero(fold), labels)
+        self.embeddings[:, 0] += (HEAD_START * np.sign(start) * np.maximum(np.abs(start) - 1, 0)).astype(np.float32)
+        self.softmax[0] = -0.5, 0.5
+        epoch = steps = 0
+        while epoch < EPOCHS or steps < STEPS:  # fewer documents, more epochs
+            taken = self.epoch(np.flatnonzero(fold), labels, rng, epoch)
+            if not taken:
+                break
+            epoch, steps = epoch + 1, steps + taken
         del self.square
-        top = np.array([stretch_logits(self.table(), t).max() for t in texts])
+        table = self.table()
+        top = np.array([stretch_logits(table, t).max() for t in texts])
+        self.least = float(top[np.isfinite(top)].min(initial=0.0))  # for texts without words
+        top = np.maximum(top, self.least)
         self.scale, self.shift = self.calibrate(top[~fold], labels[~fold]) if len(set(labels[~fold])) == 2 else self.calibrate(top, labels)
         del self.docs
         self.numbers = self.table().astype(np.float64)
-        del self.embeddings, self.softmax
+        del self.embeddings, self.softmax, self.clean
 
     def table(self) -> np.ndarray:
-        """The log-odds of toxic that an n-gram stands for."""
-        return self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])
+        """The log-odds of toxic that an n-gram stands for; n-grams that no
+        document has count as the average one of clean documents."""
+        odds = self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])
+        return np.where(self.clean >= 0, odds, (odds * np.maximum(self.clean, 0)).sum() / max(1.0, self.clean[self.clean > 0].sum()))
+
+    def surprise(self, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """How much oftener an n-gram is in toxic documents than its frequency
+        lets expect, in standard deviations: where training starts."""
+        toxic, all_ = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for d in rows:
+            seen = np.unique(self.docs[d][0])
+            all_[seen] += 1
+            if labels[d]:
+                toxic[seen] += 1
+        expected = all_ * labels[rows].mean()
+        return (toxic - expected) / np.sqrt(expected + 1)
 
-    def epoch(self, rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, epoch: int) -> None:
-        """Batches of stretches: of toxic documents the most toxic so far (any in
-        the first epoch), of others the most toxic and some more."""
+    def epoch(self, rows: np.ndarray, labels: np.ndarray, rng: np.random.Generator, epoch: int) -> int:
+        """Batches of stretches: of toxic documents the most toxic so far, of others
+        the most toxic and some more. Returns their number."""
         table = self.table()
         bags, targets = [], []
         for d in rng.permutation(rows):
@@ -116,7 +146,7 @@ class Model:
             z = np.minimum(starts + STRETCH, n)
             by_score = np.argsort(-(total[z] - total[starts]) / np.maximum(count[z] - count[starts], 1), kind="stable")
             if labels[d]:
-                pick = rng.choice(len(starts), min(6, len(starts)), False) if not epoch else by_score[:2]
+                pick = by_score[:2]
             else:
                 pick = np.unique(np.append(by_score[:1], rng.choice(len(starts), min(3, len(starts)), False)))
             for s in starts[pick]:
@@ -126,6 +156,7 @@ class Model:
         for k in range(0, len(order), 64):
             part = order[k:k + 64]
             self.step([bags[i] for i in part], np.array([targets[i] for i in part]))
+        return -(-len(order) // 64)
 
     def step(self, bags: list[np.ndarray], y: np.ndarray) -> None:
         sizes = np.array([max(1, len(b)) for b in bags])
@@ -157,7 +188,7 @@ class Model:
         return float(w[0] / spread), float(w[1] - w[0] * center / spread)
 
     def predict(self, texts: list[str | None]) -> np.ndarray:
-        top = np.array([stretch_logits(self.numbers, t).max() for t in texts])
+        top = np.array([max(stretch_logits(self.numbers, t).max(), self.least) for t in texts])
         return 1 / (1 + np.exp(-np.clip(self.scale * top + self.shift, -50, 50)))
 
 
@@ -178,11 +209,11 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     if model is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.numbers.astype(np.float32), model.scale, model.shift))
+    shared = docs.sparkSession.sparkContext.broadcast((model.numbers.astype(np.float32), model.scale, model.shift, model.least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.__new__(Model)
-        m.numbers, m.scale, m.shift = shared.value
+        m.numbers, m.scale, m.shift, m.least = shared.value
         for batch in batches:
             scores = m.predict([t.as_py() for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
