@@ -10,7 +10,7 @@ side. Base spans stay; spans of the field are added where they overlap none.
 The weights are learned by likelihood in numpy, from the regions of at most
 ``FIT_DOCS`` documents (those whose ids have the smallest hashes) and at most
 ``FIT_REGIONS`` of these. Base spans are the labels, regions where a pattern
-matched and its check failed are left out, and copies of labelled regions with
+matched too many digits for one number are left out, and copies of labelled regions with
 other notations of the same numbers are added.
 
 Defined results: null and empty texts have no span; without a region to learn
@@ -60,7 +60,8 @@ def small_octet(part: str) -> bool:
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(start, kind, end) of the base spans, and the matches whose check failed."""
+    """(start, kind, end) of the base spans, and the matches that failed by too many
+    digits: they may hold more than one number."""
     good, failed = [], []
     at, used = text.find("@"), 0
     while at >= 0:
@@ -78,7 +79,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
                   else 9 <= len(digits) <= 15)
             if ok:
                 good.append((m.start(), kind, m.end()))
-            elif len(digits) >= 7:
+            elif kind > 1 and len(digits) > (19 if kind == 2 else 15):
                 failed.append(m.span())
     return sorted(good), sorted(failed)
 
@@ -233,7 +234,7 @@ def meeting(spans: list[tuple], stretches: list[tuple[int, int]]) -> Iterator[li
 
 
 def examples(text: str) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
-    """Labelled regions of a text, without those where a check failed on more than a part of a span."""
+    """Labelled regions of a text, without those that may hold unlabelled numbers."""
     good, failed = base_spans(text)
     places = regions(text)
     for (a, b), mine, bad in zip(places, meeting(good, places), meeting(failed, places)):
