@@ -4,7 +4,7 @@ sessions change no distinct-count metric, and related metrics agree."""
 import pytest
 
 from keelson.operators import adoption, dashboard, health, kpis, stats, value
-from keelson.operators.prep import usage_daily
+from keelson.operators.prep import in_window, usage_daily
 from keelson.plans.registry import W24, W99, Tables
 
 from conftest import SF01
@@ -81,8 +81,8 @@ def test_shuffled_partitioning_changes_nothing(t):
 
 
 def test_k08_equals_v04(t):
-    v04 = {r["feature"]: r["upgrade_likelihood_pct"] for r in value.upgrade_likelihood(t.uw, t.subs).collect()}
-    k08 = {r["feature"]: r["upgrade_conversion_pct"] for r in kpis.upgrade_conversion(t.uw, t.subs).collect()}
+    v04 = {r["feature"]: r["upgrade_likelihood_pct"] for r in value.upgrade_likelihood(t.ub, t.subs).collect()}
+    k08 = {r["feature"]: r["upgrade_conversion_pct"] for r in kpis.upgrade_conversion(t.ub, t.subs).collect()}
     assert v04 == k08
 
 
@@ -92,7 +92,7 @@ def test_tier_counts_cover_all_customers(t):
 
 
 def test_co_usage_matches_pairwise_brute_force(t):
-    pairs = t.uw.select("customer_id", "feature").distinct().toPandas()
+    pairs = in_window(t.uo, W99).select("customer_id", "feature").distinct().toPandas()
     by = pairs.groupby("customer_id")["feature"].apply(set)
     want = {}
     for feats in by:
@@ -101,16 +101,16 @@ def test_co_usage_matches_pairwise_brute_force(t):
                 if a < b:
                     want[(a, b)] = want.get((a, b), 0) + 1
     got = {(r["feature_1"], r["feature_2"]): r["common_users"]
-           for r in adoption.feature_co_usage(t.uw, W99).collect()}
+           for r in adoption.feature_co_usage(t.uo, W99).collect()}
     assert got == want
 
 
 def test_phi_matches_numpy(t):
     import numpy as np
-    m = (dashboard.usage_matrix(t.uw, W99).toPandas()
+    m = (dashboard.usage_matrix(t.uo, W99).toPandas()
          .pivot_table(index="customer_id", columns="feature", values="used", fill_value=0))
     want = np.corrcoef(m.values.T.astype(float))
-    got = {(r["feature_1"], r["feature_2"]): r["phi"] for r in dashboard.feature_phi(t.uw, W99).collect()}
+    got = {(r["feature_1"], r["feature_2"]): r["phi"] for r in dashboard.feature_phi(t.uo, W99).collect()}
     cols = list(m.columns)
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -119,13 +119,13 @@ def test_phi_matches_numpy(t):
 
 def test_welch_and_pearson_match_numpy(t):
     import numpy as np
-    b = stats.breadth_bucket(stats.breadth(t.uw, t.cust), 2, 4).toPandas()
+    b = stats.breadth_bucket(stats.breadth(t.ub, t.cust), 18, 21).toPandas()
     b["mrr"] = b["mrr"].astype(float)
     hi, me = b[b.usage_bucket == "High"]["mrr"], b[b.usage_bucket == "Medium"]["mrr"]
     va, vb = hi.var(ddof=1), me.var(ddof=1)
     tt = (hi.mean() - me.mean()) / np.sqrt(va / len(hi) + vb / len(me))
-    r = stats.welch_t(stats.breadth_bucket(stats.breadth(t.uw, t.cust), 2, 4)).first()
+    r = stats.welch_t(stats.breadth_bucket(stats.breadth(t.ub, t.cust), 18, 21)).first()
     assert r["t_stat"] == pytest.approx(tt, rel=1e-9)
     assert 0 <= r["p_value"] <= 1
-    corr = stats.pearson(stats.breadth(t.uw, t.cust)).first()["corr"]
+    corr = stats.pearson(stats.breadth(t.ub, t.cust)).first()["corr"]
     assert corr == pytest.approx(np.corrcoef(b.feature_count.astype(float), b.mrr)[0, 1], rel=1e-9)
