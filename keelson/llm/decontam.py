@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.shared import aside, back, stored
+from keelson.llm.shared import aside, back, row_key, small, stored
 
 WINDOW = 13
 NEAR = 26
@@ -244,6 +244,7 @@ def judge_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``df`` that are not contaminated, unchanged."""
-    rows = aside(df, "text")
-    found = find_contamination(rows, benchmark, carry=[c for c in rows.columns if c != "text"])
-    return back(found.where(~F.col("contaminated")))
+    rows = row_key(aside(df)).withColumn("text", F.col("`__in_text`"))
+    found = find_contamination(rows.select("__kl_key", "text"), benchmark, carry=["__kl_key"])
+    gone = stored(found.where("contaminated").select("__kl_key").distinct(), "contaminated")
+    return back(rows.join(small(gone), "__kl_key", "left_anti"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.shared import aside, back, number_rows
+from keelson.llm.shared import aside, back, number_rows, row_key, small, stored
 
 #: Production targets: the largest source is held back, the others share the rest.
 WEIGHTS = {"src0": 0.30} | {f"src{i}": 0.035 for i in range(1, 20)}
@@ -115,5 +115,15 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: fl
 
 
 def mix_documents(df: DataFrame, **how) -> DataFrame:
-    """The rows of the mixture with the columns of ``df`` alone."""
-    return back(mix(aside(df, "source"), **how))
+    """The rows of the mixture with the columns of ``df`` alone.
+
+    Rows are placed by their keys; texts move only if there are too many keys to
+    broadcast, and then once. Equal rows share a key: one of them stands for all,
+    as often as the mixture has them."""
+    rows = row_key(aside(df))
+    keys = rows.select(F.col("`__in_source`").alias("source"), "__kl_key")
+    placed = mix(keys, **how)
+    times = placed.groupBy("__kl_key").agg(F.count(F.lit(1)).alias("__kl_times"), F.sum(F.when(F.col("epoch") == 0, 1)).alias("__kl_alike"))
+    found = rows.join(small(stored(times, "mixture")), "__kl_key")
+    one = found.where("__kl_alike = 1").unionByName(found.where("__kl_alike > 1").dropDuplicates(["__kl_key"]))
+    return back(one.withColumn("__kl_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__kl_times"))))

@@ -38,17 +38,10 @@ from pyspark.sql import functions as F
 
 from keelson.llm import parity
 from keelson.llm.components import components
-from keelson.llm.shared import stored
+from keelson.llm.shared import small, stored
 
 WIDTH, NUM, DEN = 3, 90, 100
 CHUNK = 512
-#: A table of so many numbers at most is broadcast, after it has been counted; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def over_texts(rows: DataFrame, of_set: Callable[[np.ndarray], dict], schema: str, names: list[str], width: int) -> DataFrame:

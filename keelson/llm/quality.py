@@ -65,7 +65,7 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, 0).otherwise(let(ws, count))
 
 
-def features(df: DataFrame) -> DataFrame:
+def features(df: DataFrame, repeats: bool = True) -> DataFrame:
     """``df`` with counts of words, symbols, repeated lines and words, and the two
     histograms (columns beginning with ``__kl_``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -81,7 +81,7 @@ def features(df: DataFrame) -> DataFrame:
 
     per_words = let(ws, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        repeated_words(w).cast("long").alias("n_repeat_words"), common(w).alias("common")))
+        (repeated_words(w) if repeats else F.lit(None)).cast("long").alias("n_repeat_words"), common(w).alias("common")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     df = df.withColumns({
         "__kl_w": per_words, "__kl_len": F.length(text).cast("long"), "__kl_bytes": F.octet_length(text).cast("long"),
@@ -123,14 +123,17 @@ def js_distance(p: Column, q: Column) -> Column:
         let(share(p, n), lambda a: let(share(q, m), lambda b: of(a, b))))))
 
 
-def judge(df: DataFrame, carry: list[str] | None = None, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
+def judge(df: DataFrame, carry: list[str] | None = None, store: bool = True, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
           max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``df`` (its columns ``carry``, default all) with the counts, both distances,
-    ``base_failed`` and ``kept``."""
+    ``base_failed`` and ``kept``. Without ``store`` the texts are read twice, and
+    the columns carried are not written to the shared folder."""
     columns = [c for c in carry or df.columns if c not in ADDED]
     f = features(df).select(*columns, *[c for c in HELD if c not in columns])
-    f = stored(f, "quality")  # both histograms and their sums come from one reading of the texts
-    f = f.join(F.broadcast(references(f)), F.col("__kl_lang") == F.col("__kl_of"))  # a row per listed language
+    if store:  # both histograms and their sums come from one reading of the texts
+        f = stored(f, "quality")
+    refs = references(f if store else features(df, repeats=False))
+    f = f.join(F.broadcast(refs), F.col("__kl_lang") == F.col("__kl_of"))  # a row per listed language
     f = f.withColumns({
         "char_distance": js_distance(F.col("__kl_chars"), F.col("__kl_ref_chars")),
         "word_distance": F.when(F.col("__kl_lang") == "other", 0.0).otherwise(
@@ -150,4 +153,4 @@ def judge_documents(df: DataFrame) -> DataFrame:
 def keep_documents(df: DataFrame) -> DataFrame:
     """The rows of ``df`` that pass, unchanged."""
     rows = aside(df, "text", "lang")
-    return back(judge(rows, carry=[c for c in rows.columns if c not in ("text", "lang")]).where("kept"))
+    return back(judge(rows, carry=[c for c in rows.columns if c not in ("text", "lang")], store=False).where("kept"))

@@ -100,6 +100,21 @@ def aside(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(f"__in_{c}") for c in df.columns], *needed)
 
 
+def row_key(df: DataFrame, name: str = "__kl_key") -> DataFrame:
+    """``df`` with a 128-bit key of the whole row, the same for equal rows."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return df.withColumn(name, F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("second"), *cols).alias("b")))
+
+
+#: A stored table of so many rows of a few numbers is broadcast, after it has been counted; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has been counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def back(df: DataFrame) -> DataFrame:
     """The columns that ``aside`` put away, under their names."""
     return df.select(*[F.col(f"`{c}`").alias(c.removeprefix("__in_")) for c in df.columns if c.startswith("__in_")])
