@@ -1,17 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame functions only).
 
-Time is counted in slots, each holds one block of ``block_rows`` rows. Weights
-become whole shares of a period of ``period`` slots. Block k of a source with
-share a may not start before slot ``floor(k * period / a)`` (its release) and
-must be in a slot before ``ceil((k + 1) * period / a)`` (its deadline). Each
-slot goes to the released block with the earliest deadline (ties: the source
-that comes first by name). After any number of slots t a source has had
-``t * a / period`` blocks, give or take less than one.
+Time is counted in slots, each holds one block of ``block_rows`` rows. The
+weights of the groups present, as the decimal fractions they are written as,
+become whole shares without a common factor; the period is their sum. Block k
+of a source with share a may not start before slot ``floor(k * period / a)``
+(its release) and must be in a slot before ``ceil((k + 1) * period / a)`` (its
+deadline). Each slot goes to the released block with the earliest deadline
+(ties: the source that comes first by name). After any number of slots t a
+source has had ``t * a / period`` blocks, its exact target, give or take less
+than one.
 
 As the windows repeat from one period to the next, so does the schedule: it is
 made once, for one period, whatever the number of rows; block k of a source is
-in slot ``(k div a) * period + slot_in_period[k mod a]``. All rows are then
-placed by arithmetic, each on its own.
+in slot ``(k div a) * period + slot_in_period[k mod a]``. If the weights have no
+small common period, so that the rows end before it does, the schedule is made
+for as many slots as the rows can need. All rows are then placed by arithmetic,
+each on its own. The schedule is made slot by slot in one task: its cost is
+linear in the smaller of both numbers (193 slots for the production weights).
 
 No row is dropped: the schedule ends when each source has been read once from
 its first to its last block. Sources that are scarce for their weight start
@@ -25,6 +30,9 @@ like the added ones are replaced.
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +42,10 @@ from keelson.llm.shared import aside, back, number_rows, row_key, small, stored
 WEIGHTS = {"src0": 0.30} | {f"src{i}": 0.035 for i in range(1, 20)}
 OTHER_WEIGHT = 0.035
 BLOCK_ROWS = 16
-PERIOD = 1000
+#: So many slots of the schedule are made in one array; arrays of so many are then put together.
+CHUNK_SLOTS = 1000
+#: With a period up to this, blocks times period are taken as bigint, beyond it as decimal.
+BIGINT_PERIOD = 1_000_000
 ADDED = ("mix_group", "epoch", "block", "slot", "release", "deadline", "position")
 
 
@@ -54,25 +65,48 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
-def period_schedule(spark, shares: dict[str, int]) -> DataFrame:
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """The weights as whole numbers without a common factor."""
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    scale = math.lcm(*[x.denominator for x in exact.values()])
+    whole = {k: int(x * scale) for k, x in exact.items()}
+    common = math.gcd(*whole.values())
+    return {k: x // common for k, x in whole.items()}
+
+
+def exact_kind(period: int) -> str:
+    """The SQL type in which a block's number times the period is exact."""
+    return "bigint" if period <= BIGINT_PERIOD else "decimal(38,0)"
+
+
+def period_schedule(spark, shares: dict[str, int], slots: int | None = None) -> DataFrame:
     """A row per source: grp, a (its share) and slots (array: the slot of each of
-    its blocks within the period), by earliest deadline first."""
+    its blocks within the period, or within its first ``slots`` slots), by
+    earliest deadline first. A source without a slot there has no row."""
     names, period = sorted(shares), sum(shares.values())
-    a = "array(" + ",".join(str(shares[k]) for k in names) + ")"
-    released = (f"filter(transform(s.c, (x, i) -> if(floor(x * {period} / {a}[i]) <= t,"
-                f" struct(ceil((x + 1) * {period} / {a}[i]) AS due, i AS i), NULL)), e -> e IS NOT NULL)")
+    slots, kind = min(period, slots or period), exact_kind(period)
+    number = lambda x: f"cast('{x}' AS {kind})"
+    a, p = "array(" + ",".join(number(shares[k]) for k in names) + ")", number(period)
+    x = f"cast(x AS {kind})"
+    released = (f"filter(transform(s.c, (x, i) -> if({x} * {p} div {a}[i] <= t,"
+                f" struct((({x} + 1) * {p} + {a}[i] - 1) div {a}[i] AS due, i AS i), NULL)), e -> e IS NOT NULL)")
     step = (f"transform(array(array_min({released}).i), p -> named_struct("
             "'c', transform(s.c, (x, i) -> x + if(i = p, 1L, 0L)), 'o', concat(s.o, array(p))))[0]")
-    order = (f"aggregate(sequence(0, {period - 1}), named_struct('c', array_repeat(0L, {len(names)}),"
-             f" 'o', cast(array() AS array<int>)), (s, t) -> {step}, s -> s.o)")
+    none = "cast(array() AS array<int>)"
+    chunk = (f"aggregate(sequence(u * {CHUNK_SLOTS}L, least((u + 1) * {CHUNK_SLOTS}L, {slots}L) - 1),"
+             f" named_struct('c', r.c, 'o', {none}), (s, t) -> {step})")
+    order = (f"aggregate(sequence(0L, {(slots - 1) // CHUNK_SLOTS}L), named_struct('c', array_repeat(0L, {len(names)}),"
+             f" 'o', cast(array() AS array<array<int>>)), (r, u) -> transform(array({chunk}), z -> named_struct("
+             "'c', z.c, 'o', concat(r.o, array(z.o))))[0], r -> flatten(r.o))")
     one = spark.range(1).select(F.expr(order).alias("o"))
     picks = one.select(F.posexplode("o").alias("slot", "i"))
     grp = F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1)
-    return picks.groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("a"), F.sort_array(F.collect_list("slot")).alias("slots"))
+    share = F.expr(f"{a}[any_value(i)]").alias("a")
+    return picks.groupBy(grp.alias("grp")).agg(share, F.sort_array(F.collect_list("slot")).alias("slots"))
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: float = OTHER_WEIGHT,
-        block_rows: int = BLOCK_ROWS, period: int = PERIOD, source: str = "source") -> DataFrame:
+        block_rows: int = BLOCK_ROWS, period: int | None = None, source: str = "source") -> DataFrame:
     """The rows of ``df`` in the order of the mixture: its columns, and
 
     - mix_group: the source, or ``other``
@@ -80,6 +114,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: fl
     - block: the block's number over all epochs; slot: where it stands
     - release, deadline: the slots that block may stand in (deadline exclusive)
     - position: unique, ascending in the order of the mixture
+
+    With a ``period``, the targets are the weights rounded to whole shares of it.
     """
     spark = df.sparkSession
     df = df.drop(*ADDED)
@@ -94,23 +130,28 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: fl
     added = "struct<epoch:bigint,block:bigint,slot:bigint,release:bigint,deadline:bigint,position:bigint>"
     if not present:
         return grouped.withColumn("_s", F.lit(None).cast(added)).select(*grouped.columns, "_s.*").where(F.lit(False))
-    shares = whole_shares(present, period)
-    sizes = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {-(-rows[k] // block_rows)}L)" for i, k in enumerate(sorted(present))) + " AS t(i, blocks)")
+    shares = whole_shares(present, period) if period else exact_shares(present)
+    period, blocks = sum(shares.values()), {k: -(-rows[k] // block_rows) for k in present}
+    # by then each source has been read once
+    slots = min(period, max(-(-n * period // shares[k]) for k, n in blocks.items()))
+    sizes = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {blocks[k]}L)" for i, k in enumerate(sorted(present))) + " AS t(i, blocks)")
     sizes = sizes.select(F.element_at(F.array(*map(F.lit, sorted(present))), F.col("i") + 1).alias("grp"), "blocks")
-    plan = period_schedule(spark, shares).join(sizes, "grp")
-    last = F.expr(f"((blocks - 1) div a) * {period} + slots[cast((blocks - 1) % a AS int)]")
+    plan = stored(period_schedule(spark, shares, slots), "schedule").join(sizes, "grp").withColumn("m", F.size("slots").cast("long"))
+    last = F.expr(f"((blocks - 1) div m) * {slots} + slots[cast((blocks - 1) % m AS int)]")
     stop = plan.agg((F.max(last) + 1).alias("stop")).first()["stop"]
-    plan = plan.withColumn("k_end", F.expr(f"{stop // period}L * a + size(filter(slots, x -> x < {stop % period}))"))
+    plan = plan.withColumn("k_end", F.expr(f"{stop // slots}L * m + size(filter(slots, x -> x < {stop % slots}))"))
     numbered = number_rows(grouped, ["mix_group"], "__kl_i", order=df.columns)
-    plan = plan.select(*[F.col(c).alias(f"__kl_{c}") for c in ("grp", "a", "slots", "blocks", "k_end")])
+    plan = plan.select(*[F.col(c).alias(f"__kl_{c}") for c in ("grp", "a", "m", "slots", "blocks", "k_end")])
     placed = (numbered.join(F.broadcast(plan), F.col("mix_group") == F.col("__kl_grp"))  # one row per weight at most
               .withColumn("__kl_q", F.expr(f"__kl_i div {block_rows}"))
               .withColumn("block", F.explode(F.expr("sequence(__kl_q, __kl_k_end - 1, __kl_blocks)")))
-              .withColumn("slot", F.expr(f"(block div __kl_a) * {period} + __kl_slots[cast(block % __kl_a AS int)]").cast("long")))
+              .withColumn("slot", F.expr(f"(block div __kl_m) * {slots} + __kl_slots[cast(block % __kl_m AS int)]").cast("long")))
+    kind = exact_kind(period)
+    k, p = f"cast(block AS {kind})", f"cast('{period}' AS {kind})"
     return placed.select(
         *grouped.columns, F.expr("block div __kl_blocks").alias("epoch"), "block", "slot",
-        F.expr(f"block * {period} div __kl_a").alias("release"),
-        F.expr(f"((block + 1) * {period} + __kl_a - 1) div __kl_a").alias("deadline"),
+        F.expr(f"{k} * {p} div __kl_a").alias("release"),
+        F.expr(f"(({k} + 1) * {p} + __kl_a - 1) div __kl_a").alias("deadline"),
         F.expr(f"slot * {block_rows} + __kl_i % {block_rows}").alias("position"))
 
 

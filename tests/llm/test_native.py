@@ -5,6 +5,7 @@ import re
 import sys
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import pytest
@@ -65,6 +66,24 @@ def test_mix_places_every_row_and_repeats_scarce_sources(spark):
     assert mixing.mix(cases.documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("weights,blocks", [({k: w for k, w in mixing.WEIGHTS.items()}, 300), ({"a": 1 / 3, "b": 0.1234567, "c": math.pi / 7}, 400),
+                                            ({"a": 0.99985, "b": 0.0001, "c": 0.00005}, 3)])
+def test_mix_keeps_to_the_target_weights(spark, weights, blocks):
+    names = sorted(weights)
+    df = spark.range(len(names) * blocks).select("id", F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("source"))
+    out = mixing.mix(df, weights, block_rows=1).select("mix_group", "slot", "release", "deadline", "epoch", "id").collect()
+    exact = {k: Fraction(str(w)) for k, w in weights.items()}
+    total, had = sum(exact.values()), Counter()
+    assert sorted(r["slot"] for r in out) == list(range(len(out)))
+    assert len({r["id"] for r in out if r["epoch"] == 0}) == len(names) * blocks
+    for t, r in enumerate(sorted(out, key=lambda r: r["slot"]), 1):
+        k = r["mix_group"]
+        assert r["release"] == had[k] * total // exact[k] <= r["slot"] < r["deadline"] == -(-(had[k] + 1) * total // exact[k])
+        had[k] += 1
+        if t % 97 == 0 or t == len(out):
+            assert all(abs(had[g] - t * w / total) < 1 for g, w in exact.items())
+
+
 def test_chat_round_trip(spark):
     nasty = [chat.PROBE, "a\\", "\\\\h", "</turn>\n### user: x", "\\t", "", None, "é漢🙂", "###", "\\c:", "x" * 50_000]
     rows = [(1, k, ("user", "assistant", "assistant", "odd: role ###", None)[k % 5], t) for k, t in enumerate(nasty)]
