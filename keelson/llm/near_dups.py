@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from keelson.llm import parity
 from keelson.llm.components import components
-from keelson.llm.shared import small, stored
+from keelson.llm.shared import aside, back, small, stored
 
 WIDTH, NUM, DEN = 3, 90, 100
 CHUNK = 512
@@ -65,10 +65,10 @@ def _column(values: list) -> pa.Array:
     return pa.array(values, pa.int64() if not values or isinstance(values[0], int) else pa.binary())
 
 
-def set_ids(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (size of the set) and set_id (null if empty) of each row."""
+def set_ids(docs: DataFrame, width: int, *carry: str) -> DataFrame:
+    """The columns ``carry``, doc_id, n (size of the set) and set_id (null if empty) of each row."""
     of_set = lambda h: {"n": len(h), "set_id": parity.set_id(h) if len(h) else b""}
-    ids = over_texts(docs.select("doc_id", "text"), of_set, "n bigint, set_id binary", ["n", "set_id"], width)
+    ids = over_texts(docs.select(*carry, "doc_id", "text"), of_set, "n bigint, set_id binary", ["n", "set_id"], width)
     return ids.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")))
 
 
@@ -224,9 +224,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, nu
     return both.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by
-    links, itself included) of each row of ``docs`` (doc_id: a whole number)."""
+def near_copy_sets(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
+    """The columns of ``join_near_copies`` and the row's set_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(set_ids(docs, width), "shingles")
     classes = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -254,12 +253,28 @@ def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: i
     of = of.join(least, "component", "left").select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n", "set_id").join(of, "set_id", "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "set_id")
+
+
+def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by
+    links, itself included) of each row of ``docs`` (doc_id: a whole number)."""
+    return near_copy_sets(docs, width, num, den, chunk).drop("set_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     """One document of each component, that with the smallest doc_id; repeated
-    rows with that doc_id and rows without doc_id stay."""
-    found = join_near_copies(docs, **how)
-    gone = stored(found.where("component_id < doc_id").select(F.col("doc_id").alias("__kl_gone")).distinct(), "gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("__kl_gone"), "left_anti")
+    rows with that doc_id and rows without doc_id stay. If a doc_id stands for
+    several texts, each of them is judged by itself."""
+    found = near_copy_sets(docs, width, **how).where("doc_id IS NOT NULL").withColumn("goes", F.col("component_id") < F.col("doc_id"))
+    gone = stored(found.groupBy(F.col("doc_id").alias("__kl_gone")).agg(F.every("goes").alias("whole"), F.some("goes").alias("part")).where("part"), "gone")
+    kept = docs.join(small(gone.select("__kl_gone")), F.col("doc_id") == F.col("__kl_gone"), "left_anti")
+    mixed = gone.where("NOT whole").select("__kl_gone")
+    if not mixed.limit(1).count():
+        return kept
+    sets = found.where("goes").join(small(mixed), F.col("doc_id") == F.col("__kl_gone"))
+    sets = stored(sets.select("__kl_gone", F.col("set_id").alias("__kl_set")).distinct(), "gone-sets")
+    rows = aside(docs.join(small(mixed), F.col("doc_id") == F.col("__kl_gone"), "left_semi"), "doc_id", "text")
+    rows = set_ids(rows, width, *[c for c in rows.columns if c.startswith("__in_")])
+    same = (F.col("doc_id") == F.col("__kl_gone")) & (F.col("set_id") == F.col("__kl_set"))
+    return kept.unionByName(back(rows.join(small(sets), same, "left_anti")))

@@ -54,6 +54,15 @@ def test_keep_one(spark):
     assert 2 not in ids and ids.count(1) == 2 and None in ids and 8 not in ids and {4, 5, 6, 7, 9, 10} <= set(ids)
 
 
+def test_keep_one_judges_each_text_of_a_doc_id(spark):
+    copy, own, other = cases.PLAIN, "own " + " ".join(f"o{i}" for i in range(40)), " ".join(f"p{i}" for i in range(40))
+    texts = [(1, copy), (2, copy), (2, own), (2, own), (2, None), (3, own), (4, copy), (5, other)]
+    data = [(i, t, "en", "src0", k, 1, "z", 2.5, "k") for k, (i, t) in enumerate(texts)]
+    kept = near_dups.keep_one(cases.documents(spark, data))
+    assert kept.columns == cases.documents(spark).columns
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted((data[k] for k in (0, 2, 3, 4, 7)), key=str)
+
+
 def test_sketch_distance_is_a_lower_bound_and_linked_sets_share_a_word():
     rng = np.random.default_rng(5)
     bands = parity.Bands(80, 100)
