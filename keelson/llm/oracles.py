@@ -2,12 +2,12 @@
 
 The others are tested against brute-force versions in ``tests/llm``: mixing and
 sharding (Spark's 64-bit hash and CRC-32 are not in DuckDB), and what is trained
-(toxicity, personal data, URL filter).
+(toxicity, personal data, URL filter), and fingerprints.
 """
 
 from __future__ import annotations
 
-from keelson.llm import chat, decontam, near_dups, quality
+from keelson.llm import chat, decontam, near_dups, negatives, quality, search
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -111,4 +111,33 @@ SELECT doc_id, n_words, word_chars, CAST(classes[4] AS BIGINT) AS n_symbols, len
                                 OR (n_words >= {quality.MIN_WORDS} AND dw > {quality.MAX_WORD_DISTANCE})) AS kept
 FROM b"""
 
-SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_chat_format": OP4, "op5_warc": OP5, "op8_decontaminate": OP8, "op9_quality_rules": OP9}
+_W11 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_W11.format(_lower('text'))} AS w FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_W11.format(_lower('text'))}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * len(w) * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN t USING (term) JOIN d USING (r), c GROUP BY ALL),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= {search.K}"""
+
+_N = negatives
+OP12 = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id,
+             CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % {_N.ANCHOR_EVERY} = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= {_N.POSITIVES}),
+n AS (SELECT anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id)
+      WHERE NOT s.same AND {_N.LOW} * p.score <= {_N.OF} * s.score AND {_N.OF} * s.score <= {_N.HIGH} * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {_N.NEGATIVES}"""
+
+SQL: dict[str, str] = {"op2_ngram_join": OP2, "op4_chat_format": OP4, "op5_warc": OP5, "op8_decontaminate": OP8, "op9_quality_rules": OP9,
+                       "op11_ranked_search": OP11, "op12_hard_negatives": OP12}

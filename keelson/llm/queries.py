@@ -62,5 +62,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.search import rank_documents
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.negatives import mine_embeddings
+    return mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keelson.llm.fingerprints import compare_documents
+    return compare_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix, op2_ngram_join, op3_toxicity, op4_chat_format, op5_warc, op6_shard,
-                                                   op7_pii, op8_decontaminate, op9_quality_rules, op10_url_filter)}
+                                                   op7_pii, op8_decontaminate, op9_quality_rules, op10_url_filter,
+                                                   op11_ranked_search, op12_hard_negatives, op13_fingerprint)}

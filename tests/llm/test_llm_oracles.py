@@ -17,6 +17,6 @@ from verify_oracles import compare  # noqa: E402
 @pytest.mark.parametrize("key", sorted(SQL))
 def test_matches_oracle(spark, key):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF01}/{t}.parquet')")
     assert compare(QUERIES[key](spark, SF01), con, SQL[key]) == []
