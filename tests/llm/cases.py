@@ -65,3 +65,7 @@ def components(docs: list[tuple], width: int, num: int, den: int) -> list[tuple]
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def table_of(spark, data: list[tuple], schema: str):
+    return spark.createDataFrame(data, schema)
