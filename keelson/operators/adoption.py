@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.dates import month_key, yearweek
 from keelson.functions.numeric import pct, round_to, safe_div
-from keelson.operators.prep import customer_features, daily_monthly_actives, feature_sets, in_window
+from keelson.operators.prep import customer_features, daily_actives, daily_monthly_actives, feature_sets, in_window, month_masks
 
 DEFAULT_WINDOW = ("2024-01-01", "2024-04-30")
 
@@ -33,35 +33,26 @@ def adoption_rate(usage: DataFrame, cust: DataFrame, win=DEFAULT_WINDOW) -> Data
                  .withColumn("adoption_rate_pct", pct(F.col("users_used"), F.col("total_customers"))))
 
 
-def _feature_day_users(usage: DataFrame, win) -> DataFrame:
-    return (in_window(usage, win)
-            .select("feature", F.col("session_date").alias("day"), "customer_id")
-            .distinct())
-
-
 def dau(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
-    """Daily active users per feature."""
-    return (in_window(usage, win)
-            .groupBy("feature", F.col("session_date").alias("day"))
-            .agg(F.count_distinct("customer_id").alias("dau")))
+    """Daily active users per feature, from the monthly day masks."""
+    return daily_actives(month_masks(usage, win))
 
 
 def mau(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Monthly active users per feature; month is ``yyyy-MM-01`` text."""
-    return (in_window(usage, win)
-            .groupBy("feature", month_key(F.col("session_date")).alias("month"))
-            .agg(F.count_distinct("customer_id").alias("mau")))
+    return (month_masks(usage, win).groupBy("feature", "month").agg(F.count("customer_id").alias("mau"))
+            .select("feature", month_key(F.col("month")).alias("month"), "mau"))
 
 
 def stickiness(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
     """Average DAU over the days with activity, MAU, and their ratio.
 
-    One pass over the sessions (``prep.daily_monthly_actives``). Sessions
+    One pass over the sessions (``prep.month_masks``). Sessions
     without a feature belong to no row.
     """
-    dm = daily_monthly_actives(usage.filter(F.col("feature").isNotNull()), win, month_key)
+    dm = daily_monthly_actives(month_masks(usage.filter(F.col("feature").isNotNull()), win))
     avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
-    return dm.select("feature", "month",
+    return dm.select("feature", month_key(F.col("month")).alias("month"),
                      round_to(avg_dau, 2).alias("avg_dau"),
                      "mau",
                      round_to(safe_div(avg_dau, F.col("mau")), 4).alias("dau_mau_ratio"))
@@ -111,11 +102,9 @@ def time_to_first_use(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
 def power_users(usage: DataFrame, win=DEFAULT_WINDOW, min_days: int = 5) -> DataFrame:
     """Customers with at least ``min_days`` active days in a month,
     counted per feature and month (months without any are absent)."""
-    active = (in_window(usage, win)
-              .groupBy("feature", "customer_id", month_key(F.col("session_date")).alias("month"))
-              .agg(F.count_distinct("session_date").alias("active_days")))
-    return (active.filter(F.col("active_days") >= min_days)
-            .groupBy("feature", "month").agg(F.count(F.lit(1)).alias("power_users_count")))
+    active = month_masks(usage, win).filter(F.coalesce(F.bit_count("days"), F.lit(0)) >= min_days)
+    return (active.groupBy("feature", "month").agg(F.count(F.lit(1)).alias("power_users_count"))
+            .select("feature", month_key(F.col("month")).alias("month"), "power_users_count"))
 
 
 def activation_rate(usage: DataFrame, cust: DataFrame, win=DEFAULT_WINDOW, days: int = 7) -> DataFrame:
@@ -160,12 +149,30 @@ def adoption_by(usage: DataFrame, cust: DataFrame, dim: str, win=DEFAULT_WINDOW)
             .groupBy(dim, "feature").agg(F.count_distinct("customer_id").alias("users")))
 
 
-def feature_pairs(features: Column) -> Column:
-    """All (feature_1 < feature_2) pairs of a sorted, distinct feature array."""
-    return F.flatten(F.transform(
-        features,
-        lambda x: F.transform(F.filter(features, lambda y: y > x),
-                              lambda y: F.struct(x.alias("feature_1"), y.alias("feature_2")))))
+#: Features of a set are taken in blocks of so many when pairs are made.
+PAIR_BLOCK = 64
+
+
+def pair_rows(sets: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """Rows (feature_1 < feature_2, n) of ``sets`` (features: sorted array, n).
+
+    A blocked sparse product: a set is cut into blocks, every block meets every
+    later one and itself, and a pair of blocks is unfolded into rows by two
+    explodes, so no array holds more than ``block`` features of either side. The
+    pairs of blocks of a set beyond one block are dealt out over the tasks.
+    """
+    def product(rows: DataFrame) -> DataFrame:
+        return (rows.select(F.explode("left").alias("feature_1"), "right", "n")
+                .select("feature_1", F.explode("right").alias("feature_2"), "n")
+                .filter(F.col("feature_1") < F.col("feature_2")))
+
+    one = sets.filter(F.size("features") <= block).select(F.col("features").alias("left"), F.col("features").alias("right"), "n")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size("features") - 1) / block).cast("int"), F.lit(0))),
+                      lambda i: F.slice(F.col("features"), i * block + 1, F.lit(block)))
+    more = (sets.filter(F.size("features") > block).select(cut.alias("blocks"), "n")
+            .select(F.posexplode("blocks").alias("i", "left"), "blocks", "n")
+            .select("left", F.explode(F.expr("slice(blocks, i + 1, size(blocks))")).alias("right"), "n"))
+    return product(one).unionByName(product(more.repartition("left", "right")))
 
 
 def feature_co_usage(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
@@ -173,11 +180,9 @@ def feature_co_usage(usage: DataFrame, win=DEFAULT_WINDOW) -> DataFrame:
 
     Customers are first reduced to their feature set, the sets are counted,
     and pairs are generated per *distinct set* with its count as weight. The
-    work is linear in customers; pair generation only touches the (small)
-    set of distinct feature combinations.
+    work is linear in customers; pair generation (``pair_rows``) only touches the
+    distinct feature combinations.
     """
     sets = (feature_sets(usage, win).filter(F.col("customer_id").isNotNull())
             .groupBy("features").agg(F.count(F.lit(1)).alias("n")))
-    pairs = sets.select(F.explode(feature_pairs(F.col("features"))).alias("p"), "n")
-    return (pairs.groupBy(F.col("p.feature_1").alias("feature_1"), F.col("p.feature_2").alias("feature_2"))
-            .agg(F.sum("n").alias("common_users")))
+    return pair_rows(sets).groupBy("feature_1", "feature_2").agg(F.sum("n").alias("common_users"))

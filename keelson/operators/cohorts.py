@@ -7,10 +7,13 @@ as month 0.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.dates import lit_date, month_diff, month_key
+from keelson.functions.dates import as_date, lit_date, month_diff, month_key
 from keelson.functions.numeric import pct
 from keelson.operators.prep import in_window
 
@@ -65,24 +68,44 @@ def retention_matrix(cust: DataFrame, usage: DataFrame, win=DEFAULT_SIGNUP_WINDO
             .orderBy("cohort_month"))
 
 
+#: A cohort of so many customers at most, counted, is broadcast to the events.
+BROADCAST_CUSTOMERS = 1_000_000
+#: An event's order within a customer and month as one decimal: days since the month began (3 digits), id, MRR in hundredths.
+_ID_SHIFT, _MONEY_SHIFT, _MONEY_ZERO = Decimal(10 ** 33), Decimal(10 ** 13), Decimal(10 ** 12)
+
+
+def _event_code(event_id: Column, mrr: Column) -> Column:
+    """The id (NULL lowest) and the MRR (NULL lowest) of an event as one number."""
+    number = F.when(event_id.isNotNull(), event_id.cast("decimal(20,0)") + F.lit(Decimal(2 ** 63 + 1))).otherwise(F.lit(Decimal(0)))
+    cents = F.when(mrr.isNotNull(), (mrr.cast("decimal(12,2)") * 100).cast("decimal(13,0)") + F.lit(_MONEY_ZERO)).otherwise(F.lit(Decimal(0)))
+    return (number * F.lit(_MONEY_SHIFT) + cents).cast("decimal(34,0)")
+
+
 def latest_event(coh: DataFrame, subs: DataFrame) -> DataFrame:
     """The last subscription event per customer and month offset.
 
     Latest by ``event_date`` then ``event_id`` (same-day ties resolve to the
-    larger id). ``max(struct(...))`` is a partially aggregated hash
-    aggregate, so a customer with very many events is reduced map-side
-    rather than sorted in a single task as a window would.
+    larger id, then to the larger MRR). Day, id and MRR are packed into one number of
+    fixed width, whose maximum a hash aggregate takes in place.
+
+    A cohort that has been counted to be small is broadcast, so that events of other
+    customers never reach a shuffle. Beyond that, events are reduced per customer
+    and day first, and joined: a customer with a huge number of events
+    reaches the join with at most one row per calendar day.
     """
-    # last event per (customer, day) first: a customer with a huge number of
-    # events reaches the join with at most one row per calendar day
-    daily = (subs.groupBy("customer_id", "event_date")
-             .agg(F.max(F.struct("event_date", "event_id", "mrr_at_event")).alias("_e")))
-    j = coh.join(daily, "customer_id")
+    events = subs.select("customer_id", "event_date", _event_code(F.col("event_id"), F.col("mrr_at_event")).alias("_code"))
+    if coh.limit(BROADCAST_CUSTOMERS + 1).count() <= BROADCAST_CUSTOMERS:
+        j = events.join(F.broadcast(coh), "customer_id")
+    else:
+        j = coh.join(events.groupBy("customer_id", "event_date").agg(F.max("_code").alias("_code")), "customer_id")
     j = j.withColumn("month_number", month_diff(F.col("signup_date"), F.col("event_date")))
-    return (j.groupBy("customer_id", "cohort_month", "month_number")
-            .agg(F.max("_e").alias("_last"))
+    # day 100: the first of the month that the customer's month starts in
+    day = F.datediff("event_date", F.add_months(F.to_date("cohort_month"), F.col("month_number"))) + 100
+    key = F.coalesce(day, F.lit(0)).cast("decimal(3,0)") * F.lit(_ID_SHIFT) + F.col("_code")
+    cents = (F.col("_last") % F.lit(_MONEY_SHIFT)).cast("decimal(14,0)")
+    return (j.groupBy("customer_id", "cohort_month", "month_number").agg(F.max(key).alias("_last"))
             .select("customer_id", "cohort_month", "month_number",
-                    F.col("_last.mrr_at_event").alias("mrr_at_event")))
+                    F.when(cents > 0, ((cents - F.lit(_MONEY_ZERO)) / 100).cast("decimal(12,2)")).alias("mrr_at_event")))
 
 
 def mrr_pivot(latest: DataFrame, start: int = 0, at: int = 3) -> DataFrame:
@@ -94,8 +117,13 @@ def mrr_pivot(latest: DataFrame, start: int = 0, at: int = 3) -> DataFrame:
 
 def nrr(cust: DataFrame, subs: DataFrame, win=DEFAULT_SIGNUP_WINDOW, at: int = 3) -> DataFrame:
     """Net revenue retention % per cohort over customers with both a
-    month-0 and a month-``at`` event."""
-    piv = mrr_pivot(latest_event(cohorts(cust, win), subs), 0, at)
+    month-0 and a month-``at`` event. Only events whose date can lie in one of
+    these months are read."""
+    if win is not None:
+        start, end = (as_date(x) for x in win)
+        subs = in_window(subs, (start - timedelta(days=32), end + timedelta(days=31 * (at + 1) + 1)), col="event_date")
+    latest = latest_event(cohorts(cust, win), subs)
+    piv = mrr_pivot(latest.filter(F.col("month_number").isin(0, at)), 0, at)
     valid = piv.filter(F.col("m0").isNotNull() & F.col(f"m{at}").isNotNull())
     return (valid.groupBy("cohort_month")
             .agg(pct(F.sum(f"m{at}"), F.sum("m0")).alias("NRR_pct"))

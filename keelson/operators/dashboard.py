@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.dates import monday_week, month_period
 from keelson.functions.numeric import round_to
-from keelson.operators.prep import active_sessions, customer_features, daily_monthly_actives
+from keelson.operators.prep import active_sessions, customer_features, daily_monthly_actives, month_masks
 
 DEFAULT_WINDOW = ("2024-01-01", "2024-04-30")
 
@@ -25,28 +25,32 @@ def population(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame
             .filter(F.col("feature").isNotNull() & F.col("customer_id").isNotNull()))
 
 
+def _ratios(masks: DataFrame) -> DataFrame:
+    dm = daily_monthly_actives(masks.filter(F.col("feature").isNotNull()))
+    avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
+    return dm.select("feature", month_period(F.col("month")).alias("month"), avg_dau.alias("avg_dau"), "mau",
+                     (avg_dau / F.col("mau").cast("double")).alias("ratio"))
+
+
 def stickiness_ratio(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
     """Mean daily actives over monthly actives per feature and month
     (``yyyy-MM``), unrounded. Days without activity do not enter the mean.
-    One pass over the sessions (``prep.daily_monthly_actives``)."""
-    dm = daily_monthly_actives(population(usage, win, features), None, month_period)
-    avg_dau = F.col("_dau_sum").cast("double") / F.col("_days").cast("double")
-    return dm.select("feature", "month", avg_dau.alias("avg_dau"), "mau",
-                     (avg_dau / F.col("mau").cast("double")).alias("ratio"))
+    One pass over the sessions (``prep.month_masks``)."""
+    return _ratios(month_masks(population(usage, win, features)))
 
 
 def kpi_cards(usage: DataFrame, win=DEFAULT_WINDOW, features=None) -> DataFrame:
     """Active users, features used, mean stickiness (3 dp).
 
-    The feature count and the mean come from the stickiness table (one row
-    per feature and month of the same population), so the sessions get one
-    distinct count of customers and the stickiness chain.
+    All three come from the day masks of the population, which the sessions are
+    scanned and shuffled for once. Users whose sessions name no feature count as
+    active users, as the dashboard counts them.
     """
-    pop = population(usage, win, features)
-    cards = stickiness_ratio(usage, win, features).agg(
+    masks = month_masks(active_sessions(usage, win, features).filter(F.col("customer_id").isNotNull()))
+    cards = _ratios(masks).agg(
         F.struct(F.count_distinct("feature").alias("features_used"),
                  round_to(F.avg("ratio"), 3).alias("avg_stickiness")).alias("s")).scalar()
-    return (pop.agg(F.count_distinct("customer_id").alias("total_active_users"))
+    return (masks.agg(F.count_distinct("customer_id").alias("total_active_users"))
             .withColumn("_s", cards)
             .select("total_active_users", "_s.features_used", "_s.avg_stickiness"))
 

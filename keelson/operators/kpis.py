@@ -4,10 +4,12 @@ WAU/MAU, upgrade conversion, average score, breadth vs MRR, churn rate."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.dates import yearweek
+from keelson.functions.dates import as_date
 from keelson.functions.numeric import pct, round_to, safe_div
 from keelson.operators.prep import in_window
 
@@ -80,26 +82,36 @@ def multi_feature_adoption(usage: DataFrame, cust: DataFrame, min_features: int
     return multi.agg(pct(F.count_distinct("customer_id"), total).alias("pct_multi_feature_users"))
 
 
+#: Weeks in one integer.
+MASK_WEEKS = 62
+
+
+def _sunday_week(d) -> int:
+    """Number of the week, Sunday to Saturday, of a date (1970-01-01 is a Thursday)."""
+    return ((d - date(1970, 1, 1)).days + 4) // 7
+
+
 def wau_mau(usage: DataFrame, win=("2024-04-01", "2024-04-30")) -> DataFrame:
     """Mean weekly actives (Sunday weeks) over actives of the window, 4 dp.
 
     Weeks cut by the window edges count as whole weeks. The reference names
     this column ``dau_mau_ratio``; it is a WAU/MAU ratio.
 
-    One pass: each customer's set of active weeks (bounded by the weeks in
-    the window) is exploded; flagging the first week of every customer makes
-    the same rows count the window's distinct actives.
+    One pass: each customer's active weeks are the bits of integers, one for
+    each ``MASK_WEEKS`` weeks of the window, merged by a hash aggregate.
     """
-    u = in_window(usage, win)
-    weeks = u.groupBy("customer_id").agg(
-        F.array_sort(F.collect_set(F.struct(yearweek(F.col("session_date")).alias("week")))).alias("_w"))
-    rows = weeks.select(F.col("customer_id").isNotNull().alias("_counted"),
-                        F.posexplode("_w").alias("_pos", "_wk"))
-    counted = F.col("_counted")
-    weekly = rows.groupBy(F.col("_wk.week").alias("week")).agg(
-        F.sum(F.when(counted, 1).otherwise(0)).alias("wau"),
-        F.sum(F.when(counted & (F.col("_pos") == 0), 1).otherwise(0)).alias("_firsts"))
-    return weekly.agg(round_to(safe_div(F.avg("wau"), F.sum("_firsts")), 4).alias("wau_mau_ratio"))
+    start, end = (as_date(x) for x in win)
+    first, last = _sunday_week(start), _sunday_week(end)
+    week = F.floor((F.unix_date("session_date") + 4) / 7) - first
+    parts = range(0, last - first + 1, MASK_WEEKS)
+    bit = lambda k: F.expr(f"CASE WHEN _week BETWEEN {k} AND {k + MASK_WEEKS - 1} THEN shiftleft(1L, cast(_week - {k} AS int)) END")
+    masks = (in_window(usage, win).withColumn("_week", week).groupBy("customer_id")
+             .agg(*[F.bit_or(bit(k)).alias(f"_m{k}") for k in parts]))
+    known = F.col("customer_id").isNotNull()
+    count = lambda c: F.coalesce(F.bit_count(c), F.lit(0))
+    total = masks.agg(F.sum(F.when(known, sum(count(F.col(f"_m{k}")) for k in parts)).otherwise(0)).alias("_active"),
+                      sum(count(F.bit_or(f"_m{k}")) for k in parts).alias("_weeks"), F.count("customer_id").alias("_users"))
+    return total.select(round_to(safe_div(safe_div(F.col("_active"), F.col("_weeks")), F.col("_users")), 4).alias("wau_mau_ratio"))
 
 
 def upgrade_conversion(usage: DataFrame, subs: DataFrame) -> DataFrame:

@@ -150,15 +150,9 @@ def customer_features(usage: DataFrame, win: Window_ | None = None) -> DataFrame
 
     The basic pre-aggregate for every "who used what" metric: joins run on
     this instead of on raw sessions, so a hot customer has at most one row
-    per feature on the join side. Built as one feature set per customer
-    (bounded by the catalogue, from pairs made distinct by a hash aggregate; a NULL feature is kept by wrapping it in a
-    struct) and exploded, so the pairs come out hash-partitioned by
-    ``customer_id`` and a following join on ``customer_id`` shuffles only the
-    other side.
+    per feature on the join side. One hash aggregate with map-side combining.
     """
-    sets = (in_window(usage, win).select("customer_id", "feature").distinct().groupBy("customer_id")
-            .agg(F.collect_list(F.struct("feature")).alias("_fs")))
-    return sets.select("customer_id", F.explode("_fs").alias("_f")).select("customer_id", "_f.feature")
+    return in_window(usage, win).select("customer_id", "feature").distinct()
 
 
 def feature_sets(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
@@ -173,31 +167,41 @@ def feature_sets(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
             .agg(F.sort_array(F.collect_list("feature")).alias("features")))
 
 
-def daily_monthly_actives(usage: DataFrame, win: Window_ | None, month) -> DataFrame:
-    """Per feature and month: mean daily actives over the days with activity,
-    and monthly actives, from a single pass over the sessions.
+def month_masks(usage: DataFrame, win: Window_ | None = None) -> DataFrame:
+    """``feature, customer_id, month, days``: the active days of each customer,
+    feature and month as the bits of an integer (bit 0: the 1st).
 
-    Sessions are reduced to one row per (feature, customer, month) holding
-    the set of active days (at most 31). Exploding the sets gives the daily
-    active counts; flagging each customer's first active day of the month
-    makes the same rows count the monthly actives, so the sessions are
-    scanned and shuffled once. ``month`` maps the date column to the month
-    label.
+    One hash aggregate, combined map-side: a month of sessions is one row of
+    fixed width per task, however many days it has. ``month`` is its first day;
+    sessions without a date have a NULL month and no days.
     """
-    d = F.col("session_date")
-    per_month = (in_window(usage, win).filter(d.isNotNull())
-                 .select("feature", "customer_id", d).distinct()
-                 .groupBy("feature", "customer_id", month(d).alias("month"))
-                 .agg(F.sort_array(F.collect_list(d)).alias("days")))
-    days = per_month.select(
-        "feature", "month", F.col("customer_id").isNotNull().alias("_counted"),
-        F.posexplode("days").alias("_pos", "day"))
-    # COUNT(DISTINCT customer_id) ignores a NULL customer, but the day (with
-    # 0 actives) still counts as a day with activity
-    counted = F.col("_counted")
-    daily = (days.groupBy("feature", "month", "day")
-             .agg(F.sum(F.when(counted, 1).otherwise(0)).alias("dau"),
-                  F.sum(F.when(counted & (F.col("_pos") == 0), 1).otherwise(0)).alias("_firsts")))
-    return daily.groupBy("feature", "month").agg(
-        F.sum("dau").alias("_dau_sum"), F.count(F.lit(1)).alias("_days"),
-        F.sum("_firsts").alias("mau"))
+    bit = F.expr("shiftleft(1, dayofmonth(session_date) - 1)")
+    return (in_window(usage, win).groupBy("feature", "customer_id", F.trunc("session_date", "MM").alias("month"))
+            .agg(F.bit_or(bit).alias("days")))
+
+
+def daily_monthly_actives(masks: DataFrame) -> DataFrame:
+    """Per feature and month of ``month_masks``: the sum of the daily actives,
+    the days with activity, and the monthly actives.
+
+    A missing customer is not counted, but its days are days with activity
+    (``COUNT(DISTINCT customer_id)`` of such a day is 0).
+    """
+    active = F.when(F.col("customer_id").isNotNull(), F.bit_count("days")).otherwise(0)
+    return masks.filter(F.col("month").isNotNull()).groupBy("feature", "month").agg(
+        F.sum(active).alias("_dau_sum"), F.bit_count(F.bit_or("days")).alias("_days"), F.count("customer_id").alias("mau"))
+
+
+def daily_actives(masks: DataFrame) -> DataFrame:
+    """``feature, day, dau`` of ``month_masks``: one counter per day of the month.
+
+    Sessions without a date are one group (a NULL day) per feature."""
+    on = lambda mask, i: F.shiftright(mask, i).bitwiseAND(F.lit(1))
+    known = F.col("customer_id").isNotNull()
+    per = masks.groupBy("feature", "month").agg(
+        F.bit_or("days").alias("_any"), F.count("customer_id").alias("_users"),
+        *[F.sum(F.when(known, on(F.col("days"), i)).otherwise(0)).alias(f"_d{i}") for i in range(31)])
+    days = per.select("feature", "month", "_any", "_users", F.posexplode(F.array(*[F.col(f"_d{i}") for i in range(31)])).alias("_pos", "_n"))
+    dated = F.col("month").isNotNull()
+    return (days.filter((dated & (F.expr("shiftright(_any, _pos) & 1") == 1)) | (~dated & (F.col("_pos") == 0)))
+            .select("feature", F.expr("date_add(month, _pos)").alias("day"), F.when(dated, F.col("_n")).otherwise(F.col("_users")).alias("dau")))

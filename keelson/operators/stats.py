@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keelson.functions.numeric import safe_div
 from keelson.functions.special import chi2_pvalue_udf, t_pvalue_udf
 from keelson.operators.health import TIER_ORDER
+from keelson.operators.prep import materialize
+from keelson.sources.work import fresh
 
 ALPHA = 0.05
 
@@ -50,14 +53,36 @@ def mrr_by_bucket(df: DataFrame, bucket: str = "usage_bucket", value: str = "mrr
 
 # ------------------------------------------------------------ tests
 
+HUNDREDTHS = 100.0
+
+
+def _whole(c: Column, digits: int) -> Column:
+    """A value with two decimals as a whole number of hundredths."""
+    return (c.cast(f"decimal({digits},2)") * 100).cast(f"decimal({digits},0)")
+
+
+def _center(n: Column, s: Column, digits: int) -> tuple[Column, Column]:
+    """A whole number next to the mean of ``n`` whole numbers with sum ``s``, and
+    the sum of the deviations from it (at most n / 2 either way), exact."""
+    q = F.round(F.try_divide(s, n)).cast(f"decimal({digits},0)")
+    return q, (s - q * n).cast("decimal(28,0)")
+
+
 def _moments(df: DataFrame, value: str) -> list[Column]:
-    x = F.col(value).cast("decimal(12,2)")
+    x = _whole(F.col(value), 12)
     return [F.count(x).alias("n"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2")]
 
 
 def _var(n: Column, s1: Column, s2: Column) -> Column:
-    """Sample variance from count, sum and sum of squares (exact sums)."""
-    return F.try_divide(_d(s2) - _d(s1) * _d(s1) / _d(n), _d(n) - 1)
+    """Sample variance from count, sum and sum of squares (of hundredths).
+
+    The squares are moved to a whole number next to the mean while they are
+    exact decimals; what is left to subtract as doubles is at most half of
+    them, so values far from zero with a small spread lose nothing."""
+    count = n.cast("decimal(19,0)")
+    q, r = _center(count, s1, 13)
+    around = s2 - q * q * count - 2 * q * r
+    return F.try_divide((_d(around) - F.try_divide(_d(r) * _d(r), _d(n))) / HUNDREDTHS ** 2, _d(n) - 1)
 
 
 def welch_stats(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFrame:
@@ -72,19 +97,22 @@ def welch_stats(df: DataFrame, group: str, a: str, b: str, value: str) -> DataFr
                   for lab, k in ((a, "a"), (b, "b")) for c in ("n", "s1", "s2")])
     va = _var(F.col("n_a"), F.col("s1_a"), F.col("s2_a"))
     vb = _var(F.col("n_b"), F.col("s1_b"), F.col("s2_b"))
-    ma = F.try_divide(_d(F.col("s1_a")), _d(F.col("n_a")))
-    mb = F.try_divide(_d(F.col("s1_b")), _d(F.col("n_b")))
+    ma = F.try_divide(_d(F.col("s1_a")), HUNDREDTHS * _d(F.col("n_a")))
+    mb = F.try_divide(_d(F.col("s1_b")), HUNDREDTHS * _d(F.col("n_b")))
+    # the difference of the means over their common denominator, exact until it is divided
+    apart = F.col("s1_a") * F.col("n_b").cast("decimal(19,0)") - F.col("s1_b") * F.col("n_a").cast("decimal(19,0)")
+    apart = F.try_divide(_d(apart), HUNDREDTHS * _d(F.col("n_a")) * _d(F.col("n_b")))
     # a group without rows has size 0 and no mean or variance
     row = row.select(F.coalesce(F.col("n_a"), F.lit(0).cast("long")).alias("n_a"),
                      F.coalesce(F.col("n_b"), F.lit(0).cast("long")).alias("n_b"),
-                     ma.alias("mean_a"), mb.alias("mean_b"), va.alias("var_a"), vb.alias("var_b"))
+                     ma.alias("mean_a"), mb.alias("mean_b"), va.alias("var_a"), vb.alias("var_b"), apart.alias("_apart"))
     qa = F.try_divide(F.col("var_a"), _d(F.col("n_a")))
     qb = F.try_divide(F.col("var_b"), _d(F.col("n_b")))
     se2 = qa + qb
-    t = F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(se2))
+    t = F.try_divide(F.col("_apart"), F.sqrt(se2))
     dof = F.try_divide(se2 * se2, F.try_divide(qa * qa, _d(F.col("n_a")) - 1)
                        + F.try_divide(qb * qb, _d(F.col("n_b")) - 1))
-    return row.select("*", t.alias("t_stat"), dof.alias("dof"))
+    return row.select("*", t.alias("t_stat"), dof.alias("dof")).drop("_apart")
 
 
 def welch_t(df: DataFrame, group: str = "usage_bucket", a: str = "High", b: str = "Medium",
@@ -96,16 +124,20 @@ def welch_t(df: DataFrame, group: str = "usage_bucket", a: str = "High", b: str
 
 
 def pearson(df: DataFrame, x: str = "feature_count", y: str = "mrr") -> DataFrame:
-    """Pearson correlation (NULL, not an error, for zero variance)."""
-    xd, yd = F.col(x).cast("decimal(18,2)"), F.col(y).cast("decimal(18,2)")
+    """Pearson correlation (NULL, not an error, for zero variance).
+
+    The sums of squares and products are moved next to the means as exact
+    decimals before they become doubles (see ``_var``)."""
+    xd, yd = _whole(F.col(x), 18), _whole(F.col(y), 18)
     pair = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     m = pair.agg(F.count(F.lit(1)).alias("n"), F.sum(xd).alias("sx"), F.sum(yd).alias("sy"),
                  F.sum(xd * xd).alias("sxx"), F.sum(yd * yd).alias("syy"), F.sum(xd * yd).alias("sxy"))
-    n, sx, sy = _d(F.col("n")), _d(F.col("sx")), _d(F.col("sy"))
-    num = n * _d(F.col("sxy")) - sx * sy
-    dx = n * _d(F.col("sxx")) - sx * sx
-    dy = n * _d(F.col("syy")) - sy * sy
-    r = F.try_divide(num, F.sqrt(dx * dy))
+    n, count = _d(F.col("n")), F.col("n").cast("decimal(19,0)")
+    (qx, rx), (qy, ry) = _center(count, F.col("sx"), 19), _center(count, F.col("sy"), 19)
+    num = _d(F.col("sxy") - qx * ry - qy * F.col("sx")) - F.try_divide(_d(rx) * _d(ry), n)
+    dx = _d(F.col("sxx") - qx * rx - qx * F.col("sx")) - F.try_divide(_d(rx) * _d(rx), n)
+    dy = _d(F.col("syy") - qy * ry - qy * F.col("sy")) - F.try_divide(_d(ry) * _d(ry), n)
+    r = F.try_divide(num, F.sqrt(dx) * F.sqrt(dy))
     return m.select("n", F.when((dx > 0) & (dy > 0), r).alias("corr"))
 
 
@@ -231,32 +263,63 @@ def tier_means(scores: DataFrame) -> DataFrame:
     return m.select("health_tier", "tier_rank", "customers", "mean_score", mono.alias("monotonic"))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def counted_ranges(df: DataFrame, group: str, value: Column) -> tuple[DataFrame, DataFrame]:
+    """The distinct values of each group with their counts, in ranges of (group, value),
+    and for each range and group the rows before it, in it, and in the whole group.
+
+    ``_v`` value, ``_c`` count, ``_r`` range; ``_before``, ``_in``, ``n``. The ranges are stored, so
+    that everything after is based on the same ones. A range is a shuffle partition:
+    however many values a group has, they are spread over the ranges.
+    """
+    values = df.filter(value.isNotNull() & F.col(group).isNotNull()).groupBy(group, value.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ranged = values.repartitionByRange(group, "_v").withColumn("_r", F.spark_partition_id())
+    ranged = materialize(ranged, fresh(df.sparkSession, "ranges"))
+    of = Window.partitionBy(group)
+    earlier = of.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    # at most a row per group and range
+    starts = ranged.groupBy(group, "_r").agg(F.sum("_c").alias("_in")).withColumns({
+        "_before": F.coalesce(F.sum("_in").over(earlier), F.lit(0)), "n": F.sum("_in").over(of)})
+    return ranged, starts
+
+
 def box_stats(df: DataFrame, group: str = "health_tier", col: str = "health_score",
               whis: float = 1.5) -> DataFrame:
     """Quartiles (linear interpolation), IQR, whiskers and outlier count.
 
-    Quartiles use the exact ``percentile`` aggregate, whose buffer holds one
-    entry per distinct value of the group (a 2-dp score has at most a few
-    thousand). Whiskers are the most extreme values within ``whis * IQR`` of
-    the box; they need a second pass joined to the per-group fences, which AQE
-    broadcasts if it has measured them to be small. Values are counted per
-    group and value before the quartiles.
+    Exact selection by rank: the values of each group are counted and cut into ranges
+    (``counted_ranges``). The ranks a quartile lies between name one or
+    two ranges per group; only there counts are run up to the value at the rank. No
+    task holds the values of a group. Whiskers, the most extreme values within ``whis * IQR`` of the
+    box, come from the counted values and the fences, a row per group.
     """
-    x = F.col(col).cast("double")
-    values = df.filter(x.isNotNull()).groupBy(group, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    q = (values.groupBy(group)
-         .agg(F.sum("_c").alias("n"), F.percentile("_v", [0.25, 0.5, 0.75], F.col("_c")).alias("_q"))
-         .select(group, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                 F.col("_q")[2].alias("q3"))
-         .withColumn("iqr", F.col("q3") - F.col("q1")))
-    fences = q.select(group, (F.col("q1") - whis * F.col("iqr")).alias("_lo"),
-                      (F.col("q3") + whis * F.col("iqr")).alias("_hi"))
-    w = (df.filter(x.isNotNull()).select(group, x.alias("_x")).join(fences, group)
+    ranged, starts = counted_ranges(df, group, F.col(col).cast("double"))
+    position = lambda q: (F.col("n") - 1) * F.lit(q)
+    wanted = F.array(*[F.struct(F.lit(2 * k + up).alias("k"), (F.ceil if up else F.floor)(position(q)).alias("rank"))
+                       for k, q in enumerate(QUARTILES) for up in (0, 1)])
+    targets = (starts.select(group, "_r", "_before", "_in", "n", F.explode(wanted).alias("_t"))
+               .filter((F.col("_t.rank") >= F.col("_before")) & (F.col("_t.rank") < F.col("_before") + F.col("_in"))))
+    inside = ranged.join(targets.select(group, "_r").distinct(), [group, "_r"], "left_semi")
+    upto = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(group, "_r").orderBy("_v")))
+    place = F.col("_t.rank") - F.col("_before")
+    hits = upto.join(targets, [group, "_r"]).filter((place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_c")))
+    ends = hits.groupBy(group).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("_t.k") == k, F.col("_v"))).alias(f"_q{k}")
+                                                         for k in range(2 * len(QUARTILES))])
+
+    def quartile(k: int, q: float) -> Column:
+        part = position(q) - F.floor(position(q))
+        return F.col(f"_q{2 * k}") * (1 - part) + F.col(f"_q{2 * k + 1}") * part
+
+    q = ends.select(group, "n", *[quartile(k, p).alias(name) for k, (p, name) in enumerate(zip(QUARTILES, ("q1", "median", "q3")))])
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    low, high = F.col("q1") - whis * F.col("iqr"), F.col("q3") + whis * F.col("iqr")
+    w = (ranged.join(q.select(group, low.alias("_lo"), high.alias("_hi")), group)
          .groupBy(group)
-         .agg(F.min(F.when(F.col("_x") >= F.col("_lo"), F.col("_x"))).alias("whisker_lo"),
-              F.max(F.when(F.col("_x") <= F.col("_hi"), F.col("_x"))).alias("whisker_hi"),
-              F.count(F.when((F.col("_x") < F.col("_lo")) | (F.col("_x") > F.col("_hi")), 1))
-              .alias("outliers")))
+         .agg(F.min(F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))).alias("whisker_lo"),
+              F.max(F.when(F.col("_v") <= F.col("_hi"), F.col("_v"))).alias("whisker_hi"),
+              F.sum(F.when((F.col("_v") < F.col("_lo")) | (F.col("_v") > F.col("_hi")), F.col("_c")).otherwise(0)).alias("outliers")))
     return q.join(w, group)
 
 

@@ -8,9 +8,6 @@ a top-k.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -21,7 +18,8 @@ from keelson.functions.dates import parse_date
 from keelson.functions.numeric import round_to
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.sources import driver_tables as dt
-from keelson.sources import ingest, io
+from keelson.sources import ingest, io, work
+from keelson.sources.work import shared_dir
 
 #: Raised by hand when a derived table's definition changes.
 DERIVED_VERSION = 1
@@ -93,16 +91,6 @@ class Tables:
         return ingest.stored(self.spark, path, build)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local default only when it
-    is unset and the session itself is local (tests, a laptop)."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        return io.checkpoint_dir(spark, default=os.path.join(tempfile.gettempdir(), "keelson-checkpoints"))
-    return io.checkpoint_dir(spark)
-
-
 def _rounded(df: DataFrame, cols, digits: int) -> DataFrame:
     """Present unrounded double statistics at a fixed precision (exact
     decimal rounding), so engines that differ in the last bit agree."""
@@ -587,7 +575,7 @@ def _(t: Tables):
 
 def _exported(t: Tables, df: DataFrame) -> str:
     """``df`` as CSV text with a header, in a fresh folder of the shared one."""
-    path = f"{shared_dir(t.spark)}/keelson/csv/{uuid.uuid4().hex}"
+    path = work.fresh(t.spark, "csv")
     df.write.option("header", True).csv(path)
     return path
 
@@ -623,7 +611,7 @@ def _(t: Tables):
 def _(t: Tables):
     """S03 then S02: write the score table to a fresh folder (readers of an
     earlier one are not disturbed), read it back."""
-    path = f"{shared_dir(t.spark)}/keelson/scores/{uuid.uuid4().hex}"
+    path = work.fresh(t.spark, "scores")
     io.write_scores(_scores_v2(t), path)
     return io.read_scores(t.spark, path)
 
