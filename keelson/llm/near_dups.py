@@ -2,10 +2,12 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), and the set two
    parity sketches: one for its size band, one for the band below, where its
-   smaller partners are. Documents with equal sets form a class at once. Sets and
-   sketches are made anew from the texts where they are needed, not stored.
+   smaller partners are. Equal sets have one number (62 bits of a digest) and form
+   a class at once. Parity bits are stored; sets are made anew where they are needed.
 2. Two sets that link differ in at most D shingles, D from the size band, so of
-   D + 1 sketch words one is equal: classes are joined on (band, block, word).
+   D + 1 sketch words one is equal: classes are joined on (band, block, word). Tasks pack
+   these keys, 13 bytes each, and they are shuffled once; keys that no other class has
+   end there, and only the members of the others come out.
 3. Within such a bucket the Hamming distance of the sketches, a lower bound of
    the symmetric difference, rules out most pairs. The others are verified by
    the exact intersection of the sets.
@@ -62,68 +64,150 @@ def _column(values: list) -> pa.Array:
     if values and isinstance(values[0], np.ndarray):
         ends = pa.array(np.cumsum([0, *map(len, values)]), pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(values).view(np.int64), pa.int64()))
-    return pa.array(values, pa.int64() if not values or isinstance(values[0], int) else pa.binary())
+    return pa.array(values, pa.int64() if not values or values[0] is None or isinstance(values[0], int) else pa.binary())
+
+
+def _own(h: np.ndarray) -> dict:
+    return {"n": len(h), "node": parity.node(h) if len(h) else None}
 
 
 def set_ids(docs: DataFrame, width: int, *carry: str) -> DataFrame:
-    """The columns ``carry``, doc_id, n (size of the set) and set_id (null if empty) of each row."""
-    of_set = lambda h: {"n": len(h), "set_id": parity.set_id(h) if len(h) else b""}
-    ids = over_texts(docs.select(*carry, "doc_id", "text"), of_set, "n bigint, set_id binary", ["n", "set_id"], width)
-    return ids.withColumn("set_id", F.when(F.col("n") > 0, F.col("set_id")))
+    """The columns ``carry``, doc_id, n (size of the set) and node (number of the set, null if empty) of each row."""
+    return over_texts(docs.select(*carry, "doc_id", "text"), _own, "n bigint, node bigint", ["n", "node"], width)
+
+
+def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, n, node, own, below (the parity bits of both sketches) of each row."""
+    def of_set(h: np.ndarray) -> dict:
+        bands = parity.Bands(num, den)
+        return _own(h) | {"own": parity.parity_bits(h, bands, 0) if len(h) else b"", "below": parity.parity_bits(h, bands, 1) if len(h) else b""}
 
+    return over_texts(docs, of_set, "n bigint, node bigint, own binary, below binary", ["n", "node", "own", "below"], width)
 
-def class_texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, set_id, text): a text of each class, or more if its doc_id stands for several texts."""
-    return docs.select("doc_id", "text").join(small(classes.select("node", "doc_id", "set_id")), "doc_id").select("node", "set_id", "text")
 
+#: A key's row within its part: 40 bits of the key, and the member.
+_ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("member", "<i8")])
+KEYS_PER_PART, HELD_KEYS = 1_000_000, 4_000_000
 
-def bucket_keys(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, member): the sketch words of each class that others may share.
+
+def bucket_keys(docs: DataFrame, width: int, num: int, den: int, parts: int, batch_keys: int = KEYS_PER_PART) -> DataFrame:
+    """(part, entries): the sketch words of each set that others may share, packed by
+    the task: ``entries`` are the key and member of many words whose keys fall into one part.
 
     ``member`` is 2 * node, plus 1 if the word is of the band below. Of the D + 1
-    + spare words of a class D at most differ from its partner's, so up to
+    + spare words of a set D at most differ from its partner's, so up to
     ``spare`` words may be left out: those of blocks without shingles."""
+    def packed(key: list[np.ndarray], member: list[np.ndarray]) -> pa.RecordBatch:
+        k, m = np.concatenate([*key, np.empty(0, parity.U)]), np.concatenate([*member, np.empty(0, np.int64)])
+        part = ((k >> parity.U(32)) * parity.U(parts) >> parity.U(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        entries = np.empty(len(k), _ENTRY)
+        entries["key"], entries["more"], entries["member"] = k[order] & parity.U(0xFFFFFFFF), k[order] >> parity.U(32) & parity.U(0xFF), m[order]
+        own, start = np.unique(part[order], return_index=True)
+        ends = [*start[1:], len(k)]
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array([entries[x:y].tobytes() for x, y in zip(start, ends)], pa.binary())], names=["part", "entries"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = parity.Bands(num, den)
+        key, member, held = [], [], 0
         for batch in batches:
-            key, member = [], []
-            for node, set_id, text in zip(*batch.columns):
+            for doc_id, text in zip(*batch.columns):
                 h = parity.shingles(text.as_py(), width)
-                if parity.set_id(h) != set_id.as_py():
-                    continue  # another text with the same doc_id
+                if not len(h) or not doc_id.is_valid:
+                    continue
+                node = parity.node(h)
                 for down in (0, 1):
                     words, at, band = parity.key_words(h, bands, down)
                     key.append(parity.mix(words ^ parity.mix(at + parity.U(band << 32))))
-                    member.append(np.full(len(words), 2 * node.as_py() + down, np.int64))
-            flat = lambda parts, kind: np.concatenate([*parts, np.empty(0, kind)])
-            yield pa.RecordBatch.from_arrays([pa.array(flat(key, parity.U).view(np.int64)), pa.array(flat(member, np.int64))], names=["key", "member"])
-
-    return texts.mapInArrow(run, "key bigint, member bigint")
-
-
-def bucket_members(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes that share a key (key, member), and the buckets (key, size,
-    first). Most buckets hold two classes: these pairs come from the buckets'
-    least and greatest member, once per pair."""
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("x"), F.max("member").alias("y"))
-    buckets = stored(buckets.where("x != y"), "buckets")  # x = y: one class
-    pairs = buckets.where("size = 2").select("x", "y").distinct().withColumn("key", F.xxhash64("x", "y", F.lit("pair")))
-    of_pairs = pairs.select("key", F.explode(F.array("x", "y")).alias("member"))
-    larger = buckets.where("size > 2")
-    members = stored(of_pairs.unionByName(keys.join(small(larger.select("key")), "key").select("key", "member").distinct()), "members")
-    sizes = pairs.select("key", F.lit(2).cast("long").alias("size"), F.col("x").alias("first")).unionByName(
-        larger.select("key", "size", F.col("x").alias("first")))
-    return members.withColumn("node", F.expr("member div 2")), sizes
-
-
-def parities(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(node, n, own, below): the parity bits of both sketches of each class."""
-    def of_set(h: np.ndarray) -> dict:
-        bands = parity.Bands(num, den)
-        return {"n": len(h), "id": parity.set_id(h), "own": parity.parity_bits(h, bands, 0), "below": parity.parity_bits(h, bands, 1)}
+                    member.append(np.full(len(words), 2 * node + down, np.int64))
+                    held += len(words)
+                if held >= batch_keys:
+                    yield packed(key, member)
+                    key, member, held = [], [], 0
+        if held:
+            yield packed(key, member)
+
+    return docs.mapInArrow(run, "part bigint, entries binary")
+
+
+class Part:
+    """The entries of one part. Lone keys go; what is kept is bounded, whatever one key holds:
+    beyond ``most`` entries the members of shared keys are handed out, and those keys noted."""
+
+    def __init__(self, most: int = HELD_KEYS):
+        self.most, self.held, self.n, self.known = most, [], 0, np.empty(0, np.int64)
+
+    def add(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        e = np.frombuffer(data, _ENTRY)
+        key, member, out = e["key"].astype(np.int64) | e["more"].astype(np.int64) << 32, e["member"].astype(np.int64), None
+        if len(self.known):
+            shared = np.isin(key, self.known)
+            out, key, member = (key[shared], member[shared]), key[~shared], member[~shared]
+        self.held.append((key, member))
+        self.n += len(key)
+        if self.n > self.most:
+            key, member, first, size = self.sorted()
+            lone = np.repeat(size == 1, size)
+            self.known = np.union1d(self.known, key[first[size > 1]])
+            self.held, self.n = [(key[lone], member[lone])], int(lone.sum())
+            self.most = max(self.most, 2 * self.n)
+            more = key[~lone], member[~lone]
+            out = more if out is None else tuple(map(np.concatenate, zip(out, more)))
+        return out
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (key, member) in order, and where each key begins and how many members it has."""
+        key, member = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.empty(0, np.int64),) * 2
+        order = np.lexsort((member, key))
+        key, member = key[order], member[order]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])]) if len(key) else np.empty(0, bool)
+        key, member = key[new], member[new]
+        _, first, size = np.unique(key, return_index=True, return_counts=True)
+        return key, member, first, size
+
+    def rest(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y) of keys with two members, and (key, member) of larger ones."""
+        key, member, first, size = self.sorted()
+        two, more = first[size == 2], np.repeat(size > 2, size)
+        pairs = np.unique(np.stack([member[two], member[two + 1]], 1), axis=0) if len(two) else np.empty((0, 2), np.int64)
+        return (pairs[:, 0], pairs[:, 1]), (key[more], member[more])
+
+
+def shared_keys(entries: DataFrame, parts: int, most: int = HELD_KEYS) -> DataFrame:
+    """(key, x, y): x is a member of the shared key; without a key, x and y share one that no other has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(part: int, key: np.ndarray | None, x: np.ndarray, y: np.ndarray | None) -> pa.RecordBatch:
+            none = pa.nulls(len(x), pa.int64())
+            return pa.RecordBatch.from_arrays([none if key is None else pa.array(key | part << 40), pa.array(x), none if y is None else pa.array(y)],
+                                              names=["key", "x", "y"])
 
-    rows = over_texts(texts, of_set, "n bigint, id binary, own binary, below binary", ["n", "id", "own", "below"], width)
-    return rows.where("id = set_id").select("node", "n", "own", "below").dropDuplicates(["node"])
+        at, mine = None, None
+        for batch in batches:
+            for part, data in zip(*batch.columns):
+                if part.as_py() != at:
+                    if mine:
+                        (x, y), (key, member) = mine.rest()
+                        yield rows(at, None, x, y)
+                        yield rows(at, key, member, None)
+                    at, mine = part.as_py(), Part(most)
+                if (out := mine.add(data.as_buffer())) is not None and len(out[0]):
+                    yield rows(at, out[0], out[1], None)
+        if mine:
+            (x, y), (key, member) = mine.rest()
+            yield rows(at, None, x, y)
+            yield rows(at, key, member, None)
+
+    return entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key bigint, x bigint, y bigint")
+
+
+def bucket_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets that share a key (key, member, node), and the buckets (key, size,
+    first). Most buckets hold two sets: these pairs are taken once, whatever number of keys they share."""
+    pairs = shared.where("key IS NULL").select("x", "y").distinct().withColumn("key", F.xxhash64("x", "y", F.lit("pair")))
+    larger = shared.where("key IS NOT NULL").select("key", F.col("x").alias("member"))
+    members = stored(pairs.select("key", F.explode(F.array("x", "y")).alias("member")).unionByName(larger), "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("first"))
+    return members.withColumn("node", F.expr("member div 2")), sizes
 
 
 def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -216,23 +300,28 @@ def open_tiles(members: DataFrame, comps: DataFrame, chunk: int) -> DataFrame:
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs of classes whose sets link, by exact intersection."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node"), "nodes")
-    of_set = lambda h: {"n": len(h), "id": parity.set_id(h), "hashes": h}
-    sets = over_texts(class_texts(nodes, docs), of_set, "n bigint, id binary, hashes array<bigint>", ["n", "id", "hashes"], width)
-    sets = stored(sets.where("id = set_id").select("node", "n", "hashes").dropDuplicates(["node"]), "sets")
+    of_set = lambda h: {"n": len(h), "id": parity.node(h) if len(h) else None, "hashes": h}
+    texts = docs.join(small(nodes), "doc_id").select("node", "text")  # a doc_id may stand for other texts too
+    sets = over_texts(texts, of_set, "n bigint, id bigint, hashes array<bigint>", ["n", "id", "hashes"], width)
+    sets = stored(sets.where("id = node").select("node", "n", "hashes").dropDuplicates(["node"]), "sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ha", "hb")))
     return both.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
 def near_copy_sets(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
-    """The columns of ``join_near_copies`` and the row's set_id."""
+    """The columns of ``join_near_copies`` and the row's node."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(set_ids(docs, width), "shingles")
-    classes = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    members, buckets = bucket_members(bucket_keys(class_texts(classes, docs), width, num, den))
-    close = members.select("node").distinct().join(classes, "node")
-    bits = stored(parities(class_texts(stored(close, "close"), docs), width, num, den), "parities")
+    rows = stored(sketches(docs, width, num, den), "sketches")
+    able = rows.where("doc_id IS NOT NULL AND n > 0")
+    classes = stored(able.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
+    # keys of a set, about: two sketches of a word per shingle that may differ, and a few more
+    most = able.agg(F.sum(F.col("n") * (2 * (den - num) / den) + 16).alias("keys")).first()["keys"] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(most) // KEYS_PER_PART + 1)
+    shared = stored(shared_keys(bucket_keys(docs, width, num, den, parts), parts), "buckets")
+    members, buckets = bucket_members(shared)
+    close = stored(members.select("node").distinct(), "close")
+    bits = stored(able.join(small(close), "node").select("node", "n", "own", "below").dropDuplicates(["node"]), "parities")
 
     tried = stored(proposals(first_tiles(members, buckets, chunk), bits, False, num, den), "pairs")
     links = stored(verify(tried, docs, classes, width, num, den), "links")
@@ -248,18 +337,18 @@ def near_copy_sets(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
         tried = stored(tried.unionByName(pairs), "pairs")
         comps = components(links)
 
-    of = classes.select("set_id", "node", "doc_id").join(comps, "node", "left")
-    least = of.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    of = of.join(least, "component", "left").select("set_id", F.coalesce("least", "doc_id").alias("component_id"))
-    out = rows.select("doc_id", "n", "set_id").join(of, "set_id", "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), "set_id")
+    of = classes.join(comps, "node")
+    least = stored(of.groupBy("component").agg(F.min("doc_id").alias("least")), "components")
+    of = of.join(small(least), "component").select("node", F.col("least").alias("linked"))
+    out = rows.select("doc_id", "n", "node").join(classes.withColumnRenamed("doc_id", "first"), "node", "left").join(small(stored(of, "linked")), "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "first", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
 
 
 def join_near_copies(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by
     links, itself included) of each row of ``docs`` (doc_id: a whole number)."""
-    return near_copy_sets(docs, width, num, den, chunk).drop("set_id")
+    return near_copy_sets(docs, width, num, den, chunk).drop("node")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
@@ -273,8 +362,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, **how) -> DataFrame:
     if not mixed.limit(1).count():
         return kept
     sets = found.where("goes").join(small(mixed), F.col("doc_id") == F.col("__kl_gone"))
-    sets = stored(sets.select("__kl_gone", F.col("set_id").alias("__kl_set")).distinct(), "gone-sets")
+    sets = stored(sets.select("__kl_gone", F.col("node").alias("__kl_set")).distinct(), "gone-sets")
     rows = aside(docs.join(small(mixed), F.col("doc_id") == F.col("__kl_gone"), "left_semi"), "doc_id", "text")
     rows = set_ids(rows, width, *[c for c in rows.columns if c.startswith("__in_")])
-    same = (F.col("doc_id") == F.col("__kl_gone")) & (F.col("set_id") == F.col("__kl_set"))
+    same = (F.col("doc_id") == F.col("__kl_gone")) & (F.col("node") == F.col("__kl_set"))
     return kept.unionByName(back(rows.join(small(sets), same, "left_anti")))

@@ -74,8 +74,9 @@ def shingles(text: str | None, width: int = 3) -> np.ndarray:
     return np.unique(h)
 
 
-def set_id(hashes: np.ndarray) -> bytes:
-    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+def node(hashes: np.ndarray) -> int:
+    """The number of a set, the same for equal sets: 62 bits of a digest."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little") >> 2
 
 
 class Bands:

@@ -106,8 +106,9 @@ def row_key(df: DataFrame, name: str = "__kl_key") -> DataFrame:
     return df.withColumn(name, F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("second"), *cols).alias("b")))
 
 
-#: A stored table of so many rows of a few numbers is broadcast, after it has been counted; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A stored table of so many rows of a few numbers (about 64 MB as a hash table) is broadcast, after it has been counted;
+#: larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
