@@ -2,7 +2,7 @@
 
 Fixed patterns give the base spans. The field looks at the regions of a text that
 hold digits or ``@``: it scores whole candidate segments of at most ``MAX_TOKENS``
-tokens by features of the segment (digits, grouping, checksum, octets, borders),
+tokens by features of the segment (digits, grouping, octets, borders; a card must have its checksum),
 and dynamic programming chooses boundaries and kinds of a region together. It
 finds what the patterns miss, such as a phone number and a card number side by
 side. Base spans stay; spans of the field are added where they overlap none.
@@ -102,6 +102,8 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 FEATURES = 30
+#: The place of the feature that says that a segment has the digits and the checksum of a card, and the kind it decides.
+CHECKSUM, CARD = 14, 2
 
 
 def segment_features(text: str, a: int, b: int) -> np.ndarray:
@@ -150,7 +152,10 @@ class Lattice:
             self.into[j].append(k)
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        return self.x @ w
+        """Of each segment and kind; a segment without a card's checksum is no card."""
+        s = self.x @ w
+        s[self.x[:, CHECKSUM] == 0, CARD] = -np.inf
+        return s
 
     def marginals(self, w: np.ndarray) -> tuple[float, np.ndarray]:
         """Log of the sum over all segmentations; the probability of each (segment, kind)."""

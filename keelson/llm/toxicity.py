@@ -1,10 +1,10 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
 Character n-grams (3 to 5 bytes, with the word's ends) of lower-cased words are
-hashed to embeddings; the mean over the n-grams of a stretch of ``STRETCH`` words
-(distinct ones, in order) goes through a linear softmax. Misspelt words share most n-grams with the words
-they come from. A document is as toxic as its most toxic stretch, so a few words
-in a long text are not diluted. As the softmax is linear, embeddings and
+hashed to embeddings; the mean over the n-grams of a stretch of ``STRETCH`` running words
+goes through a linear softmax. Misspelt words share most n-grams with the words
+they come from. A document is as toxic as its most toxic stretch, wherever it stands, so a
+few words in a long text are not diluted. As the softmax is linear, embeddings and
 weights fold into one number per n-gram for scoring.
 
 The model is fitted on at most ``FIT_TOXIC`` + ``FIT_CLEAN`` labelled documents
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
 BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
-STRETCH, STEP = 16, 4
+STRETCH, STEP = 3, 1
 EPOCHS, STEPS, RATE, SEED = 6, 300, 0.5, 7
-HEAD_START = 2.0
+HEAD_START = 4.0
 THRESHOLD = 0.3
 
 #: Lower-cases A-Z and turns all other ASCII but digits and a-z into spaces.
@@ -37,9 +37,8 @@ _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bucket, word) of each n-gram of the distinct words of a text, in the order
-    in which they first occur, and their number. Repetition says nothing here."""
-    ws = [*dict.fromkeys((text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split())]
+    """(bucket, word) of each n-gram of the words of a text, and the number of words."""
+    ws = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     if not ws:
         return np.empty(0, np.int32), np.empty(0, np.int32), 0
     b = np.frombuffer(b" " + b" ".join(ws) + b" ", np.uint8)

@@ -49,7 +49,7 @@ def test_toxicity_edge_rows(spark):
 def test_grams_are_those_of_the_words():
     def brute(text):
         out = []
-        words = list(dict.fromkeys(re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())))
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
         for size in toxicity.SIZES:
             for k, w in enumerate(words):
                 padded = b" " + w + b" "
@@ -65,6 +65,42 @@ def test_grams_are_those_of_the_words():
         assert (sorted(zip(bucket.tolist(), word.tolist())), n) == brute(text)
 
 
+def fitted():
+    rng = np.random.default_rng(6)
+    plain = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "elo", "iru", "ost", "umi")]
+    bad = ["horridz", "vileux"]
+    def text(toxic):
+        ws = [plain[i] for i in rng.integers(0, len(plain), 120)]
+        for i in rng.choice(120, 4 if toxic else 0, False):
+            ws[i] = bad[int(rng.integers(0, 2))]
+        return " ".join(ws)
+    labels = np.arange(400) % 4 == 0
+    return toxicity.Model([text(y) for y in labels], labels.astype(int)), plain, bad
+
+
+def test_toxicity_of_late_and_repeated_passages():
+    """The score is that of the most toxic running stretch, also where all its words came before."""
+    model, plain, bad = fitted()
+    clean = " ".join(plain * 60)
+    scattered = " ".join([*plain[:30], bad[0], *plain * 5, bad[1]])
+    late = " ".join([bad[0], bad[1], bad[0]])
+    low, mid, high = model.predict([clean, scattered, scattered + " " + clean + " " + late])
+    assert low < 0.3 < high and high >= mid
+    assert high == model.predict([late])[0]
+
+    def brute(text):
+        ws, best = text.split(), -np.inf
+        for k in range(max(1, len(ws) - toxicity.STRETCH + 1)):
+            found = []
+            for w in ws[k:k + toxicity.STRETCH]:
+                found += [model.numbers[b] for b in toxicity.grams(w)[0]]
+            best = max(best, np.mean(found))
+        return 1 / (1 + np.exp(-(model.scale * max(best, model.least) + model.shift)))
+
+    for t in (clean[:400], scattered, late, "one", " ".join([*plain, *plain, bad[1]])):
+        assert model.predict([t])[0] == pytest.approx(brute(t), rel=1e-9)
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = [re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -250,3 +286,20 @@ def test_queries_read_whole_tables(spark):
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
     assert QUERIES["op10_url_filter"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert F is not None
+
+
+def test_numbers_without_a_checksum_are_no_cards(spark):
+    """Near-numbers, planted: sixteen digits in card notation that fail the checksum; those that pass are found."""
+    rng = np.random.default_rng(8)
+    def number(good):
+        while True:
+            n = "".join(str(x) for x in rng.integers(0, 10, 16))
+            if pii.luhn(n) == good:
+                return n
+    split = lambda n, by: by.join(n[i:i + 4] for i in range(0, 16, 4))
+    texts = [f"pay with {split(number(True), ' ')} or call +1 415 555 {1000 + i}" for i in range(60)]
+    texts += [f"order {split(number(False), by)} was shipped" for i in range(60) for by in (" ", "-", ".", "/")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_documents(docs).collect()}
+    assert all("card" in got[i] and "phone" in got[i] for i in range(60))
+    assert not any("card" in got[i] for i in range(60, len(texts)))
