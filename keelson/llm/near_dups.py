@@ -216,6 +216,10 @@ def _tiles(batches: Iterator[pd.DataFrame], all_pairs: bool, num: int, den: int)
     def propose(t: pd.DataFrame) -> pd.DataFrame | None:
         if len(t) < 2:
             return None
+        blocks = t["words"].map(len)
+        if blocks.nunique() > 1:  # keys of two bands that agree in the bits kept
+            parts = [p for _, one in t.groupby(blocks) if (p := propose(one)) is not None]
+            return pd.concat(parts) if parts else None
         node, comp, n, side = (t[c].to_numpy() for c in ("node", "comp", "n", "side"))
         words = np.stack([np.frombuffer(x, np.uint8) for x in t["words"]])
         found = []

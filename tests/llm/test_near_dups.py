@@ -97,3 +97,40 @@ def test_components_of_paths_and_stars(spark, task_links):
     df = spark.createDataFrame(links, "a bigint, b bigint").repartition(5)
     got = [(r["node"], r["component"]) for r in components(df, task_links).collect()]
     assert len(got) == 121 and dict(got) == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_keys_of_two_bands_that_collide():
+    """Rows of other bands in a bucket are not compared, the others are."""
+    import pandas as pd
+    rows = pd.DataFrame({"key": 1, "tile": 0, "side": 0, "node": [1, 2, 3, 4], "comp": [1, 2, 3, 4], "n": [40, 40, 9, 40],
+                         "words": [b"\0\0\0" * 5, b"\0\0\0" * 5, b"\0\0\0" * 2, b"\xff\xff\xff" * 5]})
+    got = pd.concat(near_dups._tiles(iter([rows]), True, 90, 100))
+    assert got.values.tolist() == [[2, 1]]
+
+
+def test_parts_keep_shared_keys_in_bounded_memory():
+    """However few entries are held, the members of each shared key come out, and lone keys do not."""
+    rng = np.random.default_rng(12)
+    key = np.concatenate([rng.integers(0, 3000, 4000), np.full(3000, 7)]).astype(np.int64)
+    member = rng.permutation(len(key)).astype(np.int64)
+    want = {}
+    for k, m in zip(key.tolist(), member.tolist()):
+        want.setdefault(k, set()).add(m)
+    for most in (50, 1000, 10 ** 6):
+        part, got, pairs, peak = near_dups.Part(most), {}, set(), 0
+        order = rng.permutation(len(key))
+        for at in np.array_split(order, 70):
+            e = np.empty(len(at), near_dups._ENTRY)
+            e["key"], e["more"], e["member"] = key[at], 0, member[at]
+            out = part.add(e.tobytes())
+            peak = max(peak, part.n)
+            for k, m in zip(*out) if out is not None else ():
+                got.setdefault(int(k), set()).add(int(m))
+        (x, y), (k, m) = part.rest()
+        for a, b in zip(k.tolist(), m.tolist()):
+            got.setdefault(a, set()).add(b)
+        pairs = set(zip(x.tolist(), y.tolist()))
+        shared = {k: v for k, v in want.items() if len(v) > 1}
+        assert set(got) <= set(shared) and all(got[k] == shared[k] for k in got)
+        assert pairs == {tuple(sorted(v)) for k, v in shared.items() if k not in got}
+        assert peak <= 2 * max(most, 3000) + 200
