@@ -6,8 +6,8 @@
    a class at once. Parity bits are stored; sets are made anew where they are needed.
 2. Two sets that link differ in at most D shingles, D from the size band, so of
    D + 1 sketch words one is equal: classes are joined on (band, block, word). Tasks pack
-   these keys, 13 bytes each, and they are shuffled once; keys that no other class has
-   end there, and only the members of the others come out.
+   these keys, 14 bytes each, and they are shuffled once; keys that no other class has
+   end there, and so do pairs that share fewer words than a link must.
 3. Within such a bucket the Hamming distance of the sketches, a lower bound of
    the symmetric difference, rules out most pairs. The others are verified by
    the exact intersection of the sets.
@@ -85,8 +85,8 @@ def sketches(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return over_texts(docs, of_set, "n bigint, node bigint, own binary, below binary", ["n", "node", "own", "below"], width)
 
 
-#: A key's row within its part: 40 bits of the key, and the member.
-_ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("member", "<i8")])
+#: A key's row within its part: 40 bits of the key, how many more words a link of the member shares, and the member.
+_ENTRY = np.dtype([("key", "<u4"), ("more", "u1"), ("extra", "u1"), ("member", "<i8")])
 KEYS_PER_PART, HELD_KEYS = 1_000_000, 4_000_000
 
 
@@ -97,19 +97,20 @@ def bucket_keys(docs: DataFrame, width: int, num: int, den: int, parts: int, bat
     ``member`` is 2 * node, plus 1 if the word is of the band below. Of the D + 1
     + spare words of a set D at most differ from its partner's, so up to
     ``spare`` words may be left out: those of blocks without shingles."""
-    def packed(key: list[np.ndarray], member: list[np.ndarray]) -> pa.RecordBatch:
-        k, m = np.concatenate([*key, np.empty(0, parity.U)]), np.concatenate([*member, np.empty(0, np.int64)])
+    def packed(key: list[np.ndarray], member: list[np.ndarray], extra: list[np.ndarray]) -> pa.RecordBatch:
+        k, m, x = np.concatenate(key), np.concatenate(member), np.concatenate(extra)
         part = ((k >> parity.U(32)) * parity.U(parts) >> parity.U(32)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         entries = np.empty(len(k), _ENTRY)
-        entries["key"], entries["more"], entries["member"] = k[order] & parity.U(0xFFFFFFFF), k[order] >> parity.U(32) & parity.U(0xFF), m[order]
+        entries["key"], entries["more"] = k[order] & parity.U(0xFFFFFFFF), k[order] >> parity.U(32) & parity.U(0xFF)
+        entries["member"], entries["extra"] = m[order], x[order]
         own, start = np.unique(part[order], return_index=True)
         ends = [*start[1:], len(k)]
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array([entries[x:y].tobytes() for x, y in zip(start, ends)], pa.binary())], names=["part", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array([entries[a:z].tobytes() for a, z in zip(start, ends)], pa.binary())], names=["part", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = parity.Bands(num, den)
-        key, member, held = [], [], 0
+        key, member, extra, held = [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(*batch.columns):
                 h = parity.shingles(text.as_py(), width)
@@ -117,15 +118,16 @@ def bucket_keys(docs: DataFrame, width: int, num: int, den: int, parts: int, bat
                     continue
                 node = parity.node(h)
                 for down in (0, 1):
-                    words, at, band = parity.key_words(h, bands, down)
+                    words, at, band, more = parity.key_words(h, bands, down)
                     key.append(parity.mix(words ^ parity.mix(at + parity.U(band << 32))))
                     member.append(np.full(len(words), 2 * node + down, np.int64))
+                    extra.append(np.full(len(words), min(more, 255), np.uint8))
                     held += len(words)
                 if held >= batch_keys:
-                    yield packed(key, member)
-                    key, member, held = [], [], 0
+                    yield packed(key, member, extra)
+                    key, member, extra, held = [], [], [], 0
         if held:
-            yield packed(key, member)
+            yield packed(key, member, extra)
 
     return docs.mapInArrow(run, "part bigint, entries binary")
 
@@ -138,72 +140,81 @@ class Part:
         self.most, self.held, self.n, self.known = most, [], 0, np.empty(0, np.int64)
 
     def add(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """(key, member) of shared keys that cannot be held longer."""
         e = np.frombuffer(data, _ENTRY)
-        key, member, out = e["key"].astype(np.int64) | e["more"].astype(np.int64) << 32, e["member"].astype(np.int64), None
+        key, member, extra, out = e["key"].astype(np.int64) | e["more"].astype(np.int64) << 32, e["member"].astype(np.int64), e["extra"].copy(), None
         if len(self.known):
             shared = np.isin(key, self.known)
-            out, key, member = (key[shared], member[shared]), key[~shared], member[~shared]
-        self.held.append((key, member))
+            out, key, member, extra = (key[shared], member[shared]), key[~shared], member[~shared], extra[~shared]
+        self.held.append((key, member, extra))
         self.n += len(key)
         if self.n > self.most:
-            key, member, first, size = self.sorted()
+            key, member, extra, first, size = self.sorted()
             lone = np.repeat(size == 1, size)
             self.known = np.union1d(self.known, key[first[size > 1]])
-            self.held, self.n = [(key[lone], member[lone])], int(lone.sum())
+            self.held, self.n = [(key[lone], member[lone], extra[lone])], int(lone.sum())
             self.most = max(self.most, 2 * self.n)
             more = key[~lone], member[~lone]
             out = more if out is None else tuple(map(np.concatenate, zip(out, more)))
         return out
 
-    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (key, member) in order, and where each key begins and how many members it has."""
-        key, member = (np.concatenate(c) for c in zip(*self.held)) if self.held else (np.empty(0, np.int64),) * 2
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (key, member, extra) in order, and where each key begins and how many members it has."""
+        key, member, extra = (np.concatenate(c) for c in zip(*self.held))
         order = np.lexsort((member, key))
-        key, member = key[order], member[order]
+        key, member, extra = key[order], member[order], extra[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])]) if len(key) else np.empty(0, bool)
-        key, member = key[new], member[new]
+        key, member, extra = key[new], member[new], extra[new]
         _, first, size = np.unique(key, return_index=True, return_counts=True)
-        return key, member, first, size
+        return key, member, extra, first, size
 
-    def rest(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Pairs (x, y) of keys with two members, and (key, member) of larger ones."""
-        key, member, first, size = self.sorted()
+    def rest(self) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+        """Pairs (x, y, keys they share, keys that a link shares at least) of keys with
+        two members, and (key, member) of larger ones."""
+        key, member, extra, first, size = self.sorted()
         two, more = first[size == 2], np.repeat(size > 2, size)
-        pairs = np.unique(np.stack([member[two], member[two + 1]], 1), axis=0) if len(two) else np.empty((0, 2), np.int64)
-        return (pairs[:, 0], pairs[:, 1]), (key[more], member[more])
+        pairs = np.stack([member[two], member[two + 1], 1 + np.minimum(extra[two], extra[two + 1]).astype(np.int64)], 1)
+        pairs, times = np.unique(pairs, axis=0, return_counts=True) if len(two) else (np.empty((0, 3), np.int64), np.empty(0, np.int64))
+        return (pairs[:, 0], pairs[:, 1], times.astype(np.int64), pairs[:, 2]), (key[more], member[more])
 
 
 def shared_keys(entries: DataFrame, parts: int, most: int = HELD_KEYS) -> DataFrame:
-    """(key, x, y): x is a member of the shared key; without a key, x and y share one that no other has."""
+    """(key, x, y, times, need): x is a member of the shared key; without a key, x
+    and y share ``times`` of them that no other has, and a link shares ``need`` at least."""
+    names = ["key", "x", "y", "times", "need"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(part: int, key: np.ndarray | None, x: np.ndarray, y: np.ndarray | None) -> pa.RecordBatch:
-            none = pa.nulls(len(x), pa.int64())
-            return pa.RecordBatch.from_arrays([none if key is None else pa.array(key | part << 40), pa.array(x), none if y is None else pa.array(y)],
-                                              names=["key", "x", "y"])
+        def rows(n: int, **columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(n, pa.int64()) for c in names], names=names)
+
+        def ended(part: int, mine: Part) -> Iterator[pa.RecordBatch]:
+            (x, y, times, need), (key, member) = mine.rest()
+            yield rows(len(x), x=x, y=y, times=times, need=need)
+            yield rows(len(key), key=key | part << 40, x=member)
 
         at, mine = None, None
         for batch in batches:
             for part, data in zip(*batch.columns):
                 if part.as_py() != at:
                     if mine:
-                        (x, y), (key, member) = mine.rest()
-                        yield rows(at, None, x, y)
-                        yield rows(at, key, member, None)
+                        yield from ended(at, mine)
                     at, mine = part.as_py(), Part(most)
                 if (out := mine.add(data.as_buffer())) is not None and len(out[0]):
-                    yield rows(at, out[0], out[1], None)
+                    yield rows(len(out[0]), key=out[0] | at << 40, x=out[1])
         if mine:
-            (x, y), (key, member) = mine.rest()
-            yield rows(at, None, x, y)
-            yield rows(at, key, member, None)
+            yield from ended(at, mine)
 
-    return entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key bigint, x bigint, y bigint")
+    schema = ", ".join(f"{c} bigint" for c in names)
+    return entries.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def bucket_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets that share a key (key, member, node), and the buckets (key, size,
-    first). Most buckets hold two sets: these pairs are taken once, whatever number of keys they share."""
-    pairs = shared.where("key IS NULL").select("x", "y").distinct().withColumn("key", F.xxhash64("x", "y", F.lit("pair")))
+    first). Most buckets hold two sets: these pairs are taken once, and only if they
+    share as many words as a link does. A link that shares fewer words in buckets of
+    two shares others in larger buckets, and is found there."""
+    pairs = shared.where("key IS NULL").groupBy("x", "y").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
+    pairs = pairs.where("times >= need").select("x", "y", F.xxhash64("x", "y", F.lit("pair")).alias("key"))
     larger = shared.where("key IS NOT NULL").select("key", F.col("x").alias("member"))
     members = stored(pairs.select("key", F.explode(F.array("x", "y")).alias("member")).unionByName(larger), "members")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("first"))

@@ -121,18 +121,19 @@ def sketch(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return words
 
 
-def key_words(hashes: np.ndarray, bands: Bands, down: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The words, their blocks, and the band, of the sketch for the own band or the
-    one below (``down`` 1), without the empty words that may be left out."""
+def key_words(hashes: np.ndarray, bands: Bands, down: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The words, their blocks, the band, and how many words more than one a link
+    shares at least, of the sketch for the own band or the one below (``down`` 1),
+    without the empty words that may be left out."""
     band = bands.band(len(hashes)) - down
     blocks, spare = bands.blocks(band) if band >= 0 else (0, 0)
     if not blocks:
-        return np.empty(0, U), np.empty(0, U), 0
+        return np.empty(0, U), np.empty(0, U), 0, 0
     words = sketch(hashes, blocks)
     at = np.flatnonzero(words)
     if blocks - len(at) > spare:
         at = np.arange(blocks)
-    return words[at], at.astype(U), band
+    return words[at], at.astype(U), band, spare - (blocks - len(at))
 
 
 def parity_bits(hashes: np.ndarray, bands: Bands, down: int) -> bytes:

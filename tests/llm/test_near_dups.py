@@ -121,16 +121,37 @@ def test_parts_keep_shared_keys_in_bounded_memory():
         order = rng.permutation(len(key))
         for at in np.array_split(order, 70):
             e = np.empty(len(at), near_dups._ENTRY)
-            e["key"], e["more"], e["member"] = key[at], 0, member[at]
+            e["key"], e["more"], e["member"], e["extra"] = key[at], 0, member[at], member[at] % 5
             out = part.add(e.tobytes())
             peak = max(peak, part.n)
             for k, m in zip(*out) if out is not None else ():
                 got.setdefault(int(k), set()).add(int(m))
-        (x, y), (k, m) = part.rest()
+        (x, y, times, need), (k, m) = part.rest()
         for a, b in zip(k.tolist(), m.tolist()):
             got.setdefault(a, set()).add(b)
         pairs = set(zip(x.tolist(), y.tolist()))
         shared = {k: v for k, v in want.items() if len(v) > 1}
         assert set(got) <= set(shared) and all(got[k] == shared[k] for k in got)
         assert pairs == {tuple(sorted(v)) for k, v in shared.items() if k not in got}
+        assert (times == 1).all() and all(n == 1 + min(a % 5, b % 5) for a, b, n in zip(x, y, need))
         assert peak <= 2 * max(most, 3000) + 200
+
+
+@pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
+def test_links_share_the_words_they_need(num, den):
+    """Sets that link share at least as many emitted words, in one band, as the smaller ``extra`` says, and one more."""
+    rng, bands = np.random.default_rng(num), parity.Bands(num, den)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.12], rng.integers(0, 2 ** 63, int(rng.integers(0, 1 + n // 20)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or den * both < num * (len(a) + len(b) - both) or parity.node(a) == parity.node(b):
+            continue
+        found = []
+        for x in (0, 1):
+            for y in (0, 1):
+                (wa, ia, ka, ea), (wb, ib, kb, eb) = parity.key_words(a, bands, x), parity.key_words(b, bands, y)
+                if ka == kb and len(wa) and len(wb):
+                    found.append(len(set(zip(wa.tolist(), ia.tolist())) & set(zip(wb.tolist(), ib.tolist()))) - 1 - min(ea, eb))
+        assert max(found) >= 0
