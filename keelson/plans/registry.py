@@ -601,6 +601,16 @@ def _(t: Tables):
     return back.withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
 
 
+@query("s01_parquet_feature_usage")
+def _(t: Tables):
+    """S01 over a parquet export of all usage, with decimal durations and dates as text."""
+    path = work.fresh(t.spark, "parquet")
+    t.uo.select("customer_id", "feature", (F.col("duration_seconds").cast("decimal(18,3)") / 8).cast("decimal(18,3)").alias("duration_seconds"),
+                F.date_format("session_date", "yyyy-M-d HH:mm").alias("session_date")).write.parquet(path)
+    back = io.read_table(t.spark, path, "feature_usage", "parquet")
+    return back.withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
+
+
 @query("s02_read_scores_csv")
 def _(t: Tables):
     """S02 over a CSV export of the score table."""

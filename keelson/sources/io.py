@@ -47,7 +47,8 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
     NULL-on-error rules (bad dates become NULL, ``2024-1-5 10:00`` keeps its
     date part); ids are text and durations may have decimals. Columns are
     found by the header's names. ``fmt="parquet"``: columns are selected and
-    cast to the schema, ids keep their type; a missing optional column (``event_id``) is filled with NULL.
+    cast to the schema, ids keep their type, durations their decimals; dates and numbers
+    stored as text are converted as in CSV; a missing optional column (``event_id``) is filled with NULL.
     """
     if name not in S.TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {sorted(S.TABLES)}")
@@ -61,14 +62,32 @@ def read_table(spark: SparkSession, path: str, name: str, fmt: str = "csv") -> D
                 raw = raw.withColumn(field.name, F.lit(None).cast("string"))
         return typed_from_text(raw, name)
     df = spark.read.format(fmt).load(path)
-    return df.select(*_as_schema(df, target))
-
-
-def _as_schema(df: DataFrame, target: T.StructType) -> list:
-    """The columns of ``target``, cast; text ids stay text, missing columns are NULL."""
-    kept = {"customer_id"} if dict(df.dtypes).get("customer_id") == "string" else set()
-    return [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast("string" if f.name in kept else f.dataType).alias(f.name)
-            for f in target.fields]
+    return df.select(*_as_schema(df, target, name))
+
+
+def _as_schema(df: DataFrame, target: T.StructType, name: str | None = None) -> list:
+    """The columns of ``target``, cast; text ids stay text, durations keep their
+    decimals, missing columns are NULL. Text where a date or number belongs is
+    converted as in CSV: what cannot be read is NULL."""
+    kinds, out = dict(df.dtypes), []
+    for f in target.fields:
+        c, kind, to = F.col(f.name), kinds.get(f.name), f.dataType
+        if kind is None:
+            c = F.lit(None).cast(to)
+        elif f.name == "customer_id" and kind == "string":
+            pass
+        elif f.name == "duration_seconds" and (kind in ("string", "double", "float") or kind.startswith("decimal")):
+            c = F.expr(f"try_cast({'trim(duration_seconds)' if kind == 'string' else 'duration_seconds'} AS {S.DURATION.simpleString()})")
+        elif kind == "string" and f.name in S.DATE_COLUMNS.get(name, []):
+            c = parse_date(c)
+        elif kind == "string" and f.name in S.TIMESTAMP_COLUMNS.get(name, []):
+            c = F.try_to_timestamp(F.trim(c)).cast("timestamp_ntz")
+        elif kind == "string" and not isinstance(to, T.StringType):
+            c = F.expr(f"try_cast(trim(`{f.name}`) AS {to.simpleString()})")
+        else:
+            c = c.cast(to)
+        out.append(c.alias(f.name))
+    return out
 
 
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -70,3 +70,17 @@ def test_parquet_ingest_casts_and_fills_missing_columns(spark, tmp_path):
     r = df.first()
     assert dict(df.dtypes)["customer_id"] == "bigint" and dict(df.dtypes)["mrr_at_event"] == "decimal(12,2)"
     assert r["event_id"] is None and float(r["mrr_at_event"]) == 12.5
+
+
+def test_parquet_durations_and_text(spark, tmp_path):
+    p = str(tmp_path / "usage")
+    rows = [("C1", "f", "2024-1-5 10:00", "12.5"), ("C2", "f", "2024-13-01", "x"), ("C3", "f", None, " 7 ")]
+    df = spark.createDataFrame(rows, "customer_id string, feature string, session_date string, duration_seconds string")
+    df.write.parquet(p)
+    got = [(r["customer_id"], r["session_date"], r["duration_seconds"] and float(r["duration_seconds"]))
+           for r in io.read_table(spark, p, "feature_usage", "parquet").orderBy("customer_id").collect()]
+    assert got == [("C1", dt.date(2024, 1, 5), 12.5), ("C2", None, None), ("C3", None, 7.0)]
+    for kind, want in (("decimal(10,2)", 12.5), ("double", 12.5), ("bigint", 12.0)):
+        q = f"{p}-{kind[:4]}"
+        spark.sql(f"SELECT 1L AS customer_id, 'f' AS feature, DATE'2024-01-05' AS session_date, CAST(12.5 AS {kind}) AS duration_seconds").write.parquet(q)
+        assert float(io.read_table(spark, q, "feature_usage", "parquet").first()["duration_seconds"]) == want
