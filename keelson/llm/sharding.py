@@ -7,7 +7,9 @@ change when one is added, a new shard only takes rows into itself.
 
 Defined results: a null key counts as the empty text; rows with equal keys go
 to one shard; repeated rows each get a slot of their own; an empty table gives
-an empty result; extra columns are carried along.
+an empty result; extra columns are carried along, those named ``shard``,
+``grown_shard`` or ``slot`` are replaced. Texts are read only for their size and
+checksum, whatever their length.
 """
 
 from __future__ import annotations
@@ -42,8 +44,9 @@ def assign(df: DataFrame, key: str = "doc_id", weights: list[float] | None = Non
 
 def shard_slots(df: DataFrame, key: str = "doc_id", weights: list[float] | None = None) -> DataFrame:
     """``df`` with shard, grown_shard and slot: the row's place in its shard,
-    gapless from 0, in the order of the hash of the key."""
-    return number_rows(assign(df, key, weights), ["shard"], "slot", order=[key])
+    gapless from 0, in the order of the hash of the row. (A hash of the key alone
+    would put all rows of a hot key into one range, which one task numbers.)"""
+    return number_rows(assign(df, key, weights), ["shard"], "slot")
 
 
 def shard_documents(df: DataFrame, weights: list[float] | None = None) -> DataFrame:
