@@ -20,7 +20,8 @@ linear in the smaller of both numbers (193 slots for the production weights).
 
 No row is dropped: the schedule ends when each source has been read once from
 its first to its last block. Sources that are scarce for their weight start
-again from their first block (column ``epoch``).
+again from their first block (column ``epoch``). A row that is read often is
+unfolded in ranges of ``UNFOLD`` epochs, which go to tasks of their own.
 
 Defined results: sources that no weight names, null among them, form one group
 ``other``; groups without rows leave their weight to the rest; repeated rows
@@ -46,6 +47,8 @@ BLOCK_ROWS = 16
 CHUNK_SLOTS = 1000
 #: With a period up to this, blocks times period are taken as bigint, beyond it as decimal.
 BIGINT_PERIOD = 1_000_000
+#: So many epochs of a row are unfolded in one place.
+UNFOLD = 64
 ADDED = ("mix_group", "epoch", "block", "slot", "release", "deadline", "position")
 
 
@@ -142,9 +145,14 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, other_weight: fl
     plan = plan.withColumn("k_end", F.expr(f"{stop // slots}L * m + size(filter(slots, x -> x < {stop % slots}))"))
     numbered = number_rows(grouped, ["mix_group"], "__kl_i", order=df.columns)
     plan = plan.select(*[F.col(c).alias(f"__kl_{c}") for c in ("grp", "a", "m", "slots", "blocks", "k_end")])
+    step = f"{UNFOLD}L * __kl_blocks"
     placed = (numbered.join(F.broadcast(plan), F.col("mix_group") == F.col("__kl_grp"))  # one row per weight at most
               .withColumn("__kl_q", F.expr(f"__kl_i div {block_rows}"))
-              .withColumn("block", F.explode(F.expr("sequence(__kl_q, __kl_k_end - 1, __kl_blocks)")))
+              .withColumn("__kl_part", F.explode(F.expr(f"sequence(0L, (__kl_k_end - 1 - __kl_q) div ({step}))"))))
+    if stop > UNFOLD * min(-(-n * period // shares[k]) for k, n in blocks.items()):  # some source is read that often
+        placed = placed.repartition("mix_group", "__kl_i", "__kl_part")
+    placed = (placed.withColumn("block", F.explode(F.expr(
+        f"sequence(__kl_q + __kl_part * {step}, least(__kl_k_end - 1, __kl_q + (__kl_part + 1) * {step} - 1), __kl_blocks)")))
               .withColumn("slot", F.expr(f"(block div __kl_m) * {slots} + __kl_slots[cast(block % __kl_m AS int)]").cast("long")))
     kind = exact_kind(period)
     k, p = f"cast(block AS {kind})", f"cast('{period}' AS {kind})"
