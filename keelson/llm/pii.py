@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.shared import smallest
+
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCS, FIT_REGIONS = 8000, 1500
 MAX_TOKENS, MAX_CHARS = 16, 64
@@ -300,7 +302,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_regions: int = FIT_REGIONS) -> np.ndarray | None:
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
+    ids = smallest(docs.where("doc_id IS NOT NULL").select("doc_id").distinct(), F.xxhash64("doc_id"), fit_docs, "doc_id")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

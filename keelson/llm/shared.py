@@ -95,6 +95,25 @@ def number_rows(df: DataFrame, groups: list[str], index: str, order: list[str] |
             .select(*cols, F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1)).alias(index)))
 
 
+def smallest(df: DataFrame, by: Column, limit: int, *ties: str) -> DataFrame:
+    """The ``limit`` rows of ``df`` with the smallest hash ``by`` (a bigint), ties by
+    the columns ``ties``: a sample that depends on the rows alone.
+
+    Rows are counted first, and then only hashes below a threshold that leaves
+    about twice the limit are ordered, so that tasks send their share of these and
+    not ``limit`` rows each. If repeated rows leave too few below the threshold, it
+    is raised."""
+    n, span = df.count(), 1 << 64
+    share = 2 * limit / max(n, 1)
+    while share < 1:
+        under = df.where(by < F.lit(int(share * span) - (span >> 1)))
+        if under.count() >= limit:
+            df = under
+            break
+        share *= 4
+    return df.orderBy(by, *ties).limit(limit)
+
+
 def aside(df: DataFrame, *needed: str) -> DataFrame:
     """All columns under names that clash with nothing, and ``needed`` under their own."""
     return df.select(*[F.col(f"`{c}`").alias(f"__in_{c}") for c in df.columns], *needed)

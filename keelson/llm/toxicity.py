@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.shared import smallest
+
 FIT_TOXIC, FIT_CLEAN = 1500, 3000
 BUCKETS, DIM, SIZES = 1 << 18, 8, (3, 4, 5)
 STRETCH, STEP = 3, 1
@@ -195,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_toxic: int = FIT_TOXIC, fit_clea
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); None
     without labels of both kinds."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by_hash = [F.xxhash64("doc_id"), "doc_id"]
-    chosen = marks.where("toxic = 1").orderBy(*by_hash).limit(fit_toxic).unionByName(marks.where("toxic = 0").orderBy(*by_hash).limit(fit_clean))
+    first = lambda kind, limit: smallest(marks.where(F.col("toxic") == kind), F.xxhash64("doc_id"), limit, "doc_id")
+    chosen = first(1, fit_toxic).unionByName(first(0, fit_clean))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])  # fit_toxic + fit_clean at most
     y = np.array([int(r["toxic"]) for r in rows])

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keelson.llm.shared import smallest
+
 #: (verdict, host and path)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 FIT_ROWS = 20_000
@@ -150,7 +152,7 @@ class Model:
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
     """A model from ``labelled`` (url, label 0 or 1), of which at most
     ``fit_rows`` urls are taken; None if these are not of both kinds."""
-    rows = labelled.where("label IS NOT NULL").orderBy(F.xxhash64("url", "label"), "url", "label").limit(fit_rows).collect()
+    rows = smallest(labelled.where("label IS NOT NULL"), F.xxhash64("url", "label"), fit_rows, "url", "label").collect()
     y = np.array([r["label"] for r in rows], np.float64)
     return Model([r["url"] for r in rows], y) if 0 < y.sum() < len(y) else None
 

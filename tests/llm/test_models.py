@@ -266,6 +266,30 @@ def test_warc_is_deterministic_and_rolls(spark):
     assert listed[0] == listed[1] and len(listed[0]) > 8
 
 
+def test_warc_files_do_not_depend_on_partitions(spark):
+    rows = spark.range(6000).select((F.hash("id") % 9999).cast("long").alias("page_id"), F.concat(F.lit("http://x/"), "id").alias("url"),
+                                    F.repeat(F.col("id").cast("string"), 40).alias("html"))
+    odd = spark.createDataFrame([(None, None, "x"), (2 ** 62, "far", "y" * 90_000), (-5, "far", None)] * 2, "page_id bigint, url string, html string")
+    df, listed = rows.unionByName(odd), []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (8, 3, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            path = fresh_path(spark, "warc-test")
+            listed.append(sorted(map(tuple, warc.write(df.repartition(parts + 1), path, roll_bytes=20_000, segment_bytes=100_000).collect())))
+            assert warc.read(spark, path).count() == 6006
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert listed[0] == listed[1] == listed[2] and len({r[0][:11] for r in listed[0]}) > 20
+    few = warc.write(df, fresh_path(spark, "warc-test"), segment_bytes=100_000, max_segments=4).collect()
+    assert len({r["file"][:11] for r in few}) <= 4
+    file = Path(path.removeprefix("file:"), listed[0][3][0])
+    data = file.read_bytes()
+    file.write_bytes(data + warc.gzip.compress(warc.record(1, "more", b"", None), mtime=0))
+    with pytest.raises(Exception, match="not the file that the manifest lists"):
+        warc.read(spark, path).count()
+
+
 def test_warc_min_bytes(spark):
     df, rows = pages(spark)
     path = fresh_path(spark, "warc-test")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import struct
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -9,6 +10,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import pytest
+import xxhash
 
 sys.path.insert(0, str(Path(__file__).parent))
 import cases  # noqa: E402
@@ -133,6 +135,37 @@ def test_shards(spark):
     assert sharding.shard_documents(cases.documents(spark, [])).count() == 0
 
 
+def test_shards_by_brute_force(spark):
+    rows = [(None, "a"), (0, None), (-3, ""), (7, "x"), (7, "y"), (7, "y"), *[(i * 977, str(i)) for i in range(300)]]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+
+    def shard(key, n):
+        text = ("" if key is None else str(key)).encode()
+        score = [-1 / math.log(((xxhash.xxh64_intdigest(struct.pack("<i", j), xxhash.xxh64_intdigest(text, 42)) >> 12) + 0.5) / 2 ** 52) for j in range(n)]
+        return score.index(max(score))
+
+    assert len(got) == len(rows) and all((r["shard"], r["grown_shard"]) == (shard(r["doc_id"], 16), shard(r["doc_id"], 17)) for r in got)
+
+
+def test_a_hot_key_is_numbered_in_many_ranges(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sharding.shard_slots(df).where("doc_id = 5").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) > 4 and max(r["count"] for r in out) < 4000
+
+
+def test_scarce_rows_unfold_in_ranges(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 16, "src0").otherwise("src1").alias("source"))
+    out = mixing.mix(rows, {"src0": 0.5, "src1": 0.5})
+    got = [(r["doc_id"], r["epoch"], r["position"]) for r in out.where("mix_group = 'src0'").select("doc_id", "epoch", "position").collect()]
+    epochs = max(e for _, e, _ in got) + 1
+    assert epochs > 6 * mixing.UNFOLD and sorted((i, e) for i, e, _ in got) == [(i, e) for i in range(16) for e in range(epochs)]
+    assert len({p for *_, p in got}) == len(got) and "repartition" in out._jdf.queryExecution().logical().toString().lower()
+
+
 def test_slots_do_not_depend_on_partitions(spark):
     df = spark.range(500).select((F.col("id") % 50).alias("doc_id"), F.col("id").cast("string").alias("text"))
     first = sorted(map(tuple, sharding.shard_documents(df).collect()))
