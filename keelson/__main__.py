@@ -5,14 +5,15 @@
 
 Reads customers, feature_usage, subscription_events and support_tickets,
 stores them typed under ``_tables`` in the output folder (text is parsed once),
-writes the health-score table, then one output folder per metric.
+writes the health-score table, then one output folder per metric, and counts of
+what a CSV export holds that cannot be read (``_rejects``).
 """
 
 from __future__ import annotations
 
 import argparse
 
-from keelson.plans.defaults import load, run_all
+from keelson.plans.defaults import load, report_rejects, run_all
 from keelson.session import get_session
 
 
@@ -27,6 +28,9 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
     spark = get_session(a.master)
     done = run_all(load(spark, a.data, a.in_format, f"{a.out.rstrip('/')}/_tables"), a.out, a.out_format, a.only)
+    if a.in_format == "csv":
+        for r in report_rejects(spark, a.data, f"{a.out.rstrip('/')}/_rejects").orderBy("table", "column", "rule").collect():  # a row per column and rule
+            print(f"{r['table']}: {r['rejected']} {r['rule']} in {r['column'] or 'records'}, such as {r['example']!r}")
     print(f"wrote {len(done)} metrics to {a.out}")
 
 

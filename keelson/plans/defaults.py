@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +49,23 @@ class UserTables:
         return stats.breadth_bucket(stats.breadth(self.usage, self.cust))
 
 
+TABLE_NAMES = ("customers", "feature_usage", "subscription_events", "support_tickets")
+
+
+def report_rejects(spark: SparkSession, data_dir: str, out: str) -> DataFrame:
+    """What the four CSV exports hold that ``load`` cannot use, counted by table, column
+    and rule; stored in ``out`` and read back."""
+    counts = [io.reject_counts(io.rejects(spark, f"{data_dir.rstrip('/')}/{n}.csv", n)).select(F.lit(n).alias("table"), "*") for n in TABLE_NAMES]
+    reduce(DataFrame.unionByName, counts).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def load(spark: SparkSession, data_dir: str, fmt: str = "csv", store: str | None = None) -> UserTables:
     """With ``store``, text is parsed once: the typed tables are written there
     (usage by month) and every metric scans them. Read ``customers``, ``feature_usage``, ``subscription_events`` and
     ``support_tickets`` (``<name>.csv`` or ``<name>`` folders) from ``data_dir``."""
     ext = ".csv" if fmt == "csv" else ""
-    r = {n: io.read_table(spark, f"{data_dir.rstrip('/')}/{n}{ext}", n, fmt=fmt)
-         for n in ("customers", "feature_usage", "subscription_events", "support_tickets")}
+    r = {n: io.read_table(spark, f"{data_dir.rstrip('/')}/{n}{ext}", n, fmt=fmt) for n in TABLE_NAMES}
     if store:
         for n, df in r.items():
             usage = n == "feature_usage"

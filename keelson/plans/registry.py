@@ -611,6 +611,22 @@ def _(t: Tables):
     return back.withColumn("duration_seconds", F.col("duration_seconds").cast("double"))
 
 
+@query("s01_rejects")
+def _(t: Tables):
+    """What a CSV export of all usage with damaged cells and short records rejects, by
+    column and rule."""
+    c, cell = F.col("customer_id"), lambda every, bad, good: F.when(F.col("customer_id") % every == 0, F.lit(bad)).otherwise(good)
+    whole = F.concat_ws(",", cell(83, " ", F.format_string("C%06d", c)), "feature", cell(97, "2024-13-01", F.date_format("session_date", "yyyy-M-d")),
+                        cell(89, "12s", F.col("duration_seconds").cast("string")))
+    short = F.concat_ws(",", cell(83, " ", F.format_string("C%06d", c)), "feature")
+    line = F.when(c % 79 == 0, short).otherwise(whole)
+    path = work.fresh(t.spark, "csv")
+    # one text column whose name is the header; no cell holds the separator, so nothing is quoted
+    text = t.uo.select(line.alias("customer_id,feature,session_date,duration_seconds"))
+    text.write.option("header", True).option("sep", "\t").option("ignoreLeadingWhiteSpace", False).csv(path)
+    return io.reject_counts(io.rejects(t.spark, path, "feature_usage")).withColumnRenamed("column", "column_name")
+
+
 @query("s02_read_scores_csv")
 def _(t: Tables):
     """S02 over a CSV export of the score table."""

@@ -8,8 +8,8 @@ other tables unpartitioned. Metrics then scan files instead of re-deriving
 the model from its sources on every query.
 
 A model is keyed by its source files (path, length and modification time of each
-file, asked of the file system that holds them) and by ``FORMAT_VERSION``,
-which is raised by hand when the mapping or the layout changes. A table is
+file, asked of the file system that holds them; listed once per session while the
+table's path does not change) and by ``FORMAT_VERSION``, which is raised by hand when the mapping or the layout changes. A table is
 written to a folder of its own and moved to its place when it is complete, so
 two drivers never write into one folder: the first to finish is the one that
 counts. ``remove_old`` deletes the models of earlier versions and sources.
@@ -51,11 +51,50 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
+#: The listing of each table, and what the table's path was like when it was listed.
+_LISTED: dict[tuple[str, str], tuple[tuple, list[str]]] = {}
+
+
+def _stamp(spark: SparkSession, path: str) -> tuple | None:
+    """Kind, length and modification time of the path itself; None where that does not
+    tell whether files were added or replaced: missing paths, partitioned folders and
+    stores that keep no time for a folder."""
+    fs, hpath = _fs(spark, path)
+    if not fs.exists(hpath):
+        return None
+    s = fs.getFileStatus(hpath)
+    return (s.isDirectory(), s.getLen(), s.getModificationTime()) if s.getModificationTime() else None
+
+
+def _nested(spark: SparkSession, path: str) -> bool:
+    fs, hpath = _fs(spark, path)
+    return any(s.isDirectory() for s in fs.listStatus(hpath))
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """``files`` of ``path``, listed again only if the file, or the folder that holds all
+    files, has changed since. Files of a folder are taken to be replaced by new
+    files, as Spark does, not written over; ``forget`` has everything listed again."""
+    at, stamp = (spark.sparkContext.applicationId, path), _stamp(spark, path)
+    held = _LISTED.get(at)
+    if held and stamp and held[0] == stamp:
+        return held[1]
+    found = files(spark, path)
+    if stamp and not (stamp[0] and _nested(spark, path)):
+        _LISTED[at] = (stamp, found)
+    return found
+
+
+def forget() -> None:
+    """Have every source listed again at its next use."""
+    _LISTED.clear()
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Key of a stored model: its source files and the format's version."""
     h = hashlib.sha1(FORMAT_VERSION.encode())
     for name in SOURCES:
-        for line in files(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"):
+        for line in listing(spark, f"{sf_dir.rstrip('/')}/{name}.parquet"):
             h.update(line.encode())
     return h.hexdigest()[:16]
 

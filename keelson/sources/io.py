@@ -90,6 +90,54 @@ def _as_schema(df: DataFrame, target: T.StructType, name: str | None = None) ->
     return out
 
 
+#: Where a record that does not have as many cells as the header has is kept whole.
+_RECORD = "__keelson_record"
+
+
+def rejects(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """What ``read_table`` cannot use of a CSV export: (column, rule, value), a row per
+    rejected cell or record. ``read_table`` itself keeps these rows, with NULL cells.
+
+    Rules: ``row_shape`` (a record with fewer or more cells than the header; column is
+    NULL, value the record), ``no_id`` (blank customer id), ``bad_date``, ``bad_timestamp``
+    and ``bad_number`` (a cell that is not blank and cannot be read). Cells that a
+    short record does have are judged too. A column that the export lacks rejects nothing.
+    """
+    if name not in S.TABLES:
+        raise ValueError(f"unknown table {name!r}; expected one of {sorted(S.TABLES)}")
+    cells = spark.read.option("header", True).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, _RECORD]])
+    # without pruning: a record's cells are counted only if all of them are parsed
+    raw = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", _RECORD).csv(path))
+
+    def rejected(cond, column: str | None, rule: str, value: str):
+        return F.when(cond, F.struct(F.lit(column).cast("string").alias("column"), F.lit(rule).alias("rule"), F.col(value).alias("value")))
+
+    checks = [rejected(F.col(_RECORD).isNotNull(), None, "row_shape", _RECORD)]
+    for field in S.TABLES[name].fields:
+        c, kind = field.name, field.dataType
+        if c not in cells:
+            continue
+        blank = F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
+        if c == "customer_id":
+            checks.append(rejected(blank, c, "no_id", c))
+        elif c in S.DATE_COLUMNS.get(name, []):
+            checks.append(rejected(~blank & parse_date(F.col(c)).isNull(), c, "bad_date", c))
+        elif c in S.TIMESTAMP_COLUMNS.get(name, []):
+            checks.append(rejected(~blank & F.try_to_timestamp(F.trim(F.col(c))).isNull(), c, "bad_timestamp", c))
+        elif not isinstance(kind, T.StringType):
+            to = S.DURATION if c == "duration_seconds" else kind
+            checks.append(rejected(~blank & F.expr(f"try_cast(trim(`{c}`) AS {to.simpleString()})").isNull(), c, "bad_number", c))
+    return raw.select(F.explode(F.filter(F.array(*checks), F.isnotnull)).alias("r")).select("r.*")
+
+
+def reject_counts(found: DataFrame) -> DataFrame:
+    """(column, rule, rejected, example) of ``rejects``: a row per column and rule,
+    with the least rejected value."""
+    return found.groupBy("column", "rule").agg(F.count(F.lit(1)).alias("rejected"), F.min("value").alias("example"))
+
+
 def read_scores(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Load a materialised health-score table."""
     reader = spark.read.format(fmt)

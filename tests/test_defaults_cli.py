@@ -3,7 +3,7 @@
 import os
 
 from keelson.operators import health
-from keelson.plans.defaults import METRICS, load, run_all
+from keelson.plans.defaults import METRICS, load, report_rejects, run_all
 from keelson.plans.registry import Tables
 
 from conftest import SF001
@@ -22,6 +22,7 @@ def test_csv_exports_to_all_metrics(spark, tmp_path):
     done = run_all(tables, str(out))
     assert done == list(METRICS)
     assert all(os.path.exists(out / k / "_SUCCESS") for k in done)
+    assert report_rejects(spark, str(data), str(out / "_rejects")).count() == 0
     # the score table written by the run equals a direct computation
     direct = health.health_scores_v2(t.cust, t.ue, t.subs, t.tix)
     back = spark.read.parquet(str(out / "h07_health_scores"))

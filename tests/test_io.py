@@ -37,6 +37,39 @@ def test_csv_text_ids_decimals_and_column_order(spark, tmp_path):
     assert tuple(io.read_scores(spark, str(s), "csv").first()) == ("C001", 70.5, "Healthy")
 
 
+def test_rejects_by_column_and_rule(spark, tmp_path):
+    p = tmp_path / "feature_usage.csv"
+    p.write_text("customer_id,feature,session_date,duration_seconds,extra\n"
+                 "1,dashboard,2024-01-05,30,\n2,reporting,2024-13-01,10,x\n3,automation,2024-1-5 10:00,x9,\n ,dashboard,,5,\n"
+                 "5,short\n6,dashboard,never,2,3,4\n7,\"a,b\", 2024-02-30 , 7.25 ,\n\n")
+    got = {(r["column"], r["rule"]): (r["rejected"], r["example"]) for r in io.reject_counts(io.rejects(spark, str(p), "feature_usage")).collect()}
+    assert got == {(None, "row_shape"): (2, "5,short"), ("customer_id", "no_id"): (1, " "),
+                   ("session_date", "bad_date"): (3, " 2024-02-30 "), ("duration_seconds", "bad_number"): (1, "x9")}
+    assert io.read_table(spark, str(p), "feature_usage").count() == 7  # rejected cells are NULL, their rows stay
+    c = tmp_path / "tickets.csv"
+    c.write_text("opened_at,customer_id\n2024-01-05 10:00:00,1\nsoon,2\n,3\n")
+    assert [tuple(r) for r in io.rejects(spark, str(c), "support_tickets").collect()] == [("opened_at", "bad_timestamp", "soon")]
+    c.write_text("opened_at,customer_id\n")
+    assert io.rejects(spark, str(c), "support_tickets").count() == 0
+
+
+def test_sources_are_listed_once_until_they_change(spark, tmp_path, monkeypatch):
+    from keelson.sources import ingest
+    flat, parts = str(tmp_path / "flat.parquet"), str(tmp_path / "parts.parquet")
+    spark.range(5).write.parquet(flat)
+    spark.range(5).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(parts)
+    walks, real = [], ingest.files
+    monkeypatch.setattr(ingest, "files", lambda s, path: walks.append(path) or real(s, path))
+    first = ingest.listing(spark, flat)
+    assert ingest.listing(spark, flat) == first and walks == [flat]
+    spark.range(3).write.mode("append").parquet(flat)
+    assert len(ingest.listing(spark, flat)) > len(first) and walks == [flat] * 2
+    for _ in range(2):  # a change within a partition does not show in the table's folder
+        ingest.listing(spark, parts)
+    assert walks[2:] == [parts] * 2
+    assert ingest.listing(spark, str(tmp_path / "none")) == [f"{tmp_path}/none: none"]
+
+
 def test_csv_categories_normalised(spark, tmp_path):
     p = tmp_path / "subs.csv"
     p.write_text("customer_id,event_type,event_date,mrr_at_event\n1, Plan_Upgrade ,2024-02-01,12.5\n")
