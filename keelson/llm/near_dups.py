@@ -212,10 +212,15 @@ def bucket_members(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sets that share a key (key, member, node), and the buckets (key, size,
     first). Most buckets hold two sets: these pairs are taken once, and only if they
     share as many words as a link does. A link that shares fewer words in buckets of
-    two shares others in larger buckets, and is found there."""
+    two shares others in larger buckets, and is found there. Of larger buckets with the
+    same members (told apart by 128 bits) one stands for all: it holds the same pairs."""
     pairs = shared.where("key IS NULL").groupBy("x", "y").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
     pairs = pairs.where("times >= need").select("x", "y", F.xxhash64("x", "y", F.lit("pair")).alias("key"))
-    larger = shared.where("key IS NOT NULL").select("key", F.col("x").alias("member"))
+    larger = stored(shared.where("key IS NOT NULL").select("key", F.col("x").alias("member")).distinct(), "larger")
+    signs = [F.bit_xor(F.xxhash64("member", F.lit(i))).alias(f"sign{i}") for i in (0, 1)]
+    alike = larger.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("first"), *signs)
+    once = stored(alike.groupBy("size", "first", "sign0", "sign1").agg(F.min("key").alias("key")).select("key"), "larger-once")
+    larger = larger.join(small(once), "key", "left_semi")
     members = stored(pairs.select("key", F.explode(F.array("x", "y")).alias("member")).unionByName(larger), "members")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("member").alias("first"))
     return members.withColumn("node", F.expr("member div 2")), sizes
