@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keelson.operators import adoption, cohorts, dashboard, health, kpis, prep, stats, value
 from keelson.sources import io
@@ -56,7 +57,7 @@ def report_rejects(spark: SparkSession, data_dir: str, out: str) -> DataFrame:
     """What the four CSV exports hold that ``load`` cannot use, counted by table, column
     and rule; stored in ``out`` and read back."""
     counts = [io.reject_counts(io.rejects(spark, f"{data_dir.rstrip('/')}/{n}.csv", n)).select(F.lit(n).alias("table"), "*") for n in TABLE_NAMES]
-    reduce(DataFrame.unionByName, counts).write.mode("overwrite").parquet(out)
+    reduce(lambda a, b: a.unionByName(b), counts).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)
 
 
