@@ -307,7 +307,7 @@ def test_damage_is_found():
 
 def test_queries_read_whole_tables(spark):
     from keelson.llm.queries import QUERIES
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert QUERIES["op10_url_filter"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
     assert F is not None
 
