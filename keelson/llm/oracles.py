@@ -89,6 +89,7 @@ _KNOWN = ", ".join(f"'{k}'" for k in quality.COMMON_WORDS)
 _COUNTS = ", ".join("length(regexp_replace(t, '[^" + p.strip("[]").replace("'", "''") + "]', '', 'g'))" for p in quality.CHAR_CLASSES.values())
 _SUMS = lambda col, n: "[" + ", ".join(f"coalesce(sum({col}[{k}]), 0)" for k in range(1, n + 1)) + "]"
 _N_CHARS, _N_WORDS = len(quality.CHAR_CLASSES) + 3, max(map(len, quality.COMMON_WORDS.values())) + 1
+_NONE = "[" + "0, " * (_N_WORDS - 1) + "1]"  # no listed word
 OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({_KNOWN}) THEN lang ELSE 'other' END AS lang, {_LISTS} AS common,
                   {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -101,15 +102,16 @@ f AS (SELECT doc_id, lang, length(t) AS chars, len(w) AS n_words, CAST(coalesce(
              list_transform(common, lambda c: len(list_filter(w, lambda x: x = c))) AS seen FROM d),
 h AS (SELECT *, classes || [chars - word_chars, extra, word_chars - list_sum(classes)] AS hc,
              seen || [n_words - list_sum(seen)] AS hw FROM f),
-r AS (SELECT lang, {_SUMS('hc', _N_CHARS)} AS rc, {_SUMS('hw', _N_WORDS)} AS rw FROM h GROUP BY lang),
-j AS (SELECT *, {_js('hc', 'rc')} AS dc, CASE WHEN lang = 'other' THEN 0.0 ELSE {_js('hw', 'rw')} END AS dw
-      FROM h JOIN r USING (lang) LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM j)
+b AS (SELECT *, n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM h LEFT JOIN rep USING (doc_id)),
+r AS (SELECT lang, {_SUMS('hc', _N_CHARS)} AS rc, {_SUMS('hw', _N_WORDS)} AS rw FROM b WHERE NOT base_failed GROUP BY lang),
+rn AS (SELECT *, CASE WHEN 1 - rw[{_N_WORDS}] / list_sum(rw) >= {quality.MIN_COMMON_SHARE} THEN {quality.MAX_WORD_SHARE} * {_js(_NONE, 'rw')} END AS cutoff FROM r),
+j AS (SELECT *, coalesce({_js('hc', 'rc')}, 0.0) AS dc, CASE WHEN lang = 'other' THEN 0.0 ELSE coalesce({_js('hw', 'rw')}, 0.0) END AS dw
+      FROM b LEFT JOIN rn USING (lang))
 SELECT doc_id, n_words, word_chars, CAST(classes[4] AS BIGINT) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
        coalesce(n_repeat_words, 0) AS n_repeat_words, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance, base_failed,
        NOT base_failed AND NOT ((chars >= {quality.MIN_CHARS} AND dc > {quality.MAX_CHAR_DISTANCE})
-                                OR (n_words >= {quality.MIN_WORDS} AND dw > {quality.MAX_WORD_DISTANCE})) AS kept
-FROM b"""
+                                OR (n_words >= {quality.MIN_WORDS} AND coalesce(dw > cutoff, false))) AS kept
+FROM j"""
 
 _W11 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 OP11 = f"""

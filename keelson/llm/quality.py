@@ -3,12 +3,19 @@
 Two histograms of a document, its character classes and its common words, are
 compared with the reference of its language by Jensen-Shannon distance (base 2,
 0 to 1). The references are the summed histograms of all documents of the
-language. Short documents are not judged by a histogram they cannot fill
-(minimum-length guards): they pass that test.
+language that pass the base rules. Short documents are not judged by a histogram
+they cannot fill (minimum-length guards): they pass that test.
+
+How far a text without any common word lies from its reference depends on how
+many of them the language's documents use. So the cutoff of the word distance is
+a share of that distance, and it holds alike for each language. A language whose
+reference has fewer than one common word in twenty is not judged by them: there a
+sound text of the guard's length could lack them all by chance.
 
 Defined results: a null text counts as empty; a language without a word list
 here, or null, is compared by character classes only, with one reference for
-all such documents; an empty table gives an empty result; ties and repeated
+all such documents; a language without a document that passes the base rules has no
+reference, and distances of 0; an empty table gives an empty result; ties and repeated
 rows are judged each by itself; extra columns are carried along.
 """
 
@@ -30,7 +37,10 @@ COMMON_WORDS = {
 #: bytes beyond one per character (letters with marks, other scripts), and the rest (mostly a-z).
 CHAR_CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": "[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]"}
 MIN_CHARS, MIN_WORDS = 200, 100
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.30
+MAX_CHAR_DISTANCE = 0.30
+#: Of the distance that a text without any common word has; least share of common words in a reference.
+MAX_WORD_SHARE, MIN_COMMON_SHARE = 0.9, 0.05
+MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance",
          "base_failed", "kept")
 
@@ -65,7 +75,7 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, 0).otherwise(let(ws, count))
 
 
-def features(df: DataFrame, repeats: bool = True) -> DataFrame:
+def features(df: DataFrame) -> DataFrame:
     """``df`` with counts of words, symbols, repeated lines and words, and the two
     histograms (columns beginning with ``__kl_``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -81,7 +91,7 @@ def features(df: DataFrame, repeats: bool = True) -> DataFrame:
 
     per_words = let(ws, lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (repeated_words(w) if repeats else F.lit(None)).cast("long").alias("n_repeat_words"), common(w).alias("common")))
+        repeated_words(w).cast("long").alias("n_repeat_words"), common(w).alias("common")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
     df = df.withColumns({
         "__kl_w": per_words, "__kl_len": F.length(text).cast("long"), "__kl_bytes": F.octet_length(text).cast("long"),
@@ -99,14 +109,26 @@ def features(df: DataFrame, repeats: bool = True) -> DataFrame:
                                F.array(F.col("__kl_w.n_words") - in_lists))})
 
 
-def references(f: DataFrame) -> DataFrame:
+def base_failed() -> Column:
+    """The base rules, on the columns of ``features``."""
+    return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def references(f: DataFrame, max_word_share: float = MAX_WORD_SHARE) -> DataFrame:
     """The summed histograms of each listed language and of all others, from the
-    features of all documents: at most ``len(COMMON_WORDS) + 1`` rows."""
+    features of all documents that pass the base rules, and the cutoff of the word
+    distance (null: not judged): at most ``len(COMMON_WORDS) + 1`` rows."""
     n_chars, n_words = len(CHAR_CLASSES) + 3, max(map(len, COMMON_WORDS.values())) + 1
+    total = lambda c, i: F.sum(F.when(~base_failed(), F.get(c, F.lit(i))))  # noqa: E731  (a filter would be computed below the features, twice)
     sums = f.groupBy(F.col("__kl_lang").alias("__kl_of")).agg(
-        F.array(*[F.sum(F.get("__kl_chars", F.lit(i))) for i in range(n_chars)]).alias("__kl_ref_chars"),
-        F.array(*[F.sum(F.get("__kl_words", F.lit(i))) for i in range(n_words)]).alias("__kl_ref_words"))
-    return sums.withColumn("__kl_ref_words", F.filter("__kl_ref_words", F.isnotnull))
+        F.count_if(~base_failed()).alias("__kl_n"),
+        F.array(*[total("__kl_chars", i) for i in range(n_chars)]).alias("__kl_ref_chars"),
+        F.array(*[total("__kl_words", i) for i in range(n_words)]).alias("__kl_ref_words"))
+    ref = F.col("__kl_ref_words")
+    none = F.transform(ref, lambda x, i: F.when(i == F.size(ref) - 1, 1).otherwise(0).cast("long"))
+    share = 1 - F.element_at(ref, -1) / F.aggregate(ref, F.lit(0).cast("long"), lambda s, x: s + x)
+    return (sums.where("__kl_n > 0").withColumn("__kl_ref_words", F.filter("__kl_ref_words", F.isnotnull))
+            .withColumn("__kl_cutoff", F.when(share >= MIN_COMMON_SHARE, max_word_share * js_distance(none, ref))))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -124,7 +146,7 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def judge(df: DataFrame, carry: list[str] | None = None, store: bool = True, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS,
-          max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+          max_char_distance: float = MAX_CHAR_DISTANCE, max_word_share: float = MAX_WORD_SHARE) -> DataFrame:
     """``df`` (its columns ``carry``, default all) with the counts, both distances,
     ``base_failed`` and ``kept``. Without ``store`` the texts are read twice, and
     the columns carried are not written to the shared folder."""
@@ -132,16 +154,17 @@ def judge(df: DataFrame, carry: list[str] | None = None, store: bool = True, min
     f = features(df).select(*columns, *[c for c in HELD if c not in columns])
     if store:  # both histograms and their sums come from one reading of the texts
         f = stored(f, "quality")
-    refs = references(f if store else features(df, repeats=False))
-    f = f.join(F.broadcast(refs), F.col("__kl_lang") == F.col("__kl_of"))  # a row per listed language
+    refs = references(f if store else features(df), max_word_share)
+    f = f.join(F.broadcast(refs), F.col("__kl_lang") == F.col("__kl_of"), "left")  # a row per listed language
     f = f.withColumns({
-        "char_distance": js_distance(F.col("__kl_chars"), F.col("__kl_ref_chars")),
+        "char_distance": F.coalesce(js_distance(F.col("__kl_chars"), F.col("__kl_ref_chars")), F.lit(0.0)),
         "word_distance": F.when(F.col("__kl_lang") == "other", 0.0).otherwise(
-            js_distance(F.col("__kl_words"), F.col("__kl_ref_words"))),
-        "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
+            F.coalesce(js_distance(F.col("__kl_words"), F.col("__kl_ref_words")), F.lit(0.0))),
+        "base_failed": base_failed()})
     far = (((F.col("__kl_len") >= min_chars) & (F.col("char_distance") > max_char_distance))
-           | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)))
-    return f.withColumn("kept", ~F.col("base_failed") & ~far).select(*columns, *ADDED)
+           | ((F.col("n_words") >= min_words) & F.coalesce(F.col("word_distance") > F.col("__kl_cutoff"), F.lit(False))))
+    # one term, so that a filter on it stays above the join instead of computing the features once more below it
+    return f.withColumn("kept", F.least(~F.col("base_failed"), ~far)).select(*columns, *ADDED)
 
 
 def judge_documents(df: DataFrame) -> DataFrame:

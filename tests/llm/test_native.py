@@ -218,6 +218,36 @@ def test_quality_agrees_with_labels(spark):
     assert all(good) and sum(bad) < 0.5 * len(bad)
 
 
+def prose(i, lang, every):
+    """160 different words, of which each ``every``-th is a common one of the language (0: none)."""
+    common = quality.COMMON_WORDS.get(lang, ["x"])
+    return " ".join(common[(i + j // every) % len(common)] if every and j % every == 0 else f"{'lorem' if j % 3 else 'ipso'}{chr(97 + j % 26)}{chr(97 + j // 26)}"
+                    for j in range(160))
+
+
+def test_long_texts_without_common_words_go(spark):
+    data = [(100 * k + i, prose(i, lang, 5), lang) for k, lang in enumerate(quality.COMMON_WORDS) for i in range(20)]
+    data += [(1000 + k, prose(k, lang, 0), lang) for k, lang in enumerate(quality.COMMON_WORDS)]  # no common word
+    data += [(2000, " ".join(prose(0, "en", 0).split()[:90]), "en"), (2001, prose(0, "xx", 0), "xx"), (2002, prose(0, "", 0), None)]  # too short; no list
+    data += [(3000 + i, "foo bar " * 500, "en") for i in range(50)]  # failing the base rules: no part of the reference
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_documents(df).collect()}
+    assert {i for i, k in kept.items() if not k} == {*range(1000, 1004), *range(3000, 3050)}
+    assert {r["doc_id"] for r in quality.keep_documents(df).collect()} == {i for i, k in kept.items() if k}
+
+
+def test_languages_that_hardly_use_the_list_are_not_judged_by_it(spark):
+    data = [(i, prose(i, "en", 0 if i else 40), "en") for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    assert all(r["kept"] for r in quality.judge_documents(df).collect())
+
+
+def test_features_are_computed_once_for_the_filter(spark):
+    plan = quality.keep_documents(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.splitlines() if x.lstrip(" :+-").startswith("Filter")]
+    assert not any("xxhash64" in x for x in filters)
+
+
 def test_keep_documents(spark):
     df = cases.documents(spark)
     out = quality.keep_documents(df)
